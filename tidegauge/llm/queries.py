@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, langid, packing, token_files
+from tidegauge.llm import bpe, chat, langid, packing, suffix, token_files
 from tidegauge.llm.common import table
 
 
@@ -58,6 +58,11 @@ FROM c GROUP BY conv_id
 """
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.removed(suffix.repeats(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
