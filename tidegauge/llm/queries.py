@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, langid, packing, suffix, token_files
+from tidegauge.llm import bpe, chat, jaccard, langid, packing, suffix, token_files
 from tidegauge.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", F.coalesce(langid.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
