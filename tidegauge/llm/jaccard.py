@@ -137,12 +137,12 @@ class Order:
 
 
 def blocks(rows: DataFrame, key: str, count: str, member: str, block: int) -> DataFrame:
-    """Adds i and j: one (0, 0) for a group of at most `block` rows, else every pair of blocks that the row's block is in."""
+    """Adds o, the row's block, and i and j: (0, 0) for a group of at most `block` rows, else every pair of blocks that o is in."""
     n = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
     own = F.when(n > 1, F.pmod(F.xxhash64(member), n).cast("int")).otherwise(0)
-    dealt = rows.withColumn("_n", n).withColumn("_o", own)
-    other = F.explode(F.when(F.col("_n") > 1, F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: x != F.col("_o"))).otherwise(F.array(F.lit(0))))
-    return dealt.withColumn("_p", other).withColumn("i", F.least("_o", "_p")).withColumn("j", F.greatest("_o", "_p")).drop("_n", "_o", "_p")
+    dealt = rows.withColumn("_n", n).withColumn("o", own)
+    other = F.explode(F.when(F.col("_n") > 1, F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: x != F.col("o"))).otherwise(F.array(F.lit(0))))
+    return dealt.withColumn("_p", other).withColumn("i", F.least("o", "_p")).withColumn("j", F.greatest("o", "_p")).drop("_n", "_p")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:

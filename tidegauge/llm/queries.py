@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, jaccard, langid, packing, suffix, token_files
+from tidegauge.llm import bpe, chat, jaccard, langid, nearvec, packing, suffix, token_files, topk
 from tidegauge.llm.common import table
 
 
+def op1_hyperplane_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvec.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word")
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -62,6 +66,35 @@ FROM c GROUP BY conv_id
 """
 
 
+def op9_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"), factor=256)
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NULL OR len(embedding) = 0 OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+    OR len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN NULL ELSE embedding::DOUBLE[] END AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, c.c = v.vec_id AS kept
+FROM v JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = v.vec_id
+"""
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.removed(suffix.repeats(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_prefix_target_chat": OP7_SQL}
+    return {"op1_hyperplane_near_dedup": OP1_SQL, "op9_va_file_topk": OP9_SQL, "op7_prefix_target_chat": OP7_SQL}
