@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, jaccard, langid, nearvec, packing, suffix, token_files, topk
+from tidegauge.llm import bpe, chat, html, jaccard, langid, nearvec, packing, suffix, token_files, topk
 from tidegauge.llm.common import table
 
 
@@ -66,6 +66,10 @@ FROM c GROUP BY conv_id
 """
 
 
+def op8_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integers(table(spark, sf_dir, "embeddings"), factor=256)
     return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
