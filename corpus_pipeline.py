@@ -1,12 +1,56 @@
-"""Corpus pipeline over documents: language ID, n-gram Jaccard join, suffix-array dedup, best-fit packing."""
+"""Corpus pipeline over documents: language ID, n-gram Jaccard join, suffix-array dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Nulls, empty and
+long texts, repeated rows and empty tables follow the operators' own rules.
+"""
 
 from __future__ import annotations
 
-import tidegauge.llm  # noqa: F401
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.llm import jaccard, langid, packing, suffix
+from tidegauge.llm.common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter or without a language that fits; the model learns from the labelled ones."""
+    return langid.accepted(docs, langid.train(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one with the least id."""
+    found = jaccard.classes(docs, n=5, percent=80)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts strings of 200 bytes that start anywhere else, too; documents stay, with what is left of their text."""
+    return suffix.without_repeats(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with the sequence and offset where they stand."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Models, set joins over words and tokenizers have no form in SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
