@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.llm.common import slices
 
@@ -170,14 +171,14 @@ def train(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000_000
     return Model({k: [x for _, x in sorted(v)[:per_language]] for k, v in texts.items()})
 
 
-def label(docs: DataFrame, model: Model, penalty: float = 14.0) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lang_pred, score, spans array<struct<start, end, lang>> (characters)."""
+def label(docs: DataFrame, model: Model, penalty: float = 14.0, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(doc_id, text) -> the columns in carry, lang_pred, score, spans array<struct<start, end, lang>> (characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         names = np.array([*model.languages, "und"], object)
-        for batch in slices(batches, "text", 3_000_000):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "_text", 3_000_000):
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
             sizes = np.array([len(t) for t in texts])
             firsts = np.concatenate([[0], np.cumsum(sizes + 1)])
             starts, ends, scores = model.words(code_points("\n".join([*texts, ""])))
@@ -201,7 +202,16 @@ def label(docs: DataFrame, model: Model, penalty: float = 14.0) -> DataFrame:
             begin, finish = starts[at] - firsts[owner[at]], ends[last] - firsts[owner[at]]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(texts)))]).astype(np.int32)
             items = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(finish, pa.int32()), pa.array(names[labels[at]], pa.string())], ["start", "end", "lang"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), items).cast(kind)], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), items).cast(kind)], [*carry, "lang_pred", "score", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    rows = docs.select(*carry, F.col("text").alias("_text"))
+    kind = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>").fields])
+    return rows.mapInArrow(run, kind)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """Rows of docs whose text is in a learned language for at least the given share of its letters."""
+    names = docs.columns
+    numbered = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), "text")
+    kept = label(numbered, model, carry=tuple(f"_{i}" for i in range(len(names)))).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

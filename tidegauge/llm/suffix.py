@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.llm.common import slices, written
 
@@ -233,9 +234,12 @@ def reaches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
     return best
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_000) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, runs array<struct<start, end>>: maximal repeated runs in bytes of the UTF-8 text."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text, runs array<struct<start, end>> (maximal repeated runs in bytes of the UTF-8
+    text) and the columns in carry."""
+    others = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    all_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
+    texts = all_texts.select("doc_id", "text")
     finder, back = Anchors(length, gram), length - gram
     version = F.hash("text")
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -306,10 +310,13 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
                     else:
                         merged.append({"start": x["start"], "end": min(x["end"], size)})
                 out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, kind)], ["doc_id", "text", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(batch.column(f"_{i}") for i in range(len(carry))), pa.array(out, kind)], [*names, "runs"])
 
-    joined = _join(texts.withColumn("v", version), runs, "left").select("doc_id", "text", "r")
-    return joined.mapInArrow(merge, f"doc_id {key}, text string, runs array<struct<start:int,end:int>>")
+    names = ["doc_id", "text", *(f"_{i}" for i in range(len(carry)))]
+    joined = _join(all_texts.withColumn("v", version), runs, "left").select(*names, "r")
+    runs_kind = T.StructField("runs", T._parse_datatype_string("array<struct<start:int,end:int>>"))
+    merged = joined.mapInArrow(merge, T.StructType([*all_texts.schema.fields, runs_kind]))
+    return merged.select("doc_id", "text", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "runs")
 
 
 def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -354,6 +361,26 @@ def _counted(strings: DataFrame, length: int) -> DataFrame:
     return found.select("g", "c", "left", "right")
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with repeated strings cut out of text; a character that loses a byte goes as a whole. n_chars, if there, follows."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cuts = repeats(docs, carry=others, **options)
+    names = cuts.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = [_kept(t.encode(), r).decode("utf-8", "ignore") if r else t for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    out = cuts.mapInArrow(run, T.StructType(cuts.schema.fields[:-1])).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _kept(data: bytes, runs: list[dict]) -> bytes:
+    cuts = [0, *(x for r in runs for x in (r["start"], r["end"])), len(data)]
+    return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
 def removed(found: DataFrame) -> DataFrame:
     """repeats() -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
 
@@ -362,11 +389,10 @@ def removed(found: DataFrame) -> DataFrame:
             sizes, gone, spans, kept = [], [], [], []
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 data = text.encode()
-                cuts = [0, *(x for r in runs for x in (r["start"], r["end"])), len(data)]
                 sizes.append(len(data))
                 spans.append(len(runs))
                 gone.append(sum(r["end"] - r["start"] for r in runs))
-                kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                kept.append(_kept(data, runs))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     key = found.schema["doc_id"].dataType.simpleString()
