@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import psd, spectral
-from tidegauge.operators import alerts, delivery, evaluate, labels, models, scaler, train, windows
+from tidegauge.operators import alerts, delivery, detector, evaluate, labels, models, scaler, train, windows
 from tidegauge.operators.intervals import islands
 from tidegauge.sources import records
+from tidegauge.streaming import replay
 
 SIZE, STEP, RATE, HIGH = 20, 5, 1.0, 330.0
 PER_BATCH, CONTEXT = 25, 2
@@ -592,6 +593,19 @@ def scheduled_record(spark, sf_dir):
     return delivery.scheduled_record(record(spark, sf_dir), arrivals(spark, sf_dir), PER_BATCH).select("row", "batch", "value")
 
 
+@query(f"WITH {DONE} SELECT window, epoch(date_trunc('second', complete_at))::BIGINT AS complete_s FROM done")
+def streaming_replay(spark, sf_dir):
+    feed = arrivals(spark, sf_dir).select("batch", (F.unix_micros("arrived_at") / 1e6).alias("arrived_at"))
+    out = replay.follow_once(feed, size=SIZE, step=STEP, context=CONTEXT, rows=n_rows(record(spark, sf_dir)), per_batch=PER_BATCH)
+    return out.select("window", F.floor("complete_at").cast("long").alias("complete_s"))
+
+
+@query(f'WITH {EV} SELECT (row - 1) // 25 + 1 AS batch, row, value AS "Amplitude" FROM ev')
+def payload_export(spark, sf_dir):
+    rec = record(spark, sf_dir)
+    return detector.export_payload(rec.select("row", F.col("value").alias("A")), PER_BATCH, n_rows(rec), known_events(spark, sf_dir).where(F.col("label_end_index") <= n_rows(rec)))
+
+
 # --- alerts --------------------------------------------------------------------------------------------------
 
 LIVE = SCORED + ", live AS (SELECT window, (probability >= 0.6)::INT AS decision, last_ts AS scored_at FROM scored), runs0 AS (SELECT window, scored_at, window - row_number() OVER (ORDER BY window) AS g FROM live WHERE decision = 1), lens AS (SELECT g, min(window) AS start, max(window) AS \"end\", count(*) AS n FROM runs0 GROUP BY g)"
@@ -776,6 +790,19 @@ def interpolated_psd(spark, sf_dir):
     return rounded(rounded(spectral.interpolated_psd(_welch(spark, sf_dir), at), "f"), "s", digits=3)
 
 
+@query()
+def trailing_welch(spark, sf_dir):
+    rec = record(spark, sf_dir).where("row % 1000 <> 0").select(F.floor((F.col("row") - 1) / 1000).alias("run"), "row", "value")
+    return rounded(detector.trailing_welch(rec, 40, RATE, 600, 200, 5), "psd")
+
+
+@query()
+def score_samples(spark, sf_dir):
+    rec = record(spark, sf_dir).select("row", "value")
+    scale = scaler.FeatureScaler((0.0, 0.0, 0.0, 0.0), (1.0, 6.0, 6.0, 6.0))
+    return rounded(detector.score_windows(windows.sliding(rec, SIZE, STEP, n_rows(rec)), detector.ClassifierScorer(DEEP, scale)), "probability")
+
+
 @query()
 def whiten_stretch(spark, sf_dir):
     rec = record(spark, sf_dir).where("row % 1000 <> 0").select(F.floor((F.col("row") - 1) / 1000).alias("stretch"), "row", "value")

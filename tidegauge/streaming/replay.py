@@ -7,6 +7,8 @@ watermark: windows that are never delivered stay open, as in the batch plan, unl
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,3 +52,20 @@ def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int
         yield pd.DataFrame(out, columns=["window", "complete_at"])
 
     return dealt.groupBy("g").applyInPandasWithState(update, "window long, complete_at double", "batches array<long>, times array<double>, done array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def folder_for(spark) -> str:
+    """A folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def follow_once(arrivals: DataFrame, **geometry) -> DataFrame:
+    """Streams a finished feed through follow() and returns what it emitted, as a table."""
+    spark = arrivals.sparkSession
+    folder = folder_for(spark)
+    arrivals.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(arrivals.schema).parquet(f"{folder}/in")
+    query = follow(stream, **geometry).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("window long, complete_at double").parquet(f"{folder}/out")
