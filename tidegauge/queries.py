@@ -1,7 +1,7 @@
 """Queries on the detection operators over the driver's tables, each with the SQL that DuckDB answers alike.
 
 `events`, numbered by event_id, is the record: value is its sample, ts the arrival of its rows. Windows
-of 20 rows step by 5; a window is positive if it holds a value above 330; its score is a fixed function of
+of 20 rows step by 5; a window is positive if it holds a value above 250; its score is a fixed function of
 its mean, in steps of 1e-4 so that both engines meet the same thresholds.
 """
 
@@ -19,7 +19,7 @@ from tidegauge.operators.intervals import islands
 from tidegauge.sources import records
 from tidegauge.streaming import replay
 
-SIZE, STEP, RATE, HIGH = 20, 5, 1.0, 330.0
+SIZE, STEP, RATE, HIGH = 20, 5, 1.0, 250.0
 PER_BATCH, CONTEXT = 25, 2
 THRESHOLD = 0.85
 
@@ -48,7 +48,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 EV = "ev AS (SELECT event_id + 1 AS row, value, ts FROM events), size AS (SELECT max(row) AS n, (max(row) - 20) // 5 + 1 AS nw FROM ev)"
 WIN = EV + ", win AS (SELECT w.window, ev.row, ev.value, ev.ts FROM (SELECT unnest(range(1, nw + 1)) AS window FROM size) w JOIN ev ON ev.row BETWEEN (w.window - 1) * 5 + 1 AND (w.window - 1) * 5 + 20)"
-SCORED = WIN + ", scored AS (SELECT window, round(1 / (1 + exp(-(avg(value) - 60) / 9)), 4) AS probability, max((value > 330)::INT) AS label, max(ts) AS last_ts, round(max(value) / 100, 4) AS snr FROM win GROUP BY window)"
+SCORED = WIN + ", scored AS (SELECT window, round(1 / (1 + exp(-(avg(value) - 60) / 9)), 4) AS probability, max((value > 250)::INT) AS label, max(ts) AS last_ts, round(max(value) / 100, 4) AS snr FROM win GROUP BY window)"
 SWEEP = SCORED + """, cand AS (SELECT unnest(range(1, 100)) / 100.0 AS threshold),
 noise AS (SELECT window, probability FROM scored WHERE label = 0), pos AS (SELECT window, probability, window - row_number() OVER (ORDER BY window) AS g FROM scored WHERE label = 1),
 ev_best AS (SELECT g, max(probability) AS best FROM pos GROUP BY g),
@@ -105,7 +105,7 @@ def window_features(spark, sf_dir):
     return rounded(win.groupBy("window").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"), F.max("value").alias("top")), "mean", "spread")
 
 
-@query(f"WITH {WIN} SELECT window, max((value > 330)::INT) AS label FROM win GROUP BY window")
+@query(f"WITH {WIN} SELECT window, max((value > 250)::INT) AS label FROM win GROUP BY window")
 def window_labels(spark, sf_dir):
     rec = record(spark, sf_dir)
     return windows.window_labels(rec.withColumn("label", (F.col("value") > HIGH).cast("int")), SIZE, STEP, n_rows(rec))
@@ -290,8 +290,8 @@ def encode_features(spark, sf_dir):
     return rounded(coded(spark, sf_dir).select("vec_id", *FEATURES), *FEATURES)
 
 
-MATCH = SCORED + """, f AS (SELECT *, avg_v FROM (SELECT window, avg(value) AS avg_v FROM win GROUP BY window) JOIN scored USING (window)), r AS (SELECT quantile_cont(avg_v, [0.005, 0.995]) AS b FROM f WHERE window <= 500),
-rn AS (SELECT quantile_cont(avg_v, [0.5, 0.99]) AS a FROM f WHERE window <= 500 AND label = 0), nn AS (SELECT quantile_cont(2 * avg_v + 3, [0.5, 0.99]) AS n FROM f WHERE window > 500 AND label = 0),
+MATCH = SCORED + """, f AS (SELECT *, avg_v FROM (SELECT window, avg(value) AS avg_v FROM win GROUP BY window) JOIN scored USING (window)), r AS (SELECT quantile_cont(avg_v, [0.005, 0.995]) AS b FROM f WHERE window <= 100),
+rn AS (SELECT quantile_cont(avg_v, [0.5, 0.99]) AS a FROM f WHERE window <= 100 AND label = 0), nn AS (SELECT quantile_cont(2 * avg_v + 3, [0.5, 0.99]) AS n FROM f WHERE window > 100 AND label = 0),
 w AS (SELECT (n[2] - n[1]) / ((a[2] - b[1]) / (b[2] - b[1]) - (a[1] - b[1]) / (b[2] - b[1])) AS width, n[1] AS n1, (a[1] - b[1]) / (b[2] - b[1]) AS p FROM r, rn, nn)"""
 
 
@@ -299,8 +299,8 @@ w AS (SELECT (n[2] - n[1]) / ((a[2] - b[1]) / (b[2] - b[1]) - (a[1] - b[1]) / (b
 def match_scaler(spark, sf_dir):
     rec = record(spark, sf_dir)
     df = windows.sliding(rec, SIZE, STEP, n_rows(rec)).groupBy("window").agg(F.avg("value").alias("m"), F.max((F.col("value") > HIGH).cast("int")).alias("label"))
-    first = df.where("window <= 500")
-    got = scaler.match_scaler(scaler.fit_scaler(first, ["m"]), first.where("label = 0"), df.where("window > 500 AND label = 0").withColumn("m", F.col("m") * 2 + 3), ["m"])
+    first = df.where("window <= 100")
+    got = scaler.match_scaler(scaler.fit_scaler(first, ["m"]), first.where("label = 0"), df.where("window > 100 AND label = 0").withColumn("m", F.col("m") * 2 + 3), ["m"])
     return rounded(spark.createDataFrame([(got.lower[0], got.upper[0])], "lower double, upper double"), "lower", "upper", digits=5)
 
 
@@ -615,7 +615,7 @@ def alert_sql(k: int) -> str:
     return LIVE + f", al AS (SELECT g, count(*) OVER w AS m, max(scored_at) OVER w AS t FROM runs0 WINDOW w AS (PARTITION BY g ORDER BY window ROWS {k - 1} PRECEDING)), alert AS (SELECT l.start, l.\"end\", l.n, min(t) AS t_alarm FROM al JOIN lens l USING (g) WHERE m = {k} AND l.n >= {k} GROUP BY 1, 2, 3)"
 
 
-MERGERS = "ms AS (SELECT row, lag(row) OVER (ORDER BY row) AS p FROM ev WHERE value > 330), sp AS (SELECT (row_number() OVER (ORDER BY row))::INT AS event, (row - 1)::DOUBLE AS merger_time_s, greatest(row - 60, 1) AS s0, row + 40 AS s1 FROM ms)"
+MERGERS = "ms AS (SELECT row, lag(row) OVER (ORDER BY row) AS p FROM ev WHERE value > 250), sp AS (SELECT (row_number() OVER (ORDER BY row))::INT AS event, (row - 1)::DOUBLE AS merger_time_s, greatest(row - 60, 1) AS s0, row + 40 AS s1 FROM ms)"
 
 
 def live(spark, sf_dir):
