@@ -32,6 +32,7 @@ def _made(path: str) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     free_shuffles(spark)
@@ -68,7 +69,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             yield batch.slice(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows bound what Python workers and the JVM hold for them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

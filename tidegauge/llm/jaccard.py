@@ -38,7 +38,7 @@ _BASE = int(_RANDOM.integers(2**62, 2**63)) | 1
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 #: Slots of each of the two rows of the sketch; buckets of a histogram; bytes of text handled at once.
-SLOTS, BUCKETS, PART, STRIPES = 1 << 19, 64, 2_000_000, 16
+SLOTS, BUCKETS, PART, STRIPES = 1 << 19, 64, 1_000_000, 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 2**64)):
@@ -67,7 +67,7 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in texts]
-    power, inverse = _powers(1 << max(16, len(data).bit_length()))
+    power, inverse = _powers(1 << max(PART.bit_length(), len(data).bit_length()))
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power[: len(data)])])
     words = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     first_word = np.searchsorted(starts, firsts)
@@ -125,6 +125,11 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(2, SLOTS)
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Counts of hashes by bucket, held at 255: distances of two such histograms are never above the sets' distance."""
+    return np.minimum(np.bincount((s >> np.uint64(34)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
+
+
 class Order:
     """Rare first: a key whose high bits are the estimated frequency's class and whose others come from the hash."""
 
@@ -193,7 +198,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
                     marks.append(None), hists.append(None), grams.append([])
                     continue
                 marks.append(int(_mix(s * np.uint64(_BASE) + np.uint64(size)).sum(dtype=np.uint64).view(np.int64)))
-                hists.append(np.minimum(np.bincount((s >> np.uint64(34)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype(np.uint16).tobytes())
+                hists.append(histogram(s).tobytes())
                 prefix = size - -(-percent * size // 100) + 1
                 keys = order.keys(s)
                 grams.append(np.sort(np.partition(keys, prefix - 1)[:prefix] if prefix < size else keys)[:prefix].view(np.int64))
@@ -216,7 +221,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             marks = [r[3] for r in group]
             size = np.array([r[4] for r in group])
             at = np.array([r[5] for r in group])
-            hist = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(len(group), BUCKETS).astype(np.int32)
+            hist = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), BUCKETS).astype(np.int16)
 
             def near(i: int, others: np.ndarray) -> np.ndarray:
                 small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
@@ -224,7 +229,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
                 ok = 100 * small >= percent * large
                 ok &= np.minimum(at[others], at[i]) + np.minimum(size[others] - at[others], size[i] - at[i]) >= need
                 some = np.flatnonzero(ok)
-                ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1) <= (size[others] + size[i] - 2 * need)[some]
+                ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1, dtype=np.int32) <= (size[others] + size[i] - 2 * need)[some]
                 return ok
 
             out += [(marks[a], marks[b]) for a, b in _forest(len(group), near)]
@@ -258,22 +263,29 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             group = [r for k, r in enumerate(group) if not k or r[3] != group[k - 1][3]]
             arrays = [np.frombuffer(r[4], np.uint64) for r in group]
             size = np.array([len(s) for s in arrays])
-            hist = np.stack([np.bincount((s >> np.uint64(34)).astype(np.int64) % BUCKETS, minlength=BUCKETS) for s in arrays]).astype(np.int32)
-            members = [None] * len(group)
-
-            def of(k: int) -> frozenset:
-                if members[k] is None:
-                    members[k] = frozenset(arrays[k].tolist())
-                return members[k]
+            hist = np.stack([histogram(s) for s in arrays]).astype(np.int16)
+            known, flat = np.unique(np.concatenate(arrays), return_inverse=True)
+            flat = np.split(flat.astype(np.int32), np.cumsum(size)[:-1])
+            mark = np.zeros(len(known), np.int32)
+
+            def common(i: int, others: np.ndarray) -> np.ndarray:
+                """Number of n-grams that i has in common with each of the others."""
+                mark[flat[i]] = 1
+                out = []
+                for a in range(0, len(others), 1000):
+                    some = others[a : a + 1000]
+                    out.append(np.add.reduceat(mark[np.concatenate([flat[k] for k in some.tolist()])], np.concatenate([[0], np.cumsum(size[some])[:-1]])))
+                mark[flat[i]] = 0
+                return np.concatenate(out) if out else np.zeros(0, int)
 
             def near(i: int, others: np.ndarray) -> np.ndarray:
                 both = size[others] + size[i]
                 need = -(-percent * both // (100 + percent))
                 ok = np.minimum(size[others], size[i]) >= need
                 some = np.flatnonzero(ok)
-                ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1) <= (both - 2 * need)[some]
-                some, own = np.flatnonzero(ok), of(i)
-                ok[some] = [len(own & of(k)) >= x for k, x in zip(others[some].tolist(), need[some].tolist(), strict=True)]
+                ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1, dtype=np.int32) <= (both - 2 * need)[some]
+                some = np.flatnonzero(ok)
+                ok[some] = common(i, others[some]) >= need[some]
                 return ok
 
             out = [(group[a][3], group[b][3]) for a, b in _forest(len(group), near)]
