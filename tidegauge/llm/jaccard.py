@@ -38,7 +38,7 @@ _BASE = int(_RANDOM.integers(2**62, 2**63)) | 1
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 #: Slots of each of the two rows of the sketch; buckets of a histogram; bytes of text handled at once.
-SLOTS, BUCKETS, PART, STRIPES = 1 << 19, 64, 1_000_000, 16
+SLOTS, BUCKETS, PART, STRIPES = 1 << 19, 256, 1_000_000, 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
