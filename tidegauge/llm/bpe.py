@@ -1,6 +1,6 @@
 """Byte-level BPE by ranks: a hierarchical-bitmap rank queue over a linked list of positions.
 
-Every merge rank has a bucket of list positions; a three-level bitmap of ranks with buckets in use gives
+Every merge rank has a bucket of list positions; a two-level bitmap of ranks with buckets in use gives
 the next rank by find-first-set in constant time, whatever the piece's length. Merges leave stale
 entries behind, which are skipped when popped. Very long pieces therefore take time in proportion to
 their length times the logarithm of the fullest bucket.
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,59 +24,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegauge.llm.chunks import ChunkCache
+from tidegauge.llm.chunks import ChunkCache, TwoAges
 from tidegauge.llm.common import blob_lists, slices
 
 
-class RankQueue:
-    """Positions by rank; pop() gives the leftmost position of the least rank."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) when empty."""
-        if not self.top:
-            return -1, -1
-        k = (self.top & -self.top).bit_length() - 1
-        word = self.mid[k]
-        k = k << 6 | (word & -word).bit_length() - 1
-        word = self.low[k]
-        rank = k << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[k] = word = word & word - 1
-            if not word:
-                self.mid[k >> 6] &= ~(1 << (k & 63))
-                if not self.mid[k >> 6]:
-                    self.top &= ~(1 << (k >> 6))
-        return rank, at
+#: Signs that the pattern never joins to letters before them.
+_ENDS = frozenset(".,!?;:")
+
+
+#: Ranks to a word of the lower level; the upper level has one word.
+WIDE = 512
+_BITS = [1 << i for i in range(WIDE)]
 
 
 class RankEncoder:
     """encode(texts) -> per text the little-endian uint32 ids as bytes; tokens[id] are the bytes of an id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 900_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 1_200_000):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        most = max(ranks.values(), default=0)
+        if most >= WIDE * WIDE:
+            raise ValueError(f"ranks of {WIDE * WIDE} and more")
+        self.buckets: dict[int, list[int]] = {}  # heaps of positions by rank
+        self.words = [0] * (most // WIDE + 1)  # bitmap of the ranks in use
         self.cache = ChunkCache(self._many, entries)
-        self.pieces: dict[str, bytes] = {}
-        self.entries = entries
+        self.pieces = TwoAges(entries // 8)
         size = max(ranks.values(), default=-1) + 1
         self.tokens = [b""] * size
         for token, rank in ranks.items():
@@ -84,24 +58,47 @@ class RankEncoder:
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: always the leftmost pair of the least rank is merged next."""
-        ranks, n = self.ranks, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        """Ids of one piece: always the leftmost pair of the least rank is merged next.
+
+        The queue stands inline, as calls would cost more than its work: a rank's bit is rank % WIDE of word
+        rank // WIDE in `words`, and `top` has a bit for each word that isn't zero. All are empty at the end.
+        """
+        ranks, n, get = self.ranks, len(piece), self.ranks.get
+        if (whole := get(piece)) is not None:
             return [whole]
-        push, pop, get = self.queue.push, self.queue.pop, ranks.get
+        buckets, words, bits, top = self.buckets, self.words, _BITS, 0
         after = list(range(1, n + 2))  # after[i]: start of the part that follows the part at i
         before = list(range(-1, n))
-        now = [-1] * (n + 1)  # rank of the pair that starts at i, as queued last
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                now[i] = r
-                push(r, i)
+        now = list(map(get, [piece[i : i + 2] for i in range(n - 1)], repeat(-1)))  # rank of the pair that starts at i
+        new = [(r, i) for i, r in enumerate(now) if r >= 0]
+        now += (-1, -1)
         while True:
-            rank, i = pop()
-            if rank < 0:
+            for r, i in new:  # push
+                if r in buckets:
+                    heappush(buckets[r], i)
+                    continue
+                buckets[r] = [i]
+                k = r // WIDE
+                if not words[k]:
+                    top |= bits[k]
+                words[k] |= bits[r % WIDE]
+            if not top:
                 break
-            if now[i] != rank:
+            k = (top & -top).bit_length() - 1  # pop: find the first bit on both levels
+            word = words[k]
+            first = word & -word
+            r = k * WIDE + first.bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                del buckets[r]
+                i = bucket[0]
+                words[k] = word = word ^ first
+                if not word:
+                    top ^= bits[k]
+            new = ()
+            if now[i] != r:
                 continue  # stale
             gone = after[i]
             end = after[gone]
@@ -109,37 +106,43 @@ class RankEncoder:
             now[gone] = -1
             if end < n:
                 before[end] = i
-                r = get(piece[i : after[end]])
-                now[i] = -1 if r is None else r
-                if r is not None:
-                    push(r, i)
+                now[i] = r = get(piece[i : after[end]], -1)
+                if r >= 0:
+                    new = ((r, i),)
             else:
                 now[i] = -1
             left = before[i]
             if left >= 0:
-                r = get(piece[left:end])
-                now[left] = -1 if r is None else r
-                if r is not None:
-                    push(r, left)
+                now[left] = r = get(piece[left:end], -1)
+                if r >= 0:
+                    new = (*new, (r, left))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.merge(piece.encode())).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = b"".join([i.to_bytes(4, "little") for i in self.merge(piece.encode())])
-            if len(piece) <= 12:
-                if len(self.pieces) >= self.entries // 8:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
+        return self.pieces.get(piece) or self.pieces.put(piece, self._ids(piece))
+
+    def _word(self, chunk: str) -> bytes:
+        """A chunk of letters, which may be known without the sign that followed it."""
+        return (self.cache.inner.get(chunk[1:]) if chunk[0] == " " else None) or self._ids(chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        bare = chunk[1:] if chunk[:1] == " " else chunk
+        if bare.isascii():  # letters of other scripts are left to the pattern's own tables
+            if bare.isalpha():
+                return self._ids(chunk)
+            if bare[-1:] in _ENDS and bare[:-1].isalpha():
+                return self._word(chunk[:-1]) + self._piece(chunk[-1])
+        return b"".join(map(self._piece, self.find(chunk)))
 
     def _many(self, chunks: list[str]) -> list[bytes]:
-        find, piece = self.find, self._piece
-        return [piece(c) if c[1:].isalpha() and c[0] == " " else b"".join(map(piece, find(c))) for c in chunks]
+        return list(map(self._chunk, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(v) for v in self.cache.encode(texts)]

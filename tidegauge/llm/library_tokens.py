@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import regex
 
-from tidegauge.llm.chunks import ChunkCache
+from tidegauge.llm.chunks import ChunkCache, TwoAges
 
 #: The splitting pattern that word_bpe_49k.json states.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,7 +31,7 @@ class LibraryEncoder:
     chunk goes through the library's whole path, whose tables for rarer characters then decide.
     """
 
-    def __init__(self, path: str, kind: str, pattern: str, entries: int = 900_000):
+    def __init__(self, path: str, kind: str, pattern: str, entries: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,45 +39,34 @@ class LibraryEncoder:
         self.whole.encode_special_tokens = True
         self.model, self.lower = self.whole.model, kind == "word"
         self.find, self.table = regex.compile(WORD_PATTERN if self.lower else pattern).findall, _visible()
-        self.pieces: dict[str, bytes] = {}
-        self.entries = entries
+        self.pieces = TwoAges(entries // 8)
         self.cache = ChunkCache(self._many, entries)
 
+    def _model(self, piece: str) -> bytes:
+        """Ids of one match of the pattern."""
+        shown = piece.replace(" ", "Ġ") if piece.isascii() and piece.strip(" ").isprintable() else piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            shown = piece.replace(" ", "Ġ") if piece.isascii() and piece.lstrip(" ").isprintable() and " " not in piece[1:] else piece.encode().decode("latin-1").translate(self.table)
-            got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-            if len(piece) <= 24:
-                if len(self.pieces) >= self.entries // 4:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
+        return self.pieces.get(piece) or self.pieces.put(piece, self._model(piece))
+
+    def _word(self, chunk: str) -> bytes:
+        """A chunk of letters, which may be known without the sign that followed it."""
+        known = chunk[1:] if chunk[0] == " " else chunk if self.lower else None
+        return (known and self.cache.inner.get(known)) or self._model(chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
-            return _packed(self.whole.encode(chunk, add_special_tokens=False).ids)
+            return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(chunk, add_special_tokens=False).ids])
         if self.lower:
-            chunk = chunk.lower()
-            bare = chunk.lstrip(" ")
-        else:
-            bare = chunk[1:] if chunk[:1] == " " else chunk
-            if bare.isalpha():
-                return self._model(chunk)
-            if bare[:-1].isalpha() and bare[-1] in _ENDS:
-                return self._model(chunk[:-1]) + self._piece(chunk[-1])
-            return b"".join(map(self._piece, self.find(chunk)))
+            chunk = chunk.lower().lstrip(" ")
+        bare = chunk[1:] if chunk[:1] == " " else chunk
         if bare.isalpha():
-            return self._model(bare)
-        if bare[:-1].isalpha() and bare[-1] in _ENDS:
-            return self._model(bare[:-1]) + self._piece(bare[-1])
+            return self._model(chunk)
+        if bare[-1:] in _ENDS and bare[:-1].isalpha():
+            return self._word(chunk[:-1]) + self._piece(chunk[-1])
         return b"".join(map(self._piece, self.find(chunk)))
 
-    def _model(self, piece: str) -> bytes:
-        """A piece of letters after one space at most; kept with its chunk, if at all."""
-        shown = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-
     def _many(self, chunks: list[str]) -> list[bytes]:
         return list(map(self._chunk, chunks))
 
@@ -84,10 +74,6 @@ class LibraryEncoder:
         return [b"".join(v) for v in self.cache.encode(texts)]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str, pattern: str) -> LibraryEncoder:
     """One for each worker process and vocabulary."""

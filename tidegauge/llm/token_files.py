@@ -3,7 +3,7 @@
 File: MAGIC; the planes of each chunk, one after another; the index (JSON, zstandard) with block size,
 plane kind, per chunk the number of ids, offset and length of each plane's frame, and per document its
 id and number of ids; length of the index (8 bytes); MAGIC. A block's ids are transposed so that plane k
-holds bit k (or byte k) of every id: planes of high bits are nearly constant and vanish under compression.
+holds bit k (or byte k) of every id; bytes that are zero throughout a block have no planes.
 
 Cases: a null text counts as empty and yields the end id alone; an empty table yields no file and no
 rows; repeated ids and repeated rows are each kept, in order of text; other columns are ignored; a text
@@ -29,19 +29,30 @@ BLOCK = 65_536
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
-    """Planes of uint32 ids, least significant first."""
-    rows = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    """Planes of uint32 ids, least significant first; bytes that are zero in all ids have no planes."""
+    width = -(-int(ids.max(initial=0)).bit_length() // 8)
+    rows = ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
     if kind == "byte":
-        return [rows[:, k].tobytes() for k in range(4)]
-    bits = np.unpackbits(rows, axis=1, bitorder="little")
-    return [p.tobytes() for p in np.packbits(np.ascontiguousarray(bits.T), axis=1)]
+        return [rows[:, k].tobytes() for k in range(width)]
+    planes = []
+    for k in range(width):
+        column = np.ascontiguousarray(rows[:, k])
+        planes += [np.packbits(column & np.uint8(1 << b)).tobytes() for b in range(8)]
+    return planes
 
 
 def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
+    rows = np.zeros((n, 4), np.uint8)
     if kind == "byte":
-        return np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).reshape(-1).view("<u4")
-    bits = np.unpackbits(np.stack([np.frombuffer(p, np.uint8) for p in planes]), axis=1)[:, :n]
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view("<u4")
+        for k, plane in enumerate(planes):
+            rows[:, k] = np.frombuffer(plane, np.uint8)
+    else:
+        for k in range(0, len(planes), 8):
+            column = np.zeros(n, np.uint8)
+            for b in range(8):
+                column |= np.unpackbits(np.frombuffer(planes[k + b], np.uint8), count=n) << np.uint8(b)
+            rows[:, k // 8] = column
+    return rows.reshape(-1).view("<u4")
 
 
 class PlaneWriter:
@@ -107,15 +118,15 @@ class PlaneReader:
 
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
         """Each document's id and its ids as little-endian bytes; one block is in memory at a time."""
-        have, k = b"", 0
+        have, at, k = memoryview(b""), 0, 0
         for doc_id, n in self.docs:
             parts, need = [], 4 * n
-            while need > len(have):
-                parts.append(have)
-                need -= len(have)
-                have, k = self.chunk(k).tobytes(), k + 1
-            parts.append(have[:need])
-            have = have[need:]
+            while need > len(have) - at:
+                parts.append(have[at:])
+                need -= len(have) - at
+                have, at, k = memoryview(self.chunk(k).tobytes()), 0, k + 1
+            parts.append(have[at : at + need])
+            at += need
             yield doc_id, b"".join(parts)
 
 
