@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of a fresh folder below spark.checkpoint.dir; where that is unset (tests), one is set here."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="llm-", dir=_made("/tmp/checkpoints"))
+        own = tempfile.mkdtemp(prefix="llm-", dir=_made("/tmp/checkpoints"))
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + root
