@@ -22,10 +22,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one with the least id."""
-    found = jaccard.classes(docs, n=5, percent=80)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one with the least id;
+    of rows that repeat with id and text, one."""
+    found = jaccard.classes(docs, n=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]) if kept.where("n > 1").limit(1).count() else rows
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
