@@ -209,7 +209,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
     rows = sets.select("mark", "n", F.posexplode("grams").alias("at", "gram"))
     groups = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum(F.pmod(F.xxhash64("mark"), F.lit(2**40))).alias("who")).where("m > 1")
     kept = written(groups.groupBy("m", "who").agg(F.min("gram").alias("gram")).select("gram", "m"), "groups")
-    live = written(rows.join(kept, "gram"), "live")
+    live = written(rows.join(kept.hint("merge"), "gram"), "live")  # both sides deal their keys out, at every size; large keys are split
     dealt = blocks(live.join(sets.select("mark", "hist"), "mark").select("gram", "mark", "n", "at", "m", "hist"), "gram", "m", "mark", block)
     dealt = dealt.select("gram", "i", "j", "mark", "n", "at", "hist").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
