@@ -81,6 +81,16 @@ def test_jaccard(spark, n, percent, block):
     assert jaccard.classes(df.limit(0), n, percent).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_few_words_alone(spark, n):
+    for m in range(1, n + 2):
+        text = " ".join(map(str, range(m))).encode()
+        assert [len(s) for s in jaccard.shingles([b"", text, b"\n"], n)] == [0, max(1, m - n + 1), 0]
+    docs = [(k, " ".join("abc"[:m])) for k, m in enumerate((1, 2, 3, 2, 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(5, "doc_id")  # each alone in its partition
+    assert sorted(map(tuple, jaccard.classes(df, n).collect())) == brute_jaccard(docs, n, 85)
+
+
 def test_chat_against_sql(spark, data):
     got = queries.op7_prefix_target_chat(spark, data).toPandas().sort_values("conv_id").reset_index(drop=True)
     c = duckdb.connect()

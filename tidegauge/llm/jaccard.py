@@ -73,7 +73,7 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     first_word = np.searchsorted(starts, firsts)
     counts = np.diff(np.append(first_word, len(starts)))
     h = np.zeros(len(words), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(words))):
         h[: len(words) - k] = h[: len(words) - k] * np.uint64(_BASE) + words[k:]
     h = _mix(h)
     out = []
