@@ -91,6 +91,12 @@ def test_few_words_alone(spark, n):
     assert sorted(map(tuple, jaccard.classes(df, n).collect())) == brute_jaccard(docs, n, 85)
 
 
+def test_groups_whose_hash_sums_agree(spark):
+    docs = [(k, f"a{i} b{i} {x}{i}") for k, (i, x) in enumerate((i, x) for i in (382245, 1761634, 96361, 1945964) for x in "cd")]  # found by search
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(df, 1, 50).collect())) == brute_jaccard(docs, 1, 50)
+
+
 def test_chat_against_sql(spark, data):
     got = queries.op7_prefix_target_chat(spark, data).toPandas().sort_values("conv_id").reset_index(drop=True)
     c = duckdb.connect()

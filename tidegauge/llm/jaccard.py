@@ -5,10 +5,11 @@
 2. A text's profile: number of distinct n-grams, a hash of the set, its prefix (the first of its n-grams in
    that order, as many as guarantee a common one in any linked pair) and a histogram of n-gram hashes.
    Equal sets collapse into one row by aggregation.
-3. Prefix n-grams that occur twice form groups; groups with the same members are kept once. In a group,
-   pairs must pass the length filter, the positional filter and the suffix filter (the histograms' distance
-   bounds the sets' distance from below). A search over the group writes a spanning forest of the pairs
-   that pass, never the pairs; groups above `block` members are dealt out as pairs of blocks.
+3. Prefix n-grams that occur twice form groups; groups with the same members (equal size, sum of 40-bit
+   hashes and xor of other 64-bit hashes of the members) are kept once. In a group, pairs must pass the
+   length filter, the positional filter and the suffix filter (the histograms' distance bounds the sets'
+   distance from below). A search over the group writes a spanning forest of the pairs that pass, never the
+   pairs; groups above `block` members are dealt out as pairs of blocks.
 4. Connected groups are verified on whole sets, each pair at most once: a search skips whatever is
    connected already and counts common n-grams of the rest; large ones go out as pairs of blocks, too.
 5. Components of verified links, mapped back to all rows.
@@ -207,8 +208,8 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
     profiles = written(docs.select("doc_id", "text").mapInArrow(profile, f"doc_id {key}, n long, mark long, hist binary, grams array<long>"), "profiles")
     sets = written(profiles.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "sets")
     rows = sets.select("mark", "n", F.posexplode("grams").alias("at", "gram"))
-    groups = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum(F.pmod(F.xxhash64("mark"), F.lit(2**40))).alias("who")).where("m > 1")
-    kept = written(groups.groupBy("m", "who").agg(F.min("gram").alias("gram")).select("gram", "m"), "groups")
+    groups = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum(F.pmod(F.xxhash64("mark"), F.lit(2**40))).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "mark")).alias("also")).where("m > 1")
+    kept = written(groups.groupBy("m", "who", "also").agg(F.min("gram").alias("gram")).select("gram", "m"), "groups")
     live = written(rows.join(kept.hint("merge"), "gram"), "live")  # both sides deal their keys out, at every size; large keys are split
     dealt = blocks(live.join(sets.select("mark", "hist"), "mark").select("gram", "mark", "n", "at", "m", "hist"), "gram", "m", "mark", block)
     dealt = dealt.select("gram", "i", "j", "mark", "n", "at", "hist").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
