@@ -63,6 +63,20 @@ def test_topk(spark, rows):
     assert topk.search(df.limit(0), df, 5).count() == 0
 
 
+def test_topk_wide(spark):
+    big = float(np.float32(3e38))
+    rows = [(0, [1.0, 2.0]), (1, [70000.0, -1.5]), (2, [0.5, 0.25]), (3, [-big, 1.0]), (50, [2.0**40, 3.0]), (51, [2.0**40, 3.0]), (52, [-1.0, 9.0]), (100, [big, big])]
+    v = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows]
+    df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2))
+    for q, b in ((512, 8192), (1, 3)):
+        wanted = []
+        for i, x in v:
+            if i % 50 == 0:
+                best = sorted((-sum(a * c for a, c in zip(x, y)), j) for j, y in v if j != i)[:4]
+                wanted += [(i, k + 1, j, -s if abs(s) < 2**63 else None) for k, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, topk.search(df.where("vec_id % 50 = 0"), df, 4, q, b).collect())) == wanted
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 2), (4, 5), (None, 1), (20, 30), (30, 10)] + [(100, k) for k in range(101, 140)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()))

@@ -11,12 +11,15 @@ the query set times all rows, as the search asks for.
 Cases: vectors that are null or empty, or hold null or non-finite components, take no part; vectors of
 other lengths than the query's don't match it; ties go to the smaller id; a query never finds rows of its
 own id; repeated ids are separate candidates; fewer than k candidates give them all; an empty table gives
-no rows; other columns are ignored. Scores are exact 64-bit integers; components beyond 2**24 are refused.
+no rows; other columns are ignored. Scores are exact integers: pairs with a vector that has a component beyond
+2**24 are scored one by one in Python's integers. Ranks are exact for every finite component of type float; a
+score beyond 64 bits, which its column can't hold, shows as null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 64
+#: Vectors with larger components don't go to vector files. What scores are subtracted from to sort as bytes.
+LARGEST, TOP, WIDTH = 2**24, 2**311, 40
 
 
 class VectorFile:
@@ -64,13 +69,17 @@ class VectorFile:
 
 
 def integers(rows: DataFrame, factor: int = 256) -> DataFrame:
-    """vec_id, v array<long>: floor(factor * x) of usable vectors."""
+    """vec_id, v array<double>: floor(factor * x) of usable vectors; doubles from 2**52 on are whole numbers."""
     usable = "embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
-    return rows.where(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(factor))).cast("long")).alias("v"))
+
+    def whole(y):
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
+    return rows.where(usable).select("vec_id", F.transform("embedding", lambda x: whole(x.cast("double") * F.lit(float(factor)))).alias("v"))
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int = 512, block: int = 8192) -> DataFrame:
-    """queries and vectors (vec_id, v array<long>) -> query_id, rank (from 1), vec_id, score."""
+    """queries and vectors (vec_id, v array<double> of whole numbers) -> query_id, rank (from 1), vec_id, score."""
     spark = vectors.sparkSession
     n_queries, n_vectors = queries.count(), vectors.count()
     q_blocks, v_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_vectors // block))
@@ -88,26 +97,36 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int
             found = []
             lengths = np.asarray(pc.list_value_length(lists))
             flat, ends = np.asarray(lists.flatten()), np.cumsum(lengths)
-            if len(flat) and np.abs(flat).max() > 2**24:
-                raise ValueError("components beyond 2**24")
             for d in np.unique(lengths).tolist():
                 q, v = (np.flatnonzero((kind == x) & (lengths == d)) for x in (0, 1))
                 if not len(q) or not len(v):
                     continue
                 own = [np.stack([flat[ends[i] - d : ends[i]] for i in x]) for x in (q, v)]
-                file, v_ids = VectorFile(own[1]), ids[v]
+                wide = [np.abs(x).max(1) > LARGEST for x in own]
+                v_ids, small = ids[v], np.flatnonzero(~wide[1])
+                exact = [list(map(int, x)) for x in own[1].tolist()] if wide[0].any() else {j: list(map(int, own[1][j].tolist())) for j in np.flatnonzero(wide[1]).tolist()}
+                file = VectorFile(own[1][small].astype(np.int64)) if len(small) else None
                 for a in range(0, len(q), 128):
-                    bounds = file.bounds(own[0][a : a + 128])
-                    for i, bound in zip(q[a : a + 128], bounds, strict=True):
-                        best = file.search(own[0][a : a + 128][i == q[a : a + 128]][0], bound, v_ids == ids[i], v_ids, k)
-                        found += [(int(ids[i]), x, -s) for s, x in best]
+                    part = np.where(wide[0][a : a + 128, None], 0, own[0][a : a + 128]).astype(np.int64)
+                    bounds = file.bounds(part) if file else [None] * len(part)
+                    for n, (i, bound) in enumerate(zip(q[a : a + 128].tolist(), bounds, strict=True)):
+                        if wide[0][a + n]:
+                            best, others = [], range(len(v))
+                        else:
+                            best = file.search(part[n], bound, v_ids[small] == ids[i], v_ids[small], k) if file else []
+                            others = np.flatnonzero(wide[1]).tolist()
+                        if len(others):
+                            query = list(map(int, own[0][a + n].tolist()))
+                            best = sorted([*best, *((-sum(map(mul, query, exact[j])), int(v_ids[j])) for j in others if v_ids[j] != ids[i])])[:k]
+                        found += [(int(ids[i]), x, s) for s, x in best]
             if found:
                 a, b, s = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, s)], ["query_id", "vec_id", "score"])
+                keys, scores = [(TOP + x).to_bytes(WIDTH, "big") for x in s], [-x if -(2**63) <= -x < 2**63 else None for x in s]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "key", "score"])
 
-    partial = both.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("x"))  # k rows for each block
-    return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.s")).alias("score"))
+    partial = both.mapInArrow(run, "query_id long, vec_id long, key binary, score long")
+    best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each block
+    return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]):
