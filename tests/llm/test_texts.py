@@ -129,6 +129,11 @@ def test_main_text(spark):
     assert len(got) == 7 and {r["text"] for r in got if r["page_id"] in (1, 2)} == {""} and sum(r["text"].startswith("A & B") for r in got) == 2
 
 
+def test_digits_of_whole_block():
+    rows = html.features([html.Block(t, 0, ("p",), ()) for t in ("12 " * 70 + "words " * 500, "word " * 50 + "1234 " * 200, "1 2")])
+    assert ["digits" in r for r in rows] == [False, True, True]
+
+
 def brute_repeats(docs, length):
     seen = {}
     for k, (_, t) in enumerate(docs):

@@ -146,7 +146,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         row = [f"in {t}" for t in dict.fromkeys(b.tags)] + [f"hint {h}" for h in b.hints]
         row += [f"tag {b.tags[-1] if b.tags else '-'}", f"last hint {b.hints[-1] if b.hints else '-'}", f"size {size}", f"link {link}", f"size link {size} {link}", "bias"]
         row += [f"hints {a} {c}" for a, c in zip(b.hints, b.hints[1:], strict=False)]
-        row += [name for name, yes in (("stop", b.text[-1] in ".!?…\"”»"), ("comma", "," in b.text), ("sign", any(c in b.text for c in "©|·»›®™")), ("digits", sum(map(str.isdigit, b.text[:200])) > len(b.text[:200]) / 5)) if yes]
+        row += [name for name, yes in (("stop", b.text[-1] in ".!?…\"”»"), ("comma", "," in b.text), ("sign", any(c in b.text for c in "©|·»›®™")), ("digits", sum(map(str.isdigit, b.text)) > len(b.text) / 5)) if yes]
         main = "main" in b.hints or "article" in b.tags or "main" in b.tags
         row.append(f"main {main} {size} {link}")
         rows.append(row)
