@@ -29,6 +29,23 @@ def test_language_id(spark, data):
     assert langid.accepted(spark.createDataFrame(odd, "doc_id long, text string, score string"), model).columns == ["doc_id", "text", "score"]
 
 
+def test_every_language_and_letter(spark):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(63)]
+    rows = [(100 * k + j, " ".join([w] * 5), f"l{k:02}") for k, w in enumerate(own) for j in range(20 if k < 62 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang"]: r["lang_pred"] for r in langid.label(df, langid.train(df), carry=("lang",)).collect()} == {f"l{k:02}": f"l{k:02}" for k in range(63)}
+    many = " ".join(chr(c) for c in (*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450))) + " "
+    texts = {"a": [many * 20], "b": ["აბგდ ბაგა გადა"], "c": ["ჰჯხჭ ჯაჰა ხაჭა"]}
+    model = langid.Model(texts)
+    odd = spark.createDataFrame([("b", "გადა ბაგა"), ("c", "ჭახა ჰაჯა"), ("a", "a b c")], "lang string, text string")
+    assert all(r["lang"] == r["lang_pred"] for r in langid.label(odd, model, carry=("lang",)).collect())
+    s = np.array([0, 2, 3, 2, 0, 3, 3, 2, 0])
+    index, live = langid._triples(s, langid.SYMBOLS)
+    table = langid.Model({"x": ["aba bba"]})
+    assert np.array_equal(langid.Triples(index[live], langid.SYMBOLS, 2.0).logs(np.arange(64**3)), table.logs[:, 0])
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     scores = rng.normal(size=(7, 3)).astype(np.float32)

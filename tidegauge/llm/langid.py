@@ -7,7 +7,7 @@ spans of mixed-language text; the language with most letters in its spans is the
 the letters of all words is the score.
 
 Training reads at most `per_language` documents of each language, the first in order of a hash of the
-document's id: a stated bound, alike at every input size. At most MOST_LANGUAGES languages are learned.
+document's id: a stated bound, alike at every input size. Every language and every letter that occur there are learned.
 
 Cases: null text or one without a letter gives `und`, score 0 and no spans; letters of scripts that no
 language uses leave the most frequent language with score 0; an empty table gives no rows; without any
@@ -35,8 +35,8 @@ SCRIPTS = (
     (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"),
     (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0x20000, "han"), (0x2FA20, "other"),
 )
-SYMBOLS = 64
-MOST_LANGUAGES = 60
+#: Up to so many symbols and languages a table has all triples of letters, beyond them those that occur.
+SYMBOLS, TABLED = 64, 60
 NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 
 
@@ -57,6 +57,29 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+class Triples:
+    """One language's counts of the triples that occur; logs() gives any triple's log-probability, as the full table does."""
+
+    def __init__(self, index: np.ndarray, k: int, smooth: float):
+        self.k, self.smooth = k, smooth
+        self.three, self.two, self.before = (np.unique(x, return_counts=True) for x in (index, index % k**2, index // k))
+        self.one, self.first = (np.bincount(x, minlength=k) for x in (index % k, index // k % k))
+
+    @staticmethod
+    def _count(known: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+        keys, counts = known
+        if not len(keys):
+            return np.zeros(len(wanted), int)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, counts[at], 0)
+
+    def logs(self, index: np.ndarray) -> np.ndarray:
+        k, smooth = self.k, self.smooth
+        p1 = (self.one[index % k] + 0.5) / (self.one.sum() + 0.5 * k)
+        p2 = (self._count(self.two, index % k**2) + smooth * p1) / (self.first[index // k % k] + smooth)
+        return np.log((self._count(self.three, index) + smooth * p2) / (self._count(self.before, index // k) + smooth)).astype(np.float32)
+
+
 class Model:
     """Letter statistics of each language; scores() gives the log-probability of every word."""
 
@@ -66,28 +89,33 @@ class Model:
         points = {k: code_points(" ".join(["", *v, ""])) for k, v in texts.items()}
         counts = sum((Counter(dict(zip(*map(np.ndarray.tolist, np.unique(lower[p], return_counts=True)), strict=True))) for p in points.values()), Counter())
         counts.pop(0, None)
-        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        symbol = {c: i + 2 for i, c in enumerate(known)}  # 0: no letter, 1: any other letter
+        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        symbol = {c: i + 2 for i, c in enumerate(known)}  # 0: no letter, 1: a letter without a place in training
         self.known = known
         table = self._table(symbol)
-        k, tables, self.uses = SYMBOLS, [], np.zeros((len(NAMES), len(self.languages)), bool)
+        self.k = k = max(SYMBOLS, len(known) + 2)
+        full = k == SYMBOLS and len(texts) <= TABLED
+        tables, self.sparse, self.uses = [], None if full else [], np.zeros((len(NAMES), len(self.languages)), bool)
         for j, name in enumerate(self.languages):
             s = table[points[name]].astype(np.int64)
-            index, live = _triples(s)
-            c3 = np.bincount(index[live], minlength=k**3).reshape(k, k, k).astype(float)
-            c2, c1 = c3.sum(0), c3.sum((0, 1))
-            p1 = (c1 + 0.5) / (c1.sum() + 0.5 * k)
-            p2 = (c2 + smooth * p1) / (c2.sum(1, keepdims=True) + smooth)
-            tables.append(np.log((c3 + smooth * p2[None]) / (c3.sum(2, keepdims=True) + smooth)))
+            index, live = _triples(s, k)
+            if full:
+                c3 = np.bincount(index[live], minlength=k**3).reshape(k, k, k).astype(float)
+                c2, c1 = c3.sum(0), c3.sum((0, 1))
+                p1 = (c1 + 0.5) / (c1.sum() + 0.5 * k)
+                p2 = (c2 + smooth * p1) / (c2.sum(1, keepdims=True) + smooth)
+                tables.append(np.log((c3 + smooth * p2[None]) / (c3.sum(2, keepdims=True) + smooth)))
+            else:
+                self.sparse.append(Triples(index[live], k, smooth))
             seen = np.bincount(script[points[name]][lower[points[name]] > 0], minlength=len(NAMES))
             self.uses[:, j] = seen >= least_share * max(1, seen.sum())
-        self.logs = np.stack(tables, -1).reshape(-1, len(self.languages)).astype(np.float32) if tables else np.zeros((k**3, 0), np.float32)
-        self.usual = int(np.argmax([len(points[x]) for x in self.languages])) if tables else -1
+        self.logs = np.stack(tables, -1).reshape(-1, len(self.languages)).astype(np.float32) if tables else None
+        self.usual = int(np.argmax([len(points[x]) for x in self.languages])) if texts else -1
 
     @staticmethod
     def _table(symbol: dict[int, int]) -> np.ndarray:
         lower, _ = letters()
-        by_letter = np.ones(0x110000, np.uint8)
+        by_letter = np.ones(0x110000, np.uint8 if len(symbol) < 254 else np.uint32)
         by_letter[0] = 0
         for c, i in symbol.items():
             by_letter[c] = i
@@ -101,10 +129,14 @@ class Model:
         is_letter = s > 0
         edge = np.flatnonzero(np.diff(is_letter, prepend=False))
         starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return starts, ends, np.zeros((0, len(self.languages)), np.float32)
-        index, live = _triples(s.astype(np.int32))
-        logs = self.logs[index]
+        if not len(starts) or not self.languages:
+            return starts[:0], ends[:0], np.zeros((0, len(self.languages)), np.float32)
+        index, live = _triples(s.astype(np.int32 if self.k == SYMBOLS else np.int64), self.k)
+        if self.sparse is None:
+            logs = self.logs[index]
+        else:
+            known, at = np.unique(index, return_inverse=True)
+            logs = np.stack([x.logs(known) for x in self.sparse], -1)[at]
         logs[~live] = 0
         scores = np.add.reduceat(logs, starts, axis=0)
         allowed = self.uses[letters()[1][points[starts]]]
@@ -114,12 +146,12 @@ class Model:
         return starts, ends, scores
 
 
-def _triples(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _triples(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of each symbol with the two before it inside its word, and where a letter or a word's end stands."""
     one = np.concatenate([[0], s[:-1]]).astype(s.dtype)
     two = np.concatenate([[0], one[:-1]]).astype(s.dtype)
     two[one == 0] = 0
-    return (two * SYMBOLS + one) * SYMBOLS + s, (s > 0) | (one > 0)
+    return (two * k + one) * k + s, (s > 0) | (one > 0)
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -160,7 +192,7 @@ def held_out(doc_id: Column | str) -> Column:
 def train(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000_000) -> Model:
     """Learns from docs(doc_id, text, lang) that aren't held out and have a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(False))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 20 / n))]) if counts else None
     if share is None:
         return Model({})
@@ -177,7 +209,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 14.0, carry: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         names = np.array([*model.languages, "und"], object)
-        for batch in slices(batches, "_text", 3_000_000):
+        for batch in slices(batches, "_text", min(3_000_000, max(100_000, 24_000_000 // max(1, len(model.languages))))):  # scores take a number for each letter and language
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             sizes = np.array([len(t) for t in texts])
             firsts = np.concatenate([[0], np.cumsum(sizes + 1)])
