@@ -16,7 +16,7 @@ from tidegauge.llm.library_tokens import LibraryEncoder
 
 ODD = [
     None, "", " ", "  a  b ", "\n\n x\ty", "don't I'LL  we’ll", "日本語 テスト é́  ẞ Σας ΟΔΟΣ", "1234 ²³ ½ <|endoftext|>", "a\xa0b c d", "x  \n  y", "\x1c \x1d a", "'s 's'S", "naïve—dash “q”", "🙂🙂 ok",
-    " lead", "trail ", "İI", "a\x85b \x85 c", "a" * 3000, "ab" * 2000 + " !!!??", "word, Word. WORD; word", "</s>[INST] ok",
+    " lead", "trail ", "İI", "<|endoftext|>", "a <|endoftext|> b", "A<|EndOfText|>b  <|startoftext|>x<|endoftext|><|endoftext|>  y", " <|endoftext|> ", "a\x85b \x85 c", "a" * 3000, "ab" * 2000 + " !!!??", "word, Word. WORD; word", "</s>[INST] ok",
 ]
 
 
@@ -32,7 +32,6 @@ def packed(ids):
 @pytest.mark.parametrize("file,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_library_encoder(texts, file, kind):
     whole = Tokenizer.from_file(P.path(file))
-    whole.encode_special_tokens = True
     plain = [t or "" for t in texts]
     wanted = [packed(e.ids) for e in whole.encode_batch(plain, add_special_tokens=False)]
     own = LibraryEncoder(P.path(file), kind, P.PATTERN, entries=500)  # small: everything is forgotten and met again
@@ -83,7 +82,6 @@ def test_id_files(spark, texts):
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
     got = sorted(map(tuple, token_files.write_and_read(df, P.path("word_bpe_49k.json"), kind="word", block=512).collect()))
     whole, at, wanted = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, []
-    whole.encode_special_tokens = True
     for doc_id, t, _ in sorted(rows, key=lambda r: r[0]):
         ids = packed([*whole.encode(t or "", add_special_tokens=False).ids, 2])
         wanted.append((doc_id, at, len(ids) // 4, ids))
@@ -109,7 +107,6 @@ def test_packing(spark, texts):
     df = spark.createDataFrame([(k % 90, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, length int").repartition(3)
     rows = packing.pack_documents(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     wanted = []
     for k, t in enumerate(texts):
         ids = packed([*whole.encode(t or "", add_special_tokens=False).ids, 2])

@@ -6,13 +6,13 @@ entries behind, which are skipped when popped. Very long pieces therefore take t
 their length times the logarithm of the fullest bucket.
 
 Cases: a null text counts as empty; an empty text has no ids; an empty table gives an empty result;
-repeated rows are encoded each; other columns pass through encode() untouched.
+repeated rows are encoded each; columns other than doc_id and text are dropped by encode(), others than
+doc_id and ids by decode(); a text of any length is encoded whole and decoded in slices.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -25,13 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidegauge.llm.chunks import ChunkCache, TwoAges
-from tidegauge.llm.common import blob_lists, slices
-
+from tidegauge.llm.common import blob_lists, kept, lean, slices
 
 #: Signs that the pattern never joins to letters before them.
 _ENDS = frozenset(".,!?;:")
-
-
 #: Ranks to a word of the lower level; the upper level has one word.
 WIDE = 512
 _BITS = [1 << i for i in range(WIDE)]
@@ -149,20 +146,25 @@ class RankEncoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids, gathered from the vocabulary's bytes laid end to end."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return b""
-        index = np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        index += np.arange(ends[-1])
-        return self.blob[index].tobytes()
+        out = []
+        for a in range(0, len(ids), 1 << 18):  # the index takes 16 bytes for each byte of a slice
+            some = ids[a : a + (1 << 18)]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            index = np.repeat(self.starts[some] - (ends - lengths), lengths)
+            index += np.arange(ends[-1])
+            out.append(self.blob[index].tobytes())
+        return b"".join(out)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> RankEncoder:
     """One for each worker process and rank file (base64 of the bytes, a space, the rank)."""
-    with open(path, "rb") as lines:
-        return RankEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    def make() -> RankEncoder:
+        with open(path, "rb") as lines:
+            return RankEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    return kept(("ranks", path), make)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -175,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blob_lists(ids, pa.int32(), 4)], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.select("doc_id", "text").mapInArrow(lean(run, ("ranks", ranks_path)), T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -191,4 +193,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 data = [own.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.select("doc_id", "ids").schema.fields, T.StructField("data", T.BinaryType())]))
+    return encoded.mapInArrow(lean(run, ("ranks", ranks_path)), T.StructType([*encoded.select("doc_id", "ids").schema.fields, T.StructField("data", T.BinaryType())]))

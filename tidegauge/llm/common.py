@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +52,46 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What this process keeps from one task to the next: the tables of one operator at most.
+_KEPT: dict[Hashable, Any] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object that stays in a worker while tasks with the same key follow; another key's object goes first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def keep_only(key: Hashable) -> None:
+    if key not in _KEPT:
+        _KEPT.clear()
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system; workers are reused, and executors count them all."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: Hashable = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that begins without another operator's tables and gives its memory back at the task's end."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(key)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def file_system(uri: str):
     """pyarrow file system and path of a folder's URI; file: needs no library."""
     from pyarrow import fs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import written
+from tidegauge.llm.common import lean, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links(a long, b long) -> node, component (the least node reachable), for nodes with a link to another."""
     clean = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = written(clean.mapInArrow(_stars, "u long, v long").distinct(), "stars")
+    now = written(clean.mapInArrow(lean(_stars), "u long, v long").distinct(), "stars")
     before, rounds = None, rounds if now.limit(1).count() else 0
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

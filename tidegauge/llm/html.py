@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegauge.llm.common import slices
+from tidegauge.llm.common import lean, slices
 
 #: Tags that stay inside a block, tags without an end, tags whose content isn't text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
@@ -323,4 +323,4 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

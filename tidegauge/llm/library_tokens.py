@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import os
 from array import array
 
 import regex
 
 from tidegauge.llm.chunks import ChunkCache, TwoAges
+from tidegauge.llm.common import kept
 
 #: The splitting pattern that word_bpe_49k.json states.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -24,11 +24,14 @@ def _visible() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """encode(texts) -> per text the little-endian unsigned 32-bit ids as bytes.
+    """encode(texts) -> per text the little-endian unsigned 32-bit ids as bytes, as the library's
+    encode(text, add_special_tokens=False) gives them.
 
     kind: "byte" for a byte-level vocabulary, "word" for the lower-casing one with word ends. A chunk
     of characters below U+0250 is split here and its pieces go to the library's BPE model; any other
-    chunk goes through the library's whole path, whose tables for rarer characters then decide.
+    chunk goes through the library's whole path, whose tables for rarer characters then decide. The library
+    takes the strings of added tokens (such as <|endoftext|>) out of a text before anything else; a text that
+    holds one is cut there, and what lies between is encoded as texts of their own.
     """
 
     def __init__(self, path: str, kind: str, pattern: str, entries: int = 1_200_000):
@@ -36,7 +39,11 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder()
+        if plain := [t.content for t in added.values() if t.single_word or t.lstrip or t.rstrip or t.normalized and kind == "word"]:
+            raise ValueError(f"added tokens whose match depends on what stands around them: {plain}")
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        self.cuts = regex.compile("|".join(regex.escape(c) for c in sorted(self.added, key=lambda c: (-len(c), c)))) if added else None
         self.model, self.lower = self.whole.model, kind == "word"
         self.find, self.table = regex.compile(WORD_PATTERN if self.lower else pattern).findall, _visible()
         self.pieces = TwoAges(entries // 8)
@@ -71,10 +78,24 @@ class LibraryEncoder:
         return list(map(self._chunk, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.cache.encode(texts)]
+        marked = [k for k, t in enumerate(texts) if any(c in t for c in self.added)]
+        if not marked:
+            return [b"".join(v) for v in self.cache.encode(texts)]
+        plain = list(texts)
+        for k in marked:
+            plain[k] = ""
+        out = [b"".join(v) for v in self.cache.encode(plain)]
+        for k in marked:
+            parts, found = self.cuts.split(texts[k]), self.cuts.findall(texts[k])
+            ids = [b"".join(v) for v in self.cache.encode(parts)]
+            out[k] = b"".join(x for a, m in zip(ids, [*found, ""], strict=True) for x in (a, self.added.get(m, b"")))
+        return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str, pattern: str) -> LibraryEncoder:
-    """One for each worker process and vocabulary."""
-    return LibraryEncoder(path, kind, pattern)
+    """One for each worker process, as long as tasks with this vocabulary follow one another."""
+    return kept(encoder_key(path), lambda: LibraryEncoder(path, kind, pattern))
+
+
+def encoder_key(path: str) -> tuple[str, str]:
+    return "library", path

@@ -22,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import slices, written
+from tidegauge.llm.common import lean, slices, written
+from tidegauge.llm.library_tokens import encoder, encoder_key
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces; only the first may be short of a cut document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidegauge.llm.library_tokens import encoder
-
         encode, end = encoder(tokenizer, "byte", pattern).encode, end_id.to_bytes(4, "little")
         for batch in slices(batches, "text"):
             rows = []
@@ -43,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capac
             a, b, c, d, e = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), *(pa.array(x, pa.int64()) for x in (c, d, e))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, encoder_key(tokenizer)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Complements:

@@ -19,10 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import file_system, shared_dir, slices, written
+from tidegauge.llm.common import file_system, lean, shared_dir, slices, written
+from tidegauge.llm.library_tokens import encoder, encoder_key
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
@@ -140,10 +142,6 @@ def write_id_files(docs: DataFrame, tokenizer: str, kind: str = "word", pattern:
     folder = folder or shared_dir(spark) + "/ids"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        from tidegauge.llm.library_tokens import encoder
-
         encode, end = encoder(tokenizer, kind, pattern).encode, end_id.to_bytes(4, "little")
         part, out, n_ids = TaskContext.get().partitionId(), None, 0
         for batch in slices(batches, "text"):
@@ -161,7 +159,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, kind: str = "word", pattern:
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/{name}"], "n_docs": [len(out.docs)], "n_ids": [n_ids]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "manifest")
+    return written(ordered.mapInArrow(lean(write, encoder_key(tokenizer)), "part long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_id_files(manifest: DataFrame) -> DataFrame:
@@ -186,7 +184,7 @@ def read_id_files(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return files.repartitionByRange(min(n, 4096), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartitionByRange(min(n, 4096), "part").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

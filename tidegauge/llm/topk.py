@@ -124,7 +124,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int
                 keys, scores = [(TOP + x).to_bytes(WIDTH, "big") for x in s], [-x if -(2**63) <= -x < 2**63 else None for x in s]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "key", "score"])
 
-    partial = both.mapInArrow(run, "query_id long, vec_id long, key binary, score long")
+    partial = both.mapInArrow(lean(run), "query_id long, vec_id long, key binary, score long")
     best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each block
     return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
 
