@@ -5,31 +5,36 @@
 2. A text's profile: number of distinct n-grams, a hash of the set, its prefix (the first of its n-grams in
    that order, as many as guarantee a common one in any linked pair) and a histogram of n-gram hashes.
    Equal sets collapse into one row by aggregation.
-3. Prefix n-grams that occur twice form groups; groups with the same members (equal size, sum of 40-bit
-   hashes and xor of other 64-bit hashes of the members) are kept once. In a group, pairs must pass the
-   length filter, the positional filter and the suffix filter (the histograms' distance bounds the sets'
-   distance from below). A search over the group writes a spanning forest of the pairs that pass, never the
-   pairs; groups above `block` members are dealt out as pairs of blocks.
-4. Connected groups are verified on whole sets, each pair at most once: a search skips whatever is
-   connected already and counts common n-grams of the rest; large ones go out as pairs of blocks, too.
+3. Texts are joined on prefix n-grams. Groups of texts with the same n-gram and the same members (equal size,
+   sum of 40-bit hashes and xor of other 64-bit hashes of the members) are kept once. In a group, pairs must
+   pass the length filter, the positional filter and a bound from the histograms. A search over the group writes a spanning
+   forest of the pairs that pass, never the pairs; groups above `block` members are dealt out as pairs of blocks.
+   Linked texts always end up in one cluster of that forest, so a cluster is a part of the join that one task can do.
+4. In a cluster, now with whole sets in the same order, texts meet on prefix n-grams only: a pair is looked at
+   once, at its first common n-gram, must pass the length, positional and suffix filters, and is then verified
+   unless the search has joined it before. Large clusters (by members or by n-grams) go out as pairs of blocks; a
+   pair inside a block is looked at in one of them.
 5. Components of verified links, mapped back to all rows.
 
+A set's hash has 64 bits: among a billion different texts two count as equal with a chance of some 3 %.
+
 Cases: null text counts as empty; a text with fewer words than n has its whole word sequence as its one
 n-gram; a text without words has an empty set and links with nothing; repeated rows have equal sets and link; an
-empty table gives no rows; null ids keep their rows and never name a component; other columns are ignored.
+empty table gives no rows; null ids keep their rows and never name a component; texts of any length are handled
+whole (a text above PART bytes stands alone in its slice); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import slices, written
+from tidegauge.llm.common import lean, slices, written
 from tidegauge.llm.components import components
 
 _RANDOM = np.random.default_rng(20250310)
@@ -119,7 +124,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], ["stripe", "counts"])
 
     kind = "stripe long, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition(2 * STRIPES, "stripe").mapInArrow(add, kind).collect()  # 4 MB in all
+    rows = docs.select("text").mapInArrow(lean(count), kind).repartition(2 * STRIPES, "stripe").mapInArrow(lean(add), kind).collect()  # 4 MB in all
     out = np.zeros((2 * STRIPES, SLOTS // STRIPES), np.uint32)
     for r in rows:
         out[r["stripe"]] = np.frombuffer(r["counts"], np.uint32)
@@ -142,13 +147,14 @@ class Order:
         return np.minimum(self.classes[0][a], self.classes[1][b]).astype(np.uint64) << np.uint64(57) | h >> np.uint64(7)
 
 
-def blocks(rows: DataFrame, key: str, count: str, member: str, block: int) -> DataFrame:
-    """Adds o, the row's block, and i and j: (0, 0) for a group of at most `block` rows, else every pair of blocks that o is in."""
-    n = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
-    own = F.when(n > 1, F.pmod(F.xxhash64(member), n).cast("int")).otherwise(0)
-    dealt = rows.withColumn("_n", n).withColumn("o", own)
+def blocks(rows: DataFrame, count: Column, member: str) -> DataFrame:
+    """Deals the rows of a group to `count` blocks. Adds o, the row's block; i and j: (0, 0) for one block, else every pair of
+    blocks that o is in; own: whether (i, j) is where pairs inside o are looked at."""
+    n = F.greatest(count.cast("int"), F.lit(1))
+    dealt = rows.withColumn("_n", n).withColumn("o", F.when(F.col("_n") > 1, F.pmod(F.xxhash64(member), F.col("_n")).cast("int")).otherwise(0))
     other = F.explode(F.when(F.col("_n") > 1, F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: x != F.col("o"))).otherwise(F.array(F.lit(0))))
-    return dealt.withColumn("_p", other).withColumn("i", F.least("o", "_p")).withColumn("j", F.greatest("o", "_p")).drop("_n", "_p")
+    dealt = dealt.withColumn("_p", other).withColumn("i", F.least("o", "_p")).withColumn("j", F.greatest("o", "_p"))
+    return dealt.withColumn("own", F.expr("i = j OR (o = i AND j = i + 1) OR (o = j AND i = _n - 2 AND j = _n - 1)")).drop("_n", "_p")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -164,8 +170,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
         yield held
 
 
-def _forest(n: int, near) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest; near(i, others) gives those of the others that i links with."""
+def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest; near(i, others) tells which of the others i links with."""
     left = np.arange(n)
     while len(left) > 1:
         todo, left = [int(left[0])], left[1:]
@@ -183,8 +189,91 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after another."""
+    sizes = ends - starts
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+
+class Join:
+    """Whole sets of one cluster, joined on prefix n-grams. block and own: each set's block, and whether pairs inside it are looked at here."""
+
+    PROBES = 7
+
+    def __init__(self, sets: list[np.ndarray], order: Order, percent: int, block: np.ndarray, own: np.ndarray):
+        self.percent, self.block, self.own = percent, block, own
+        self.size = size = np.array([len(s) for s in sets])
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, order.keys(known)))] = np.arange(len(known))
+        self.width = width = len(known)
+        owner = np.repeat(np.arange(len(sets)), size)
+        self.code = owner * width + rank[at]  # n-grams numbered rare first, each set's own in a row
+        self.code.sort()
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        self.prefix = size - -(-percent * size // 100) + 1
+        live = _ranges(self.first[:-1], self.first[:-1] + self.prefix)
+        gram = self.code[live] - owner[live] * width
+        by = np.argsort(gram, kind="stable")
+        self.who, self.at = owner[live][by], (live - self.first[owner[live]])[by]
+        self.starts = np.searchsorted(gram[by], np.arange(width + 1))
+        self.wanted, self.mark = np.zeros(len(sets), bool), np.zeros(width, np.int32)
+        self.verified: list[tuple[int, int]] | None = None  # a list here is told every pair that is verified
+
+    def ids(self, i: int) -> np.ndarray:
+        return self.code[self.first[i] : self.first[i + 1]] - i * self.width
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        grams = self.ids(i)[: self.prefix[i]]
+        a, b = self.starts[grams], self.starts[grams + 1]
+        met = _ranges(a, b)
+        who, first = np.unique(self.who[met], return_index=True)  # rare first, so the first place is that of the first common n-gram
+        p, q = np.repeat(np.arange(len(grams)), b - a)[first], self.at[met][first]
+        self.wanted[others if self.own[i] else others[self.block[others] != self.block[i]]] = True
+        ok = self.wanted[who]
+        self.wanted[others] = False
+        small, large = np.minimum(self.size[who], self.size[i]), np.maximum(self.size[who], self.size[i])
+        need = -(-self.percent * (small + large) // (100 + self.percent))
+        ok &= 100 * small >= self.percent * large
+        rest, rest_other = self.size[i] - p - 1, self.size[who] - q - 1
+        ok &= 1 + np.minimum(rest, rest_other) >= need
+        some = np.flatnonzero(ok)
+        ok[some] = self._apart(i, who[some], p[some], q[some]) <= (rest + rest_other - 2 * (need - 1))[some]
+        some = np.flatnonzero(ok)
+        if self.verified is not None:
+            self.verified += [(i, k) for k in who[some].tolist()]
+        ok[some] = self._common(i, who[some]) >= need[some]
+        self.wanted[who[ok]] = True
+        linked = self.wanted[others]
+        self.wanted[who[ok]] = False
+        return linked
+
+    def _apart(self, i: int, who: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Suffix filter: a lower bound of the distance between what follows the common n-gram in both sets. n-grams of
+        set i at even steps cut both suffixes; parts of different sizes can't have all their n-grams in common."""
+        own = self.ids(i)
+        at = np.unique(np.linspace(0, len(own) - 1, self.PROBES + 2).astype(int)[1:-1])
+        there = np.searchsorted(self.code, who[:, None] * self.width + own[at]) - self.first[who][:, None]
+        here = np.concatenate([p[:, None] + 1, np.maximum(at, p[:, None] + 1), np.full((len(who), 1), self.size[i])], 1)
+        there = np.concatenate([q[:, None] + 1, np.maximum(there, q[:, None] + 1), self.size[who][:, None]], 1)
+        return np.abs(np.diff(here, axis=1) - np.diff(there, axis=1)).sum(1)
+
+    def _common(self, i: int, who: np.ndarray) -> np.ndarray:
+        """Number of n-grams that i has in common with each of the others."""
+        own, out = self.ids(i), []
+        self.mark[own] = 1
+        for a in range(0, len(who), 500):
+            some = who[a : a + 500]
+            places = _ranges(self.first[some], self.first[some + 1])
+            ends = np.cumsum(self.size[some])
+            out.append(np.add.reduceat(self.mark[self.code[places] - np.repeat(some, self.size[some]) * self.width], ends - self.size[some]))
+        self.mark[own] = 0
+        return np.concatenate(out) if out else np.zeros(0, int)
+
+
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (the least doc_id reachable by links), text_hash and label: a
+    number that the texts of a component have in common, whatever their ids; null for texts without words."""
     key = docs.schema["doc_id"].dataType.simpleString()
     order = Order(sketch(docs, n))
 
@@ -203,16 +292,17 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
                 prefix = size - -(-percent * size // 100) + 1
                 keys = order.keys(s)
                 grams.append(np.sort(np.partition(keys, prefix - 1)[:prefix] if prefix < size else keys)[:prefix].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(hists, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "mark", "hist", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(hists, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "h", "n", "mark", "hist", "grams"])
 
-    profiles = written(docs.select("doc_id", "text").mapInArrow(profile, f"doc_id {key}, n long, mark long, hist binary, grams array<long>"), "profiles")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    profiles = written(hashed.mapInArrow(lean(profile), f"doc_id {key}, h long, n long, mark long, hist binary, grams array<long>"), "profiles")
     sets = written(profiles.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "sets")
     rows = sets.select("mark", "n", F.posexplode("grams").alias("at", "gram"))
     groups = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum(F.pmod(F.xxhash64("mark"), F.lit(2**40))).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "mark")).alias("also")).where("m > 1")
     kept = written(groups.groupBy("m", "who", "also").agg(F.min("gram").alias("gram")).select("gram", "m"), "groups")
     live = written(rows.join(kept.hint("merge"), "gram"), "live")  # both sides deal their keys out, at every size; large keys are split
-    dealt = blocks(live.join(sets.select("mark", "hist"), "mark").select("gram", "mark", "n", "at", "m", "hist"), "gram", "m", "mark", block)
-    dealt = dealt.select("gram", "i", "j", "mark", "n", "at", "hist").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    dealt = blocks(live.join(sets.select("mark", "hist"), "mark").select("gram", "mark", "n", "at", "m", "hist"), F.ceil(F.col("m") / F.lit(float(block))), "mark")
+    dealt = dealt.select("gram", "i", "j", "mark", "n", "at", "hist", "o", "own").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -223,11 +313,14 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             size = np.array([r[4] for r in group])
             at = np.array([r[5] for r in group])
             hist = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), BUCKETS).astype(np.int16)
+            part, own = np.array([r[7] for r in group]), [r[8] for r in group]
 
             def near(i: int, others: np.ndarray) -> np.ndarray:
                 small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
                 need = -(-percent * (size[others] + size[i]) // (100 + percent))
                 ok = 100 * small >= percent * large
+                if not own[i]:
+                    ok &= part[others] != part[i]
                 ok &= np.minimum(at[others], at[i]) + np.minimum(size[others] - at[others], size[i] - at[i]) >= need
                 some = np.flatnonzero(ok)
                 ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1, dtype=np.int32) <= (size[others] + size[i] - 2 * need)[some]
@@ -240,60 +333,36 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
         if out:
             yield _pairs(out)
 
-    clusters = written(components(dealt.mapInArrow(candidates, "a long, b long")), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    wanted = clusters.join(sizes, "component").select(F.col("node").alias("mark"), "component", "m").join(sets.select("mark", F.col("doc_id").alias("_id")), "mark")
-    wanted = blocks(wanted, "component", "m", "mark", block)
-    wanted = wanted.groupBy("_id").agg(F.collect_list(F.struct("component", "i", "j", "mark")).alias("x"))  # the blocks of one set
+    clusters = written(components(dealt.mapInArrow(lean(candidates), "a long, b long")), "clusters")
+    members = clusters.withColumnRenamed("node", "mark").join(sets.select("mark", F.col("doc_id").alias("_id"), "n"), "mark")
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sizes")
+    wanted = blocks(members.join(sizes, "component"), F.greatest(F.ceil(F.col("m") / F.lit(float(block))), F.ceil(F.col("total") / F.lit(250.0 * block))), "mark")
+    wanted = wanted.groupBy("_id").agg(F.collect_list(F.struct("component", "i", "j", "o", "own", "mark")).alias("x"))  # the blocks of one set
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART):
             rows = []
             for s, items in zip(shingles([(t or "").encode() for t in batch.column("text").to_pylist()], n), batch.column("x").to_pylist(), strict=True):
                 mark = int(_mix(s * np.uint64(_BASE) + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64))
-                rows += [(x["component"], x["i"], x["j"], mark, s.tobytes()) for x in items if x["mark"] == mark]
+                rows += [(x["component"], x["i"], x["j"], x["o"], x["own"], mark, s.tobytes()) for x in items if x["mark"] == mark]
             if rows:
-                a, i, j, m, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m, pa.int64()), pa.array(s, pa.binary())], ["c", "i", "j", "mark", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["c", "i", "j", "o", "own", "mark", "s"])
 
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("text", "x")
-    shipped = texts.mapInArrow(ship, "c long, i int, j int, mark long, s binary").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "mark")
+    shipped = texts.mapInArrow(lean(ship), "c long, i int, j int, o int, own boolean, mark long, s binary").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "mark")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
-            group = [r for k, r in enumerate(group) if not k or r[3] != group[k - 1][3]]
-            arrays = [np.frombuffer(r[4], np.uint64) for r in group]
-            size = np.array([len(s) for s in arrays])
-            hist = np.stack([histogram(s) for s in arrays]).astype(np.int16)
-            known, flat = np.unique(np.concatenate(arrays), return_inverse=True)
-            flat = np.split(flat.astype(np.int32), np.cumsum(size)[:-1])
-            mark = np.zeros(len(known), np.int32)
-
-            def common(i: int, others: np.ndarray) -> np.ndarray:
-                """Number of n-grams that i has in common with each of the others."""
-                mark[flat[i]] = 1
-                out = []
-                for a in range(0, len(others), 1000):
-                    some = others[a : a + 1000]
-                    out.append(np.add.reduceat(mark[np.concatenate([flat[k] for k in some.tolist()])], np.concatenate([[0], np.cumsum(size[some])[:-1]])))
-                mark[flat[i]] = 0
-                return np.concatenate(out) if out else np.zeros(0, int)
-
-            def near(i: int, others: np.ndarray) -> np.ndarray:
-                both = size[others] + size[i]
-                need = -(-percent * both // (100 + percent))
-                ok = np.minimum(size[others], size[i]) >= need
-                some = np.flatnonzero(ok)
-                ok[some] = np.abs(hist[others[some]] - hist[i]).sum(1, dtype=np.int32) <= (both - 2 * need)[some]
-                some = np.flatnonzero(ok)
-                ok[some] = common(i, others[some]) >= need[some]
-                return ok
-
-            out = [(group[a][3], group[b][3]) for a, b in _forest(len(group), near)]
+            group = [r for k, r in enumerate(group) if not k or r[5] != group[k - 1][5]]
+            join = Join([np.frombuffer(r[6], np.uint64) for r in group], order, percent, np.array([r[3] for r in group]), np.array([r[4] for r in group]))
+            out = [(group[a][5], group[b][5]) for a, b in _forest(len(group), join.near)]
             if out:
                 yield _pairs(out)
 
-    found = written(components(shipped.mapInArrow(verify, "a long, b long")), "classes")
-    labelled = profiles.select("doc_id", "n", "mark").join(found, F.col("mark") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "mark").alias("label"))
-    named = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(named, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    found = written(components(shipped.mapInArrow(lean(verify), "a long, b long")), "classes")
+    labelled = sets.select("mark", "doc_id").join(found, F.col("mark") == F.col("node"), "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("label"))
+    named = written(labelled.groupBy("label").agg(F.min("doc_id").alias("least")), "named")  # tables by themselves: a hot label or set can then be split
+    names = written(labelled.join(named, "label").select(F.col("mark").alias("_mark"), "least", "label"), "names")
+    shown = ("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("h").alias("text_hash"), "label")
+    texts = profiles.where("n > 0").join(names, F.col("mark") == F.col("_mark"), "left").select(*shown)
+    return texts.unionByName(profiles.where("n = 0").withColumns({"least": F.col("doc_id"), "label": F.lit(None).cast("long")}).select(*shown))

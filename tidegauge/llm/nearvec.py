@@ -8,7 +8,9 @@ and a spanning forest of its links. A bucket with more than `block` classes goes
 
 With 8 bits and 27 tables a pair at cosine 0.9 is met with probability 1 - (1 - 0.8564**8)**27 = 0.9999,
 a closer pair more surely; what is met is exact. The bits follow the number of classes (two more for each
-fourfold input), as bucket sizes would otherwise grow with it, and the tables follow the bits.
+fourfold input), as bucket sizes would otherwise grow with it, and the tables follow the bits: 8 bits and 27
+tables up to 92,000 classes, 12 and 55 at 1 million, 22 and 274 at 1 billion, so shuffled bytes grow with the
+classes to the power of about 1.25.
 
 Cases: vectors that are null, zero or empty, or hold null or non-finite components link with nothing and
 keep their rows; vectors of different lengths never link; repeated ids and rows count as vectors of their
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import written
+from tidegauge.llm.common import lean, written
 from tidegauge.llm.components import components, roots
 from tidegauge.llm.jaccard import blocks
 
@@ -71,25 +73,23 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, block: int = 2000) ->
                     out[own] = signs(np.stack([flat[ends[i] - d : ends[i]] for i in own]), bits, tables)
                 yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(lengths, pa.int32()), v, pa.array([x.tobytes() for x in out.astype("<u2" if bits <= 16 else "<u8")], pa.binary()), pa.array(list(out), pa.list_(pa.int64()))], ["c", "n", "d", "v", "packed", "signs"])
 
-    signed = written(groups.select("c", "n", "v").mapInArrow(deal, f"c long, n long, d int, v {kind}, packed binary, signs array<long>"), "signs")
+    signed = written(groups.select("c", "n", "v").mapInArrow(lean(deal), f"c long, n long, d int, v {kind}, packed binary, signs array<long>"), "signs")
     places = signed.select("c", "d", F.posexplode("signs").alias("t", "s"))
     full = places.groupBy("t", "s", "d").agg(F.count("*").alias("m")).where("m > 1")
-    met = blocks(places.join(full, ["t", "s", "d"]), "m", "m", "c", block)
-    met = met.join(signed.select("c", "n", "v", "packed"), "c").select("t", "s", "d", "i", "j", "m", "o", "c", "n", "v", "packed")
+    met = blocks(places.join(full, ["t", "s", "d"]), F.ceil(F.col("m") / F.lit(float(block))), "c")
+    met = met.join(signed.select("c", "n", "v", "packed"), "c").select("t", "s", "d", "i", "j", "m", "o", "own", "c", "n", "v", "packed")
     met = met.repartition("t", "s", "d", "i", "j").sortWithinPartitions("t", "s", "d", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, n, v, packed, o, (t, i, j, m) in _buckets(batches):
+        for c, n, v, packed, o, own, t in _buckets(batches):
             v = v / np.abs(v).max(1, keepdims=True)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
             sign = np.frombuffer(b"".join(packed), "<u2" if bits <= 16 else "<u8").reshape(len(c), tables)[:, :t]
-            n_blocks = -(-m // block)
-            counts_own = (o == i) & (j == i + 1) | (o == j) & (j == i + 1 == n_blocks - 1) | (i == j)  # pairs inside a block count once
             linked, low = np.zeros(len(c)), []
             for a in range(0, len(c), 500):
                 ok = v[a : a + 500] @ v.T >= cosine
                 ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
-                ok &= (o[a : a + 500, None] != o[None]) | counts_own[None]
+                ok &= (o[a : a + 500, None] != o[None]) | own[None]  # pairs inside a block count once
                 p, q = np.nonzero(ok)
                 if t and len(p):
                     fresh = ~(sign[p + a] == sign[q]).any(1)
@@ -102,14 +102,16 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, block: int = 2000) ->
                 links = linked[np.argsort(c)][np.searchsorted(np.sort(c), nodes)].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(least)], ["c", "links", "root"])
 
-    counted = written(met.mapInArrow(compare, "c long, links long, root long"), "links")
+    counted = written(met.mapInArrow(lean(compare), "c long, links long, root long"), "links")
     joined = components(counted.select(F.col("c").alias("a"), F.col("root").alias("b")))
     sums = counted.groupBy("c").agg(F.sum("links").alias("links"))
     labels = groups.join(joined, F.col("c") == F.col("node"), "left").select("c", "h", "h2", "n", "least", F.coalesce("component", "c").alias("label"))
-    named = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = labels.join(named, "label").join(sums, "c", "left").select("h", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
-    out = marked.select("vec_id", "h", "h2").join(known, ["h", "h2"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    named = written(labels.groupBy("label").agg(F.min("least").alias("component_id")), "named")  # tables by themselves: hot labels and copies can then be split
+    known = labels.join(named, "label").join(sums, "c", "left").select("h", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    known = written(known, "known")
+    out = marked.where("v IS NOT NULL").select("vec_id", "h", "h2").join(known, ["h", "h2"], "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.unionByName(marked.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]):
@@ -118,9 +120,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]):
 
     def out():
         whole = pa.Table.from_batches(held).combine_chunks()
-        first = tuple(whole.column(k)[0].as_py() for k in ("t", "i", "j", "m"))
         v = np.asarray(whole.column("v").combine_chunks().flatten()).astype(np.float64).reshape(whole.num_rows, -1)
-        return np.asarray(whole.column("c")), np.asarray(whole.column("n")), v, whole.column("packed").to_pylist(), np.asarray(whole.column("o")), first
+        return np.asarray(whole.column("c")), np.asarray(whole.column("n")), v, whole.column("packed").to_pylist(), np.asarray(whole.column("o")), np.asarray(whole.column("own")), whole.column("t")[0].as_py()
 
     last = None
     for batch in batches:

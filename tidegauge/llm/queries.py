@@ -35,7 +35,7 @@ def op4_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
