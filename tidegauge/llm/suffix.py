@@ -11,8 +11,10 @@ in sixty bytes, and only anchors whose gram occurs again are looked at:
    agrees. Groups of common suffixes are merged from the longest common prefix down, the smaller into the
    larger, and each suffix meets only its neighbours in the order of the prefixes: linear times two
    logarithms, without pairs. Each suffix learns how far strings of `length` reach to both sides.
-4. A gram with more than `hot` different contexts isn't sorted by one task: its contexts' strings are
-   counted by hash over all tasks instead, an exact way whose partial sums merge before the shuffle.
+4. A gram with more than `hot` different contexts is split by the bytes that follow or precede it before it is
+   sorted: a string that owns the gram reaches either `mid` bytes to the right or `length + 1 - mid` to the left,
+   so contexts that share one share those bytes and meet in one of two smaller groups. Groups that are still
+   too large are split again, until at the last their whole strings agree; a few rounds settle any skew.
 5. Covered runs go back to their documents, whose remaining bytes are joined.
 
 Strings are judged on the input; matches never cross documents. Hashes have 64 bits for grams and 128 for
@@ -20,13 +22,14 @@ contexts with their gram; bytes decide everything that is sorted.
 
 Cases: null text counts as empty; texts under `length` bytes are kept whole; repeated rows (same id and
 text) are removed from both; ids that repeat with other texts are told apart by a hash of the text; an
-empty table gives no rows; very long texts are processed in overlapping parts; other columns are ignored.
+empty table gives no rows; texts above two parts are indexed in overlapping parts, with the same anchors;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import slices, written
+from tidegauge.llm.common import lean, slices, written
 
 _RANDOM = np.random.default_rng(20240917)
 _BYTE = _RANDOM.integers(0, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,6 +46,8 @@ _BASE = int(_RANDOM.integers(2**62, 2**63)) | 1
 _WORD = 2**64 - 1
 #: Bytes hashed at once; longer texts are cut with an overlap of two strings.
 PART = 2_000_000
+#: Low bits of a gram's order that give way to its place, always as many: the same bytes have the same anchors in every batch.
+BITS = np.uint64(23)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,8 +80,9 @@ class Anchors:
             h = h[:-m] * np.uint64(base) + h[m:]
             base, m = base * base & _WORD, 2 * m
         order = _mix(h)
-        bits = np.uint64(len(order).bit_length())
-        least, m, n_grams = (order >> bits << bits) | np.arange(len(order), dtype=np.uint64), 1, back + 1
+        if len(order) >> int(BITS):
+            raise ValueError(f"{len(order)} bytes at once")
+        least, m, n_grams = (order >> BITS << BITS) | np.arange(len(order), dtype=np.uint64), 1, back + 1
         while m * 2 <= n_grams:
             least, m = np.minimum(least[:-m], least[m:]), 2 * m
         if n_grams > m:
@@ -84,7 +90,7 @@ class Anchors:
         inside = np.zeros(len(least) + 1, np.int8)
         inside[starts] += 1
         inside[starts + sizes - length + 1] -= 1
-        chosen = least[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)] & ((np.uint64(1) << bits) - np.uint64(1))
+        chosen = least[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)] & ((np.uint64(1) << BITS) - np.uint64(1))
         at = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])].astype(np.int64)
         own = np.searchsorted(starts, at, side="right") - 1
         context = np.zeros(len(at), np.uint64)
@@ -255,14 +261,13 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
             rows = pa.array(own)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), batch.column("doc_id").take(rows), batch.column("v").take(rows), pa.array(at.astype(np.int32))], ["g", "c", "doc_id", "v", "at"])
 
-    found = texts.withColumn("v", version).mapInArrow(anchors, f"g long, c long, doc_id {key}, v int, at int")
+    found = texts.withColumn("v", version).mapInArrow(lean(anchors), f"g long, c long, doc_id {key}, v int, at int")
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     shared = written(found.join(again, "g"), "shared")
-    contexts = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "v", "at")).alias("w"))
-    several = contexts.groupBy("g").agg(F.count("*").alias("m"))
-    contexts = written(contexts.join(several, "g"), "contexts")
-    whole = contexts.where("m = 1 OR n > 1").select("g", "c", F.lit(back).alias("left"), F.lit(length).alias("right"))
-    places = contexts.where("m > 1").select(F.col("w.doc_id").alias("doc_id"), F.col("w.v").alias("v"), F.struct("g", "c", "n", "m", "w.at").alias("x"))
+    contexts = written(shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "v", "at")).alias("w")), "contexts")
+    several = written(contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "several")  # a table by itself: a hot gram's contexts can then be split
+    whole = contexts.where("n > 1").select("g", "c", F.lit(back).alias("left"), F.lit(length).alias("right"))
+    places = contexts.join(several, "g").select(F.col("w.doc_id").alias("doc_id"), F.col("w.v").alias("v"), F.struct("g", "c", "n", "m", "w.at").alias("x"))
     places = places.groupBy("doc_id", "v").agg(F.collect_list("x").alias("x"))  # as many as the text has anchors
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,20 +283,22 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (g, c, n, m)), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["g", "c", "n", "m", "lefts", "rights"])
 
     located = _join(texts.withColumn("v", version), places, "inner").select("text", "x")
-    strings = located.mapInArrow(cut, "g long, c long, n long, m long, lefts binary, rights binary")
-    if contexts.where(F.col("m") > hot).limit(1).count():
+    strings = located.mapInArrow(lean(cut), "g long, c long, n long, m long, lefts binary, rights binary").withColumn("k", F.col("g"))
+    if several.where(F.col("m") > hot).limit(1).count():
         strings = written(strings, "strings")
-        extra = _counted(strings.where(F.col("m") > hot), length)
+        calm, extra = _split(strings.where(F.col("m") > hot), length, gram, hot)
+        strings = strings.where(F.col("m") <= hot).select(*calm.columns).unionByName(calm)
     else:
         extra = None
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            out = [(g, c, r[0], r[1]) for (g, c, n, *_), r in zip(rows, reaches([x[4] for x in rows], [x[5] for x in rows], length, gram), strict=True) if r and n == 1]
+            out = [(g, c, r[0], r[1]) for (_, g, c, n, *_), r in zip(rows, reaches([x[4] for x in rows], [x[5] for x in rows], length, gram), strict=True) if r and n == 1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["g", "c", "left", "right"])
 
-    sorted_out = strings.where(F.col("m") <= hot).repartition("g").sortWithinPartitions("g").mapInArrow(sort, "g long, c long, left int, right int")
+    ready = strings.select("k", "g", "c", "n", "lefts", "rights").repartition("k").sortWithinPartitions("k")
+    sorted_out = ready.mapInArrow(lean(sort), "g long, c long, left int, right int")
     covers = whole.unionByName(sorted_out)
     covers = written(covers if extra is None else covers.unionByName(extra), "covers")
     runs = shared.join(covers, ["g", "c"]).select("doc_id", "v", F.struct(F.greatest(F.col("at") - F.col("left"), F.lit(0)).alias("start"), (F.col("at") + F.col("right")).alias("end")).alias("r"))
@@ -315,7 +322,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
     names = ["doc_id", "text", *(f"_{i}" for i in range(len(carry)))]
     joined = _join(all_texts.withColumn("v", version), runs, "left").select(*names, "r")
     runs_kind = T.StructField("runs", T._parse_datatype_string("array<struct<start:int,end:int>>"))
-    merged = joined.mapInArrow(merge, T.StructType([*all_texts.schema.fields, runs_kind]))
+    merged = joined.mapInArrow(lean(merge), T.StructType([*all_texts.schema.fields, runs_kind]))
     return merged.select("doc_id", "text", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "runs")
 
 
@@ -326,7 +333,7 @@ def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of one gram after another; `hot` bounds their number."""
+    """Rows of one group after another; `hot` bounds their number."""
     rows: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -338,27 +345,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _counted(strings: DataFrame, length: int) -> DataFrame:
-    """The same result for grams with very many contexts: every string of `length` is counted by its hash,
-    together with its place about the anchor: one string about two equal anchors is still one string."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                out = []
-                for g, c, n, _, left, right in zip(*(batch.column(k).slice(a, 500).to_pylist() for k in range(6)), strict=True):
-                    data, at = left[::-1] + right, len(left)
-                    for p in range(len(data) - length + 1):
-                        h = hashlib.blake2b(data[p : p + length], digest_size=16, salt=(at - p).to_bytes(4, "little")).digest()
-                        out.append((h, g, c, n, at - p))
-                if out:
-                    h, *rest = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), *(pa.array(x, pa.int64()) for x in rest)], ["h", "g", "c", "n", "d"])
-
-    each = written(strings.mapInArrow(expand, "h binary, g long, c long, n long, d long"), "each")
-    more = each.groupBy("h").agg(F.sum("n").alias("s")).where("s > 1").select("h")
-    found = each.where("n = 1").join(written(more, "more"), "h").groupBy("g", "c").agg(F.max("d").cast("int").alias("left"), (F.lit(length) - F.min("d")).cast("int").alias("right"))
-    return found.select("g", "c", "left", "right")
+def _split(rows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Splits the contexts of hot grams: groups (k) of at most `hot` contexts to sort, and covers of contexts whose groups can't get smaller.
+
+    lo and hi: a group's strings reach lo to hi - 1 bytes to the right of the anchor, so members share lo bytes there and length + 1 - hi before it.
+    """
+    rows = rows.selectExpr("k", "g", "c", "n", "lefts", "rights", f"{gram} AS lo", f"{length + 1} AS hi")
+    calm, covers = [], []
+    while True:
+        mid = "CAST((lo + hi) DIV 2 AS INT)"
+        near = rows.where(f"length(lefts) >= {length + 1} - {mid}").selectExpr(f"xxhash64(k, 0, substring(lefts, 1, {length + 1} - {mid})) AS k", "g", "c", "n", "lefts", "rights", "lo", f"{mid} AS hi")
+        far = rows.where(f"length(rights) >= {mid}").selectExpr(f"xxhash64(k, 1, substring(rights, 1, {mid})) AS k", "g", "c", "n", "lefts", "rights", f"{mid} AS lo", "hi")
+        both = written(near.unionByName(far), "split")
+        sizes = written(both.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        both = both.join(sizes, "k")
+        calm.append(both.where(F.col("m") <= hot).drop("lo", "hi"))
+        equal = both.where((F.col("m") > hot) & (F.col("hi") - F.col("lo") == 1))  # lo bytes after and length - lo before: whole strings agree
+        covers.append(equal.where("n = 1").select("g", "c", (F.lit(length) - F.col("lo")).alias("left"), F.col("lo").alias("right")))
+        rows = both.where((F.col("m") > hot) & (F.col("hi") - F.col("lo") > 1)).drop("m")
+        if not sizes.where(F.col("m") > hot).limit(1).count() or not rows.limit(1).count():
+            break
+    return functools.reduce(DataFrame.unionByName, calm), functools.reduce(DataFrame.unionByName, covers)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -372,7 +379,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
             texts = [_kept(t.encode(), r).decode("utf-8", "ignore") if r else t for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    out = cuts.mapInArrow(run, T.StructType(cuts.schema.fields[:-1])).select(*docs.columns)
+    out = cuts.mapInArrow(lean(run), T.StructType(cuts.schema.fields[:-1])).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -396,4 +403,4 @@ def removed(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     key = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(lean(run), f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept binary")
