@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import chat, html, jaccard, langid, queries, suffix
 
@@ -46,15 +47,41 @@ def test_every_language_and_letter(spark):
     assert np.array_equal(langid.Triples(index[live], langid.SYMBOLS, 2.0).logs(np.arange(64**3)), table.logs[:, 0])
 
 
-def test_viterbi_is_best_path():
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_viterbi_is_best_path(block):
     rng = np.random.default_rng(0)
     scores = rng.normal(size=(7, 3)).astype(np.float32)
-    labels = langid.viterbi(scores, np.array([3, 0, 4]), 0.7)
+    labels = langid.viterbi(scores, np.array([3, 0, 4]), 0.7, block)
     for a, n in ((0, 3), (3, 4)):
         cost = lambda p: sum(scores[a + i, x] for i, x in enumerate(p)) - 0.7 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023,E731
         assert cost(labels[a : a + n]) == pytest.approx(max(cost(p) for p in np.ndindex(*[3] * n)))
 
 
+def test_viterbi_blocks():
+    rng = np.random.default_rng(1)
+    counts = np.array([1, 1023, 0, 1024, 5000, 3])
+    n = counts.sum()
+    scores = (rng.normal(size=(n, 4)) + np.repeat(rng.normal(size=(n // 50 + 1, 4)), 50, 0)[:n]).astype(np.float32)
+    whole = langid.viterbi(scores, counts, 3.0, 10_000)
+    assert len(set(whole)) == 4 and all(np.array_equal(whole, langid.viterbi(scores, counts, 3.0, b)) for b in (7, 256, 1024))
+    assert langid.viterbi(np.zeros((3000, 3), np.float32), np.array([3000]), 1.0).tolist() == [0] * 3000  # ties: the first label
+
+
+def test_very_long_text(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.train(docs)
+    texts = {r["lang"]: r["text"] for r in docs.where("lang IN ('en', 'fr')").collect()}
+    long = (texts["en"] + " ") * 800 + texts["fr"] * 100 + " " + "x" * 5000
+    points = langid.code_points(long + "\n")
+    monkeypatch.setattr(langid, "SLICE", 10**9)
+    whole = model.words(points)
+    monkeypatch.setattr(langid, "SLICE", 10_000)
+    starts, ends, scores = model.words(points)
+    assert np.array_equal(whole[0], starts) and np.array_equal(whole[1], ends) and np.allclose(whole[2], scores, 1e-5)
+    (row,) = langid.label(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).collect()
+    assert row["lang_pred"] == "en" and row["spans"][0]["lang"] == "en" and "fr" in {x["lang"] for x in row["spans"][-3:]}
+
+
 def brute_jaccard(docs, n, percent):
     word, sets = re.compile(b"[^\x20\x09-\x0d]+"), []
     for _, t in docs:
@@ -105,13 +132,63 @@ def test_few_words_alone(spark, n):
         assert [len(s) for s in jaccard.shingles([b"", text, b"\n"], n)] == [0, max(1, m - n + 1), 0]
     docs = [(k, " ".join("abc"[:m])) for k, m in enumerate((1, 2, 3, 2, 3))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(5, "doc_id")  # each alone in its partition
-    assert sorted(map(tuple, jaccard.classes(df, n).collect())) == brute_jaccard(docs, n, 85)
+    assert sorted(tuple(r)[:3] for r in jaccard.classes(df, n).collect()) == brute_jaccard(docs, n, 85)
 
 
 def test_groups_whose_hash_sums_agree(spark):
     docs = [(k, f"a{i} b{i} {x}{i}") for k, (i, x) in enumerate((i, x) for i in (382245, 1761634, 96361, 1945964) for x in "cd")]  # found by search
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.classes(df, 1, 50).collect())) == brute_jaccard(docs, 1, 50)
+    assert sorted(tuple(r)[:3] for r in jaccard.classes(df, 1, 50).collect()) == brute_jaccard(docs, 1, 50)
+
+
+def test_each_pair_verified_once(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (6, 90), dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        s = base[k % 6].copy()
+        change = rng.random(90) < rng.choice([0.01, 0.04, 0.09])
+        s[change] = rng.integers(0, 2**63, change.sum(), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([s, rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])))
+    counts = np.zeros((2, jaccard.SLOTS), np.uint32)
+    for s in sets:
+        for row, slot in zip(counts, jaccard._slots(s)):
+            np.add.at(row, slot, 1)
+    order = jaccard.Order(counts)
+    linked = {(a, b) for b in range(120) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    dealt = jaccard.blocks(spark.range(120).withColumn("c", F.lit(1)), F.lit(4), "id")
+    tasks, seen, forest = {}, [], []
+    for r in dealt.orderBy("id").collect():
+        tasks.setdefault((r["i"], r["j"]), []).append(r)
+    assert len(tasks) == 6
+    for rows in tasks.values():
+        join = jaccard.Join([sets[r["id"]] for r in rows], order, 85, np.array([r["o"] for r in rows]), np.array([r["own"] for r in rows]))
+        join.verified = []
+        forest += [tuple(sorted((rows[a]["id"], rows[b]["id"]))) for a, b in jaccard._forest(len(rows), join.near)]
+        seen += [tuple(sorted((rows[a]["id"], rows[b]["id"]))) for a, b in join.verified]
+        join.verified = None
+        for i in range(len(rows)):  # filters lose no link
+            wanted = [k != i and (rows[k]["o"] != rows[i]["o"] or rows[i]["own"]) and tuple(sorted((rows[i]["id"], rows[k]["id"]))) in linked for k in range(len(rows))]
+            assert np.flatnonzero(wanted).tolist() == [k for k in np.flatnonzero(join.near(i, np.arange(len(rows)))) if k != i]
+    assert len(seen) == len(set(seen)) and set(forest) <= linked
+
+    def parts(pairs):
+        root = list(range(120))
+        for _ in range(120):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(forest) == parts(linked)
+
+
+def test_long_text_beside_short_ones(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    long = [rng.choice(words) for _ in range(400_000)]  # 2.3 MB, above a slice
+    docs = [(1, " ".join(long)), (2, "a b"), (3, " ".join(["z", *long[1:]])), (4, "a b"), (5, "")]
+    got = sorted(tuple(r)[:3] for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect())
+    assert [r[2] for r in got] == [1, 2, 1, 2, 5] and got[0][1] == len({tuple(long[k : k + 4]) for k in range(len(long) - 3)})
 
 
 def test_chat_against_sql(spark, data):
@@ -169,7 +246,7 @@ def brute_repeats(docs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length,gram,hot", [(40, 16, 50_000), (40, 16, 2), (24, 8, 50_000)])
+@pytest.mark.parametrize("length,gram,hot", [(40, 16, 50_000), (40, 16, 2), (24, 8, 50_000), (24, 8, 5)])
 def test_repeats(spark, length, gram, hot):
     rng = random.Random(length + hot)
     base = ["".join(rng.choice("ab é") for _ in range(rng.choice([5, 30, 60, 200]))) for _ in range(12)]
@@ -180,6 +257,15 @@ def test_repeats(spark, length, gram, hot):
     assert sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in got) == brute_repeats(docs, length)
 
 
+def test_same_anchors_in_any_batch():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abc") for _ in range(3000)).encode()
+    finder = suffix.Anchors(200, 64)
+    _, at, g, c = finder.find([text])
+    own, at2, g2, c2 = finder.find([bytes(rng.randrange(256) for _ in range(20_000)) for _ in range(40)] + [text])
+    assert [x[own == 40].tolist() for x in (at2, g2, c2)] == [x.tolist() for x in (at, g, c)]
+
+
 def test_repeats_empty_and_carried(spark):
     df = spark.createDataFrame([(1, "x" * 300, 5, "k"), (2, None, 6, "k")], "doc_id long, text string, n_chars long, v string")
     assert suffix.removed(suffix.repeats(df.limit(0))).count() == 0
@@ -204,6 +290,19 @@ def test_deep_shallow():
         assert shared[1:] == [suffix.common(strings[a], strings[b]) for a, b in zip(order, order[1:])]
 
 
+def test_pipeline_keeps_one_of_texts_with_one_id(spark, data):
+    import corpus_pipeline as pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]])]
+    rows = [(5, near[0], "a"), (5, near[1], "a"), (5, near[0], "a"), (7, near[2], "b"), (5, "other words stand here alone", "a"), (None, near[0], "c"), (8, "!", None), (None, "alone too but without any id", None), (9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted(map(tuple, pipeline.ngram_jaccard_join(spark, df, data).collect()), key=str)
+    assert len(got) == 5 and sum(r[0] == 5 and r[1] in near for r in got) == 1 and not [r for r in got if r[0] == 7]
+    assert {r[1] for r in got if r[0] != 5} == {"!", "alone too but without any id", None}
+    assert pipeline.ngram_jaccard_join(spark, df.limit(0), data).count() == 0
+
+
 def test_pipeline(spark, data, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -7,11 +7,14 @@ spans of mixed-language text; the language with most letters in its spans is the
 the letters of all words is the score.
 
 Training reads at most `per_language` documents of each language, the first in order of a hash of the
-document's id: a stated bound, alike at every input size. Every language and every letter that occur there are learned.
+document's id, and of them so many characters that all languages together stay below about `most_chars`: stated
+bounds, alike at every input size. Every language and every letter that occur there are learned. Texts to be labelled are read whole.
 
 Cases: null text or one without a letter gives `und`, score 0 and no spans; letters of scripts that no
 language uses leave the most frequent language with score 0; an empty table gives no rows; without any
-labelled document all texts are `und`; repeated rows are labelled each; other columns are ignored.
+labelled document all texts are `und`; repeated rows are labelled each; of languages with equal scores the first by
+name wins, in spans as for texts; a very long text is scored in slices cut between words, and its words are labelled
+in blocks that advance together, which gives the same best path; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import slices
+from tidegauge.llm.common import lean, slices
 
 #: First code points of the script ranges; a range ends where the next one starts.
 SCRIPTS = (
@@ -37,6 +40,8 @@ SCRIPTS = (
 )
 #: Up to so many symbols and languages a table has all triples of letters, beyond them those that occur.
 SYMBOLS, TABLED = 64, 60
+#: Characters scored at once.
+SLICE = 1_000_000
 NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 
 
@@ -125,6 +130,19 @@ class Model:
         """Start and end of every word (a run of letters) and its scores; points must end with no letter."""
         if not hasattr(self, "table"):
             self.table = self._table({c: i + 2 for i, c in enumerate(self.known)})
+        step = max(1, min(SLICE, 8 * SLICE // max(1, len(self.languages))))  # scores take a number for each letter and language
+        found, a = [], 0
+        while a < len(points) or not found:
+            b = min(a + step, len(points))
+            while b < len(points) and self.table[points[b - 1]]:
+                more = self.table[points[b : b + 4096]] == 0
+                b += int(more.argmax()) + 1 if more.any() else len(more)
+            starts, ends, scores = self._words(points[a:b])
+            found.append((starts + a, ends + a, scores))
+            a = b
+        return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _words(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = self.table[points]
         is_letter = s > 0
         edge = np.flatnonzero(np.diff(is_letter, prepend=False))
@@ -154,34 +172,57 @@ def _triples(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (two * k + one) * k + s, (s > 0) | (one > 0)
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of every word; texts stand one after another with the given numbers of words. All texts advance together."""
+def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, block: int = 256) -> np.ndarray:
+    """Best label of every word; texts stand one after another with the given numbers of words.
+
+    Texts are cut into blocks, and all blocks of all texts advance together: first from every label at once, to learn
+    what a full block makes of the values before it, then from those values; backwards likewise. The path is that of
+    a walk over the whole text.
+    """
     labels = np.zeros(len(scores), np.int32)
     if not len(scores):
         return labels
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    order = np.argsort(-counts, kind="stable")
-    order = order[counts[order] > 0]
-    sizes, at = counts[order], first[order]
-    live = len(order) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    value = scores[at].copy()
-    switches, sources = [], []
-    for t in range(1, sizes[0]):
-        k = live[t]
-        v = value[:k]
-        source = v.argmax(1)
-        other = v[np.arange(k), source] - np.float32(penalty)
-        moved = v < other[:, None]
-        value[:k] = np.where(moved, other[:, None], v) + scores[at[:k] + t]
-        switches.append(moved)
-        sources.append(source.astype(np.int16))
-    state = value.argmax(1)
-    for t in range(sizes[0] - 1, -1, -1):
-        k = live[t]
-        labels[at[:k] + t] = state[:k]
-        if t:
-            moved = switches[t - 1][np.arange(k), state[:k]]
-            state[:k] = np.where(moved, sources[t - 1], state[:k])
+    k, parts = scores.shape[1], -(-counts // block)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(np.cumsum(counts) - counts, parts) + nth * block
+    left = np.repeat(counts, parts) - nth * block
+    inner, later = np.flatnonzero(left > block), np.flatnonzero(nth)  # blocks with another one after them, and before them
+    before = np.zeros((len(begin), k))
+    by_place = np.split(later[np.argsort(nth[later], kind="stable")], np.cumsum(np.bincount(nth[later])[1:])[:-1]) if len(later) else []
+    if len(inner):
+        through = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (len(inner), k, k))
+        for t in range(block):
+            through = np.maximum(through, through.max(2, keepdims=True) - penalty) + scores[begin[inner] + t][:, None]
+        place = np.zeros(len(begin), int)
+        place[inner] = np.arange(len(inner))
+        for rows in by_place:  # second blocks of all texts, then third ones, ...
+            before[rows] = (before[rows - 1][:, :, None] + through[place[rows - 1]]).max(1)
+    size = np.minimum(left, block)
+    order = np.argsort(-size, kind="stable")
+    live = len(order) - np.searchsorted(size[order][::-1], np.arange(size[order[0]]), side="right")
+    at, value = begin[order], before[order]
+    moved, source = np.zeros((len(live), len(order), k), bool), np.zeros((len(live), len(order)), np.int16)
+    for t, m in enumerate(live.tolist()):
+        v = value[:m]
+        source[t, :m] = v.argmax(1)
+        other = v.max(1, keepdims=True) - penalty
+        np.less(v, other, out=moved[t, :m])
+        value[:m] = np.maximum(v, other) + scores[at[:m] + t]
+    end, rank = np.zeros(len(order), np.int64), np.arange(len(order))
+    end[order] = value.argmax(1)
+    if len(later):
+        state = np.tile(np.arange(k), (len(order), 1))  # label before the block for each label at its end
+        for t in range(len(live) - 1, -1, -1):
+            m = live[t]
+            state[:m] = np.where(np.take_along_axis(moved[t, :m], state[:m], 1), source[t, :m, None], state[:m])
+        rank[order] = np.arange(len(order))
+        for rows in by_place[::-1]:
+            end[rows - 1] = state[rank[rows], end[rows]]
+    now, rows = end[order], np.arange(len(order))
+    for t in range(len(live) - 1, -1, -1):
+        m = live[t]
+        labels[at[:m] + t] = now[:m]
+        now[:m] = np.where(moved[t, rows[:m], now[:m]], source[t, :m], now[:m])
     return labels
 
 
@@ -189,16 +230,17 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0 if isinstance(doc_id, str) else doc_id
 
 
-def train(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000_000) -> Model:
+def train(docs: DataFrame, per_language: int = 400, most_chars: int = 40_000_000) -> Model:
     """Learns from docs(doc_id, text, lang) that aren't held out and have a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(False))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 20 / n))]) if counts else None
-    if share is None:
+    if not counts:
         return Model({})
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 20 / n))])
     near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    each = max(1000, int(most_chars / (1.5 * per_language + 20) / len(counts)))
     texts: dict[str, list] = {}
-    for r in near.select("lang", "h", "text").toLocalIterator():  # about 1.5 per_language documents of each language
+    for r in near.select("lang", "h", F.substring("text", 1, each).alias("text")).collect():  # about 1.5 per_language documents of each language
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return Model({k: [x for _, x in sorted(v)[:per_language]] for k, v in texts.items()})
 
@@ -209,7 +251,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 14.0, carry: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         names = np.array([*model.languages, "und"], object)
-        for batch in slices(batches, "_text", min(3_000_000, max(100_000, 24_000_000 // max(1, len(model.languages))))):  # scores take a number for each letter and language
+        for batch in slices(batches, "_text", SLICE):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             sizes = np.array([len(t) for t in texts])
             firsts = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -238,7 +280,7 @@ def label(docs: DataFrame, model: Model, penalty: float = 14.0, carry: tuple[str
 
     rows = docs.select(*carry, F.col("text").alias("_text"))
     kind = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>").fields])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(lean(run), kind)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
