@@ -22,12 +22,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one with the least id;
-    of rows that repeat with id and text, one."""
-    found = jaccard.classes(docs, n=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]) if kept.where("n > 1").limit(1).count() else rows
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one with the least id (of
+    several texts with that id, one); of rows that repeat with id and text, one. Documents without words stay."""
+    found = written(jaccard.classes(docs, n=5, percent=80), "found")
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(own).alias("x")).select("x.doc_id", "x.text_hash")
+    kept = written(first.unionByName(found.where("label IS NULL").select("doc_id", "text_hash").distinct()), "kept")
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    rows = keyed.join(kept.toDF("_id", "_kept"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi").drop("_h")
+    again = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if again else rows
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
