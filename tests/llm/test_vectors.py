@@ -44,8 +44,7 @@ def test_near_duplicates(spark, rows):
         got = nearvec.near_duplicates(df, block=block)
         assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
         have = sorted((r[0], r[1], r[2]) for r in got.where("vec_id <> 350").collect())
-        assert sum(a == b for a, b in zip(have, wanted, strict=True)) >= 0.97 * len(wanted)
-        assert {r[0] for r in have} == {r[0] for r in wanted}
+        assert have == wanted  # a pair at cosine 0.9 is missed once in 10,000 times
     assert nearvec.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -63,6 +62,24 @@ def test_topk(spark, rows):
     assert topk.search(df.limit(0), df, 5).count() == 0
 
 
+def test_vector_file_reads_few_vectors():
+    import io
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-300, 300, (3000, 16)).astype(float)
+    out = io.BytesIO()
+    topk.VectorFile.write(out, np.arange(3000), v)
+    q = rng.integers(-300, 300, (20, 16)).astype(float)
+    for x in q:
+        file = topk.VectorFile(io.BytesIO(out.getvalue()), 3000, 16)
+        bound = file.bounds(x[None])[0]
+        assert (bound >= v @ x).all()
+        best = file.search(x.astype(np.int64), 7, bound, [], 5)
+        scores = sorted((-int(s), i) for i, s in enumerate(v @ x) if i != 7)[:5]
+        assert best == scores and file.have.sum() < 600
+        assert file.search(x.astype(np.int64), 7, bound, [(-(10**9), -1)] * 5, 5) == [(-(10**9), -1)] * 5
+
+
 def test_topk_wide(spark):
     big = float(np.float32(3e38))
     rows = [(0, [1.0, 2.0]), (1, [70000.0, -1.5]), (2, [0.5, 0.25]), (3, [-big, 1.0]), (50, [2.0**40, 3.0]), (51, [2.0**40, 3.0]), (52, [-1.0, 9.0]), (100, [big, big])]

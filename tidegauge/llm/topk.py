@@ -1,12 +1,13 @@
 """Exact top-k inner products with vector-approximation files.
 
-Components become integers. Candidates are kept in blocks; each block has a file of approximations, the
-cell of every component on a grid fitted to the block's dimension ranges. A task takes a block of queries
-and a block of candidates: it scans the cells for upper bounds of every inner product, then reads exact
-vectors in the order of their bounds until the k-th best exact score is above every bound that is left.
-Partial results (k rows for each query and block) merge by aggregation. Queries and candidates are both
-dealt in blocks, so nothing is broadcast and no block grows with the data; the number of block pairs is
-the query set times all rows, as the search asks for.
+Components become integers. Every block of vectors is written once, as a file in the shared folder: ids, the
+grid (the block's range of each dimension in CELLS intervals), the cells, one byte a component, and after them
+the exact vectors. A task takes a block of queries and a run of files. Of each file it reads the cells, scans
+them for upper bounds of every inner product, then reads single exact vectors in the order of their bounds
+until the k-th best exact score, carried on from file to file, is above every bound that is left. Partial
+results (k rows for each query and run) merge by aggregation. Vectors aren't shuffled and nothing grows with
+the data but the number of files; the pairs of query blocks and files are the query set times all rows, as the
+search asks for.
 
 Cases: vectors that are null or empty, or hold null or non-finite components, take no part; vectors of
 other lengths than the query's don't match it; ties go to the smaller id; a query never finds rows of its
@@ -18,6 +19,8 @@ score beyond 64 bits, which its column can't hold, shows as null.
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from operator import mul
 
@@ -27,44 +30,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import file_system, lean, shared_dir, written
+
 CELLS = 64
-#: Vectors with larger components don't go to vector files. What scores are subtracted from to sort as bytes.
+#: Vectors with larger components have no cells. What scores are subtracted from to sort as bytes.
 LARGEST, TOP, WIDTH = 2**24, 2**311, 40
 
 
 class VectorFile:
-    """Cells of integer vectors on a grid of CELLS intervals a dimension, and the vectors themselves."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        self.low = vectors.min(0)
-        self.width = np.maximum(1, -(-(vectors.max(0) - self.low + 1) // CELLS))
-        self.cells = ((vectors - self.low) // self.width).astype(np.uint8)
+    """ids, which vectors are wide, low and width of the grid, cells, exact vectors: sections of fixed size, one after another."""
+
+    @staticmethod
+    def write(stream, ids: np.ndarray, vectors: np.ndarray) -> None:
+        wide = np.abs(vectors).max(1) > LARGEST
+        small = vectors[~wide] if not wide.all() else np.zeros((1, vectors.shape[1]))
+        low = small.min(0)
+        width = np.maximum(1, np.ceil((small.max(0) - low + 1) / CELLS))
+        cells = np.where(wide[:, None], 0, (vectors - low) // width).astype(np.uint8)
+        for part in (ids.astype("<i8"), wide, low.astype("<f8"), width.astype("<f8"), cells, vectors.astype("<f8")):
+            stream.write(part.tobytes())
+
+    def __init__(self, source, n: int, d: int):
+        self.source, self.n, self.d = source, n, d
+        head = source.read(9 * n + 16 * d + n * d)
+        self.ids, self.wide = np.frombuffer(head, "<i8", n), np.frombuffer(head, bool, n, 8 * n)
+        self.low, self.width = np.frombuffer(head, "<f8", 2 * d, 9 * n).reshape(2, d)
+        self.cells = np.frombuffer(head, np.uint8, n * d, 9 * n + 16 * d).reshape(n, d)
+        self.at = len(head)
+        self.vectors, self.have = np.empty((n, d)), np.zeros(n, bool)
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        """Exact vectors; those that no query has asked for yet are read from the file, neighbours at once."""
+        new = np.sort(rows[~self.have[rows]])
+        for part in np.split(new, np.flatnonzero(np.diff(new) > 1) + 1) if len(new) else ():
+            self.source.seek(self.at + 8 * self.d * int(part[0]))
+            self.vectors[part] = np.frombuffer(self.source.read(8 * self.d * len(part)), "<f8").reshape(-1, self.d)
+        self.have[new] = True
+        return self.vectors[rows]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bound of each query's inner product with each vector, from cells alone; sums of integers below 2**53 are exact."""
-        step = queries * self.width
+        """Upper bound of each query's inner product with each vector, from cells alone, with room for rounding."""
         base = queries @ self.low + np.where(queries > 0, queries * (self.width - 1), 0).sum(1)
-        return base[:, None].astype(np.float64) + step.astype(np.float64) @ self.cells.astype(np.float64).T
-
-    def search(self, query: np.ndarray, bound: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, batch: int = 32) -> list[tuple[int, int]]:
-        """The k best (score, id) among vectors that aren't own: exact vectors are read in the order of their bounds."""
-        order = np.argpartition(-bound, min(len(bound) - 1, 4 * batch))
-        near = order[: 4 * batch + 1]
-        best: list[tuple[int, int]] = []
-        for part in (near[np.argsort(-bound[near], kind="stable")], None):
-            if part is None:  # what lies beyond the first bounds, unless they settled it
-                if len(near) == len(bound) or len(best) >= k and -best[k - 1][0] > bound[order[len(near) :]].max():
-                    break
-                rest = order[len(near) :]
-                part = rest[np.argsort(-bound[rest], kind="stable")]
+        room = np.abs(queries) @ (np.abs(self.low) + CELLS * self.width) * self.d * 2.0**-51
+        return (base + room)[:, None] + (queries * self.width) @ self.cells.T.astype(np.float64)
+
+    def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple[int, int]], k: int, batch: int = 32) -> list[tuple[int, int]]:
+        """best, the k best (-score, id) so far, with the vectors that have cells: they are read in the order of their bounds."""
+        usable = ~self.wide & (self.ids != own)
+        if len(best) >= k:
+            usable &= bound >= -best[k - 1][0]
+        rows = np.flatnonzero(usable)
+        while len(rows):
+            near = np.argpartition(-bound[rows], min(len(rows) - 1, 4 * batch))[: 4 * batch + 1]
+            part = rows[near[np.argsort(-bound[rows[near]], kind="stable")]]
             for a in range(0, len(part), batch):
                 read = part[a : a + batch]
                 if len(best) >= k and -best[k - 1][0] > bound[read[0]]:
                     return best
-                read = read[~own[read]]
-                scores = self.vectors[read] @ query
-                best = sorted([*best, *zip((-scores).tolist(), ids[read].tolist(), strict=True)])[:k]
+                scores = self.exact(read).astype(np.int64) @ query
+                best = sorted([*best, *zip((-scores).tolist(), self.ids[read].tolist(), strict=True)])[:k]
+            rows = np.delete(rows, near)
+            if len(best) >= k:
+                rows = rows[bound[rows] >= -best[k - 1][0]]
         return best
 
 
@@ -78,76 +105,98 @@ def integers(rows: DataFrame, factor: int = 256) -> DataFrame:
     return rows.where(usable).select("vec_id", F.transform("embedding", lambda x: whole(x.cast("double") * F.lit(float(factor)))).alias("v"))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int = 512, block: int = 8192) -> DataFrame:
-    """queries and vectors (vec_id, v array<double> of whole numbers) -> query_id, rank (from 1), vec_id, score."""
-    spark = vectors.sparkSession
-    n_queries, n_vectors = queries.count(), vectors.count()
-    q_blocks, v_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n_vectors // block))
-
-    def dealt(rows: DataFrame, kind: int, own: int, others: int, name: str, other: str) -> DataFrame:
-        rows = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        return rows.select("qb", "vb", F.lit(kind).alias("kind"), "vec_id", "v")
-
-    both = dealt(queries, 0, q_blocks, v_blocks, "qb", "vb").unionByName(dealt(vectors, 1, v_blocks, q_blocks, "vb", "qb"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, q_blocks * v_blocks))
-    both = both.repartition(parts, "qb", "vb").sortWithinPartitions("qb", "vb", "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, kind, lists in _pairs(batches):
-            found = []
-            lengths = np.asarray(pc.list_value_length(lists))
-            flat, ends = np.asarray(lists.flatten()), np.cumsum(lengths)
+def write_files(rows: DataFrame, block: int) -> DataFrame:
+    """Vector files of rows(vec_id, v): a written manifest of file, n (vectors) and d (components)."""
+    folder = shared_dir(rows.sparkSession) + "/vectors"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = file_system(folder)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        sizes: dict[int, int] = defaultdict(int)
+
+        def out(d: int) -> pa.RecordBatch:
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
+            name = f"{uuid.uuid4().hex}.vec"
+            with files.open_output_stream(f"{path}/{name}") as stream:
+                VectorFile.write(stream, ids, vectors)
+            del sizes[d]
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([d], pa.int32())], ["file", "n", "d"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files.create_dir(path, recursive=True)
+            lists, ids = batch.column("v"), np.asarray(batch.column("vec_id"))
+            lengths, flat = np.asarray(pc.list_value_length(lists)), np.asarray(lists.flatten())
+            ends = np.cumsum(lengths)
             for d in np.unique(lengths).tolist():
-                q, v = (np.flatnonzero((kind == x) & (lengths == d)) for x in (0, 1))
-                if not len(q) or not len(v):
-                    continue
-                own = [np.stack([flat[ends[i] - d : ends[i]] for i in x]) for x in (q, v)]
-                wide = [np.abs(x).max(1) > LARGEST for x in own]
-                v_ids, small = ids[v], np.flatnonzero(~wide[1])
-                exact = [list(map(int, x)) for x in own[1].tolist()] if wide[0].any() else {j: list(map(int, own[1][j].tolist())) for j in np.flatnonzero(wide[1]).tolist()}
-                file = VectorFile(own[1][small].astype(np.int64)) if len(small) else None
-                for a in range(0, len(q), 128):
-                    part = np.where(wide[0][a : a + 128, None], 0, own[0][a : a + 128]).astype(np.int64)
-                    bounds = file.bounds(part) if file else [None] * len(part)
-                    for n, (i, bound) in enumerate(zip(q[a : a + 128].tolist(), bounds, strict=True)):
-                        if wide[0][a + n]:
-                            best, others = [], range(len(v))
-                        else:
-                            best = file.search(part[n], bound, v_ids[small] == ids[i], v_ids[small], k) if file else []
-                            others = np.flatnonzero(wide[1]).tolist()
-                        if len(others):
-                            query = list(map(int, own[0][a + n].tolist()))
-                            best = sorted([*best, *((-sum(map(mul, query, exact[j])), int(v_ids[j])) for j in others if v_ids[j] != ids[i])])[:k]
-                        found += [(int(ids[i]), x, s) for s, x in best]
-            if found:
-                a, b, s = zip(*found, strict=True)
-                keys, scores = [(TOP + x).to_bytes(WIDTH, "big") for x in s], [-x if -(2**63) <= -x < 2**63 else None for x in s]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "key", "score"])
-
-    partial = both.mapInArrow(lean(run), "query_id long, vec_id long, key binary, score long")
-    best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each block
-    return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
+                own = np.flatnonzero(lengths == d)
+                held[d].append((ids[own], flat[(ends[own] - d)[:, None] + np.arange(d)]))
+                sizes[d] += len(own)
+                if sizes[d] >= block:
+                    yield out(d)
+            while sum(n * d for d, n in sizes.items()) > 256 * block:  # vectors of very many lengths
+                yield out(max(sizes, key=lambda d: sizes[d] * d))
+        for d in list(held):
+            yield out(d)
 
+    return written(rows.select("vec_id", "v").mapInArrow(lean(write), "file string, n long, d int"), "manifest")
 
-def _pairs(batches: Iterator[pa.RecordBatch]):
-    """Ids, kinds and vectors of one pair of blocks after another."""
-    held: list[pa.RecordBatch] = []
 
-    def out():
-        whole = pa.Table.from_batches(held).combine_chunks()
-        return np.asarray(whole.column("vec_id")), np.asarray(whole.column("kind")), whole.column("v").combine_chunks()
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int = 512, block: int = 16_384) -> DataFrame:
+    """queries and vectors (vec_id, v array<double> of whole numbers) -> query_id, rank (from 1), vec_id, score."""
+    spark = vectors.sparkSession
 
-    last = None
-    for batch in batches:
-        keys = np.stack([np.asarray(batch.column(x)).astype(np.int64) for x in ("qb", "vb")], 1)
-        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a == b:
-                continue
-            if last is not None and (keys[a] != last).any():
-                yield out()
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield out()
+    def stored(rows: DataFrame, size: int) -> DataFrame:
+        return write_files(rows.coalesce(max(1, -(-rows.count() // size))), size)  # small input splits share a file
+
+    asked, files = stored(queries, query_block), stored(vectors, block)
+    n_asked, n_files, parts = asked.count(), files.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = max(1, min(16, n_asked * n_files // parts))  # files to a task
+    runs = files.withColumn("run", F.pmod(F.xxhash64("file"), F.lit(max(1, n_files // run)))).groupBy("d", "run").agg(F.collect_list(F.struct("file", "n")).alias("files"))
+    tasks = asked.join(runs, "d").select("file", "n", "d", "files")  # a row for each block of queries and run of files
+    tasks = tasks.repartition(max(1, min(10_000, max(parts, n_asked * n_files // run))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.to_pylist():
+                with _open(task["file"]) as source:
+                    q = VectorFile(source, task["n"], task["d"])
+                    wanted = q.exact(np.arange(q.n))
+                best: list[list[tuple[int, int]]] = [[] for _ in range(q.n)]
+                for f in task["files"]:
+                    with _open(f["file"]) as source:
+                        _merge(q, wanted, VectorFile(source, f["n"], task["d"]), best, k)
+                found = [(int(i), j, s) for i, x in zip(q.ids, best, strict=True) for s, j in x]
+                if found:
+                    a, b, s = zip(*found, strict=True)
+                    keys, scores = [(TOP + x).to_bytes(WIDTH, "big") for x in s], [-x if -(2**63) <= -x < 2**63 else None for x in s]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "key", "score"])
+
+    partial = tasks.mapInArrow(lean(scan), "query_id long, vec_id long, key binary, score long")
+    best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each run of files
+    return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
+
+
+def _open(uri: str):
+    files, path = file_system(uri)
+    return files.open_input_file(path)
+
+
+def _merge(q: VectorFile, wanted: np.ndarray, file: VectorFile, best: list[list[tuple[int, int]]], k: int) -> None:
+    """Brings the best of each query up to date with one file."""
+    wide = np.flatnonzero(file.wide)
+    singly = range(file.n) if q.wide.any() else wide.tolist()
+    vectors = file.exact(np.array(singly, np.int64)) if len(singly) else []
+    whole = {j: list(map(int, x)) for j, x in zip(singly, vectors, strict=True)}
+    for a in range(0, q.n, 128):
+        part = np.where(q.wide[a : a + 128, None], 0, wanted[a : a + 128])
+        for i, (query, bound) in enumerate(zip(part.astype(np.int64), file.bounds(part), strict=True), a):
+            if q.wide[i]:
+                others = range(file.n)
+            else:
+                best[i] = file.search(query, q.ids[i], bound, best[i], k)
+                others = wide.tolist()
+            if len(others):
+                exact = list(map(int, wanted[i].tolist()))
+                best[i] = sorted([*best[i], *((-sum(map(mul, exact, whole[j])), int(file.ids[j])) for j in others if file.ids[j] != q.ids[i])])[:k]
