@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from layouts import layouts
 from tidegauge.llm import chat, html, jaccard, langid, queries, suffix
 
 
@@ -199,6 +200,15 @@ def test_chat_against_sql(spark, data):
     assert all((got[k] == wanted[k]).all() for k in wanted)
 
 
+def test_long_and_no_conversations(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.examples(empty)).count() == 0
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <s>") for k in range(300)]
+    (row,) = chat.digests(chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    loss = "".join(t for _, k, _, t in turns if k % 2)
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (300, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "<<SYS>>x<</SYS>>", "<", "[", "<s>\\", "[\\INST]", None, "", "a\nb", "🙂</s", "[/INST"]
     rows = [(c, k, "assistant" if k % 2 else "user", t, "z") for c in range(3) for k, t in enumerate(odd[c:])] + [(7, 0, "user", "only", ""), (8, 0, None, None, ""), (9, 1, "assistant", "a", ""), (9, 1, "assistant", "a", "")]
@@ -223,6 +233,19 @@ def test_main_text(spark):
     assert len(got) == 7 and {r["text"] for r in got if r["page_id"] in (1, 2)} == {""} and sum(r["text"].startswith("A & B") for r in got) == 2
 
 
+def test_main_text_of_foreign_layouts(spark):
+    field, pages = html.default_field(), list(layouts())
+    right = extra = lost = 0
+    for _, page, blocks in pages:
+        got = [x for x in html.main_text(page, field).split("\n\n") if x]
+        right += sum(x in blocks for x in got)
+        extra += sum(x not in blocks for x in got)
+        lost += sum(x not in got for x in blocks)
+    assert right / (right + extra) >= 0.95 and right / (right + lost) >= 0.98  # blocks: precision, recall
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html.extract(empty, field).count() == 0
+
+
 def test_digits_of_whole_block():
     rows = html.features([html.Block(t, 0, ("p",), ()) for t in ("12 " * 70 + "words " * 500, "word " * 50 + "1234 " * 200, "1 2")])
     assert ["digits" in r for r in rows] == [False, True, True]
