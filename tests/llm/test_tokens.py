@@ -88,6 +88,12 @@ def test_id_files(spark, texts):
         at += len(ids) // 4
     assert [(a, b, c, bytes(d)) for a, b, c, d in got] == wanted
     assert token_files.write_and_read(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
+    same = spark.createDataFrame([(7, f"w {k % 50}") for k in range(4000)] + [(8, None)], "doc_id long, text string").repartition(4)
+    manifest = token_files.write_id_files(same, P.path("word_bpe_49k.json"), file_ids=500)
+    assert manifest.where("n_docs > 1500").count() == 0  # one id in many files
+    rows = sorted(token_files.read_id_files(manifest).collect(), key=lambda r: r["start"])
+    ends = [r["start"] + r["n_tokens"] for r in rows]
+    assert len(rows) == 4001 and [r["start"] for r in rows] == [0, *ends[:-1]] and rows[-1]["doc_id"] == 8
 
 
 def check_packing(rows, capacity):

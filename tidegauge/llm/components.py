@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import lean, written
+from tidegauge.llm.common import dropped, lean, written
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()  # every link now leads from a node to a lesser one
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(down, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "links")
+        last, now = now, written(small.where("u <> v").distinct(), "links")
+        dropped(last)
         said = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if said == before or not said["n"]:
             break

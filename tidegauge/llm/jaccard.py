@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import lean, slices, written
+from tidegauge.llm.common import dropped, lean, slices, written
 from tidegauge.llm.components import components
 
 _RANDOM = np.random.default_rng(20250310)
@@ -334,6 +334,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             yield _pairs(out)
 
     clusters = written(components(dealt.mapInArrow(lean(candidates), "a long, b long")), "clusters")
+    dropped(kept, live)
     members = clusters.withColumnRenamed("node", "mark").join(sets.select("mark", F.col("doc_id").alias("_id"), "n"), "mark")
     sizes = written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sizes")
     wanted = blocks(members.join(sizes, "component"), F.greatest(F.ceil(F.col("m") / F.lit(float(block))), F.ceil(F.col("total") / F.lit(250.0 * block))), "mark")
@@ -360,9 +361,11 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
                 yield _pairs(out)
 
     found = written(components(shipped.mapInArrow(lean(verify), "a long, b long")), "classes")
+    dropped(clusters, sizes)
     labelled = sets.select("mark", "doc_id").join(found, F.col("mark") == F.col("node"), "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("label"))
     named = written(labelled.groupBy("label").agg(F.min("doc_id").alias("least")), "named")  # tables by themselves: a hot label or set can then be split
     names = written(labelled.join(named, "label").select(F.col("mark").alias("_mark"), "least", "label"), "names")
+    dropped(sets, found, named)
     shown = ("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("h").alias("text_hash"), "label")
     texts = profiles.where("n > 0").join(names, F.col("mark") == F.col("_mark"), "left").select(*shown)
     return texts.unionByName(profiles.where("n = 0").withColumns({"least": F.col("doc_id"), "label": F.lit(None).cast("long")}).select(*shown))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import lean, slices, written
+from tidegauge.llm.common import dropped, lean, slices, written
 
 _RANDOM = np.random.default_rng(20240917)
 _BYTE = _RANDOM.integers(0, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,6 +264,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
     found = texts.withColumn("v", version).mapInArrow(lean(anchors), f"g long, c long, doc_id {key}, v int, at int")
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     shared = written(found.join(again, "g"), "shared")
+    dropped(again)
     contexts = written(shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "v", "at")).alias("w")), "contexts")
     several = written(contexts.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "several")  # a table by itself: a hot gram's contexts can then be split
     whole = contexts.where("n > 1").select("g", "c", F.lit(back).alias("left"), F.lit(length).alias("right"))
@@ -301,6 +302,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
     sorted_out = ready.mapInArrow(lean(sort), "g long, c long, left int, right int")
     covers = whole.unionByName(sorted_out)
     covers = written(covers if extra is None else covers.unionByName(extra), "covers")
+    dropped(contexts, several)
     runs = shared.join(covers, ["g", "c"]).select("doc_id", "v", F.struct(F.greatest(F.col("at") - F.col("left"), F.lit(0)).alias("start"), (F.col("at") + F.col("right")).alias("end")).alias("r"))
     runs = runs.groupBy("doc_id", "v").agg(F.array_sort(F.collect_set("r")).alias("r"))  # as many as the text has anchors
 

@@ -6,8 +6,8 @@ id and number of ids; length of the index (8 bytes); MAGIC. A block's ids are tr
 holds bit k (or byte k) of every id; bytes that are zero throughout a block have no planes.
 
 Cases: a null text counts as empty and yields the end id alone; an empty table yields no file and no
-rows; repeated ids and repeated rows are each kept, in order of text; other columns are ignored; a text
-of any length is cut into blocks while it is written, and a plane is read back one block at a time.
+rows; repeated ids and repeated rows are each kept, in order of a hash of the text, so that an id of very many
+rows is split; other columns are ignored; a text of any length is cut into blocks while it is written, and a plane is read back one block at a time.
 """
 
 from __future__ import annotations
@@ -132,8 +132,9 @@ class PlaneReader:
             yield doc_id, b"".join(parts)
 
 
-def write_id_files(docs: DataFrame, tokenizer: str, kind: str = "word", pattern: str = "", end_id: int = 2, planes: str = "bit", block: int = BLOCK, folder: str | None = None) -> DataFrame:
-    """Encodes text of docs(doc_id, text) into files in ascending doc_id order, one per range of doc_id.
+def write_id_files(docs: DataFrame, tokenizer: str, kind: str = "word", pattern: str = "", end_id: int = 2, planes: str = "bit", block: int = BLOCK, folder: str | None = None, file_ids: int = 1 << 26) -> DataFrame:
+    """Encodes text of docs(doc_id, text) into files in ascending doc_id order, one or more per range of doc_id: the
+    next one begins after about file_ids ids, which bounds the index that a task holds.
 
     Returns the manifest, itself a written table: part (order of the files), file (URI), n_docs, n_ids.
     A task that is run again writes another file; only files in the manifest count.
@@ -143,23 +144,30 @@ def write_id_files(docs: DataFrame, tokenizer: str, kind: str = "word", pattern:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, kind, pattern).encode, end_id.to_bytes(4, "little")
-        part, out, n_ids = TaskContext.get().partitionId(), None, 0
+        part, out, n_ids = TaskContext.get().partitionId() << 32, None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/{name}"], "n_docs": [len(out.docs)], "n_ids": [n_ids]})
+
         for batch in slices(batches, "text"):
             if out is None:
                 files, path = file_system(folder)
                 files.create_dir(path, recursive=True)
-                name = f"{part:06d}-{uuid.uuid4().hex}.ids"
+                name = f"{part:016x}-{uuid.uuid4().hex}.ids"
                 out = PlaneWriter(files.open_output_stream(f"{path}/{name}"), planes, block)
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 out.add(doc_id, x + end)
                 n_ids += len(x) // 4 + 1
+            if n_ids >= file_ids:
+                yield closed()
+                part, out, n_ids = part + 1, None, 0
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/{name}"], "n_docs": [len(out.docs)], "n_ids": [n_ids]})
+            yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(lean(write, encoder_key(tokenizer)), "part long, file string, n_docs long, n_ids long"), "manifest")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return written(ordered.drop("h").mapInArrow(lean(write, encoder_key(tokenizer)), "part long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_id_files(manifest: DataFrame) -> DataFrame:
