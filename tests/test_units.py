@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
-from tidegauge.operators import delivery, evaluate, models, scaler, train, windows
+from tidegauge.operators import conditioning, delivery, detector, evaluate, labels, models, scaler, simulate, train, windows
 from tidegauge.operators.intervals import islands, running_sums
 from tidegauge.plans import stages
 from tidegauge.plans.config import Settings, load_config
@@ -181,3 +181,82 @@ def test_config(tmp_path):
         load_config(str(tmp_path / "d.toml"))
     with pytest.raises(ValueError):
         Settings(kind="harmonic", hidden=3)
+
+
+def test_peaks_over_block_borders(spark):
+    for at in (999_998, 1_000_498):
+        df = spark.createDataFrame([(at - 1, 1.0), (at, 5.0), (at + 1, 1.0), (at + 3, 9.0), (at + 4, 1.0), (at + 20, 6.0), (at + 21, 1.0)], "window long, snr double")
+        assert sorted(map(tuple, labels.snr_peaks(df, 2.0, 12, 0.5).collect())) == [(at + 3, 9.0), (at + 20, 6.0)]
+        assert sorted(map(tuple, labels.snr_peaks(df, 2.0, 12, 0.5, block=4).collect())) == [(at + 3, 9.0), (at + 20, 6.0)]
+    assert labels.snr_peaks(spark.createDataFrame([], "window long, snr double"), 2.0, 12, 0.5).count() == 0
+
+
+def test_coloured_noise(spark):
+    knots = [(0.0, 4.0), (0.25, 4.0), (0.2500001, 1.0), (0.5, 1.0)]
+    noise = [simulate.coloured_noise(spark, 40_000, 1.0, knots, seed=5, block=4096).repartition(k).orderBy("row").toPandas() for k in (1, 7)]
+    assert noise[0].equals(noise[1]) and noise[0]["row"].tolist() == list(range(1, 40_001))
+    p = np.abs(np.fft.rfft(noise[0]["value"])) ** 2 * 2 / 40_000
+    assert p[100:9000].mean() == pytest.approx(4.0, rel=0.05) and p[11_000:19_000].mean() == pytest.approx(1.0, rel=0.05)
+
+
+def test_antenna_average(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(b), float(c), float(d)) for a, b, c, d in zip(rng.uniform(0, 2 * np.pi, 20_000), np.arcsin(rng.uniform(-1, 1, 20_000)), rng.uniform(0, np.pi, 20_000), rng.uniform(0, 3e7, 20_000))]
+    plus, cross = simulate.antenna(F.col("t"), F.col("lon"), F.col("lat"), F.col("psi"))
+    assert spark.createDataFrame(rows, "lon double, lat double, psi double, t double").select(F.avg(plus * plus + cross * cross)).first()[0] == pytest.approx(0.3, rel=0.03)
+
+
+def test_detector_and_conditioning(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(400)
+    record = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(x) if not 150 <= i < 160], "row long, value double")
+    covered = spark.createDataFrame([(1, 150), (161, 400)], "start long, end long")
+    ids = spark.range(1, windows.window_count(400, 40, 10) + 1).withColumnRenamed("id", "window")
+    clips = conditioning.contiguous_clips(ids, covered, 40, 10, 2, 400, bin_rows=64)
+    rows = {r["window"]: (r["first"], r["last"]) for r in clips.collect()}
+    assert rows[12] == (31, 150) and 13 not in rows and 16 not in rows and rows[17] == (161, 280)
+    got = {r["window"]: np.array(r["x"]) for r in conditioning.condition_windows(record, clips, 40, 10, 1.0, None, 0.05, 4, bin_rows=64).collect()}
+    for w, (a, b) in rows.items():
+        at = (w - 1) * 10 + 1 - a
+        assert np.allclose(got[w], spectral.condition(x[a - 1 : b], 1.0, cutoff=0.05, order=4)[at : at + 40])
+    model, scale = models.build_classifier("circuit", 4, 2, seed=1), scaler.FeatureScaler((0.0,) * 4, (1.0,) * 4)
+    with pytest.raises(ValueError):
+        detector.StreamingDetector(model, scale, 0.5, 40, 50, 1.0)
+    with pytest.raises(ValueError):
+        detector.StreamingDetector(model, None, 0.5, 40, 10, 1.0)
+    found = detector.StreamingDetector(model, scale, 0.5, 40, 10, 1.0, cutoff=0.05, order=4).detect(record, covered, ids, 400).collect()
+    one = detector.ClassifierScorer(model, scale)
+    assert {r["window"] for r in found} == set(rows) and all(r["probability"] == pytest.approx(one.window_score(got[r["window"]])) for r in found)
+    assert conditioning.edge_rows(8, 0.2, 0.0005) == 3200 and conditioning.edge_rows(8, 0.2, 0) == 0
+    assert conditioning.density_from_sidecar({"psd": "none"}) is None and conditioning.density_from_sidecar({"psd": "welch", "frequencies": [0, 1], "values": [2, 3]}) == [(0.0, 2.0), (1.0, 3.0)]
+    for odd in ({}, {"psd": "welch"}, {"psd": "x"}):
+        with pytest.raises(ValueError):
+            conditioning.density_from_sidecar(odd)
+
+
+def test_limits_and_channels(spark, tmp_path):
+    assert models.check_memory("circuit", 4, 4, 64) < 0.01 and train.gradient_tasks(1000) == 4
+    with pytest.raises(MemoryError):
+        models.check_memory("circuit", 30, 4, 64)
+    assert records.check_channels({}, {"channels": "A"}) == "A"
+    with pytest.raises(ValueError):
+        records.check_channels({"channels": "AE"}, {})
+    with pytest.raises(ValueError):
+        stages.outside(str(tmp_path / "run" / "out"), str(tmp_path / "run"))
+    (tmp_path / "own.toml").write_text('[paths]\ninputs = "x"\n[model]\nn_qubits = 5\nkind = "perceptron"\n[training]\nlearning_rate = 1\nscaler_quantiles = [0.1, 0.9]\nphase_span = 0.5\nclass_weight = "balanced"\n[calibration]\nscaler = "keep"\n[telemetry]\nbatch_size = 10\n')
+    s = load_config(str(tmp_path / "own.toml"))
+    assert (s.qubits, s.units, s.rate, s.low_quantile, s.span, s.class_weight, s.scaler_rule, s.decay, s.patience) == (5, 6, 1.0, 0.1, np.pi / 2, "auto", "keep", 0.95, 12)
+
+
+def test_replay_and_label_outputs(spark, tmp_path):
+    s = Settings(window_size=20, step_size=5, sample_rate=1.0, persistence=2, context_windows=1)
+    scored = spark.createDataFrame([(w, 0.9 if 20 <= w <= 26 else 0.1, int(20 <= w <= 26)) for w in range(1, 60)], "window long, probability double, label int").withColumn("decision", (F.col("probability") > 0.5).cast("int"))
+    arrivals = spark.createDataFrame([(b, b * 60) for b in range(1, 14) if b != 9], "batch long, s long").select("batch", F.timestamp_seconds("s").alias("arrived_at"))
+    events = spark.createDataFrame([(1, 110.0, 90, 150, 95)], "event int, merger_time_s double, label_start_index long, label_end_index long, signal_start_index long")
+    out = str(tmp_path / "out")
+    found = stages.replay_classifier(scored, arrivals, events, None, s, 320, 25, F.lit("1970-01-01").cast("timestamp"), out, str(tmp_path / "run"), ingested_rows=300)
+    assert found["latency"].first()["detected"] == 1 and spark.read.csv(f"{out}/telemetry_windows", header=True).count() == found["windows"].count() < 57
+    assert spark.read.csv(f"{out}/alert_latency", header=True).count() == 1
+    strength = spark.createDataFrame([(w, 9.0 - abs(w - 30)) for w in range(1, 60)], "window long, snr double")
+    made = stages.label_truth_stream(strength, None, s, 600, str(tmp_path / "labels"), before_s=50, after_s=20, separation_s=100)
+    assert made["n_label_runs"] == 1 and made["events"].count() == 1 and 0 < made["positive_fraction"] < 0.2

@@ -50,7 +50,12 @@ def condition(x: np.ndarray, rate: float, psd: np.ndarray | None = None, psd_f:
 def periodogram(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Tapered periodograms of equally long arrays of samples."""
     for s in xs:
-        yield pd.Series([tapered_periodogram(np.asarray(x, float)) for x in s], dtype=object)
+        lengths, out = s.map(len).to_numpy(), np.empty(len(s), object)
+        for n in np.unique(lengths):  # one transform for all arrays of a length
+            own = np.flatnonzero(lengths == n)
+            for i, p in zip(own, tapered_periodogram(np.stack(s.iloc[own].to_numpy()).astype(float)), strict=True):
+                out[i] = p
+        yield pd.Series(out, dtype=object)
 
 
 def window_arrays(samples: DataFrame) -> DataFrame:

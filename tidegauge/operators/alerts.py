@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.delivery import row_time
 from tidegauge.operators.intervals import islands, touching
 
 
@@ -37,6 +38,11 @@ def credited_spans(events: DataFrame, crediting: str) -> DataFrame:
     return events.select("event", "merger_time_s", F.col(columns[crediting]).alias("start"), F.col("label_end_index").alias("end"))
 
 
+def credited_span_times(spans: DataFrame, epoch: Column, rate: float) -> DataFrame:
+    """Spans in mission time: start_at and end_at."""
+    return spans.withColumns({"start_at": row_time(F.col("start"), epoch, rate), "end_at": row_time(F.col("end"), epoch, rate)})
+
+
 def mode_events(events: DataFrame, channels: str) -> DataFrame:
     """Two-channel mode takes its own onsets."""
     return events.withColumn("signal_start_index", F.col("signal_start_index_ae")) if channels == "AE" else events

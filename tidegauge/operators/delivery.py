@@ -103,7 +103,7 @@ def ordered_release(windows: DataFrame, block: int = 100_000) -> DataFrame:
     across = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
     before = sums.select("b", F.max("m").over(across).alias("m"), F.coalesce(F.max("o").over(across), F.lit(0)).alias("o"))
     inside = Window.partitionBy("b").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({"mine": F.max("settled_at").over(inside), "stuck": F.max("open").over(inside)}).join(F.broadcast(before), "b")
+    out = dealt.withColumns({"mine": F.max("settled_at").over(inside), "stuck": F.max("open").over(inside)}).join(before, "b")
     return out.select("window", "settled_at", F.when(F.greatest("stuck", "o") == 0, F.greatest("mine", "m")).alias("release_at"))
 
 
@@ -130,5 +130,18 @@ def mark_late(events: DataFrame, horizon_seconds: float) -> DataFrame:
     return events.withColumn("late", F.coalesce(late, F.lit(False)))
 
 
+def mission_day(window: Column, step: int, rate: float, first_window: int = 1) -> Column:
+    """Day at which a window starts; first_window is the record index of the table's window 1 (1 where the table carries record indices)."""
+    return (F.lit(first_window - 2) + window) * F.lit(step / rate / 86_400.0) if first_window != 1 else (window - 1) * F.lit(step / rate / 86_400.0)
+
+
+def replay_geometry(windows: DataFrame) -> DataFrame:
+    """windows(window, row_start, row_end, content_start, content_end) -> interval (seconds a row) and epoch (instant of row 1), from the first window."""
+    first = windows.agg(F.min_by(F.struct("row_start", "row_end", "content_start", "content_end"), "window").alias("w")).select("w.*").where("row_end > row_start")
+    micros = (F.unix_micros("content_end") - F.unix_micros("content_start")) / (F.col("row_end") - F.col("row_start"))
+    epoch = F.timestamp_micros(F.unix_micros("content_start") - F.round(micros * (F.col("row_start") - 1)).cast("long"))
+    return first.select((micros / F.lit(1e6)).alias("interval"), epoch.alias("epoch"))
+
+
 def scored_at() -> Column:
     return F.coalesce("release_at", "complete_at")

@@ -9,11 +9,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
-from tidegauge.operators import delivery, models, scaler
+from tidegauge.operators import conditioning, delivery, models, scaler
 
 
 class WindowScorer(Protocol):
@@ -38,10 +38,45 @@ class ClassifierScorer:
         return self.model.label
 
     def window_score(self, samples: np.ndarray) -> float:
-        x = np.asarray((self.features or default_features)(samples), float)
+        return float(self.window_scores([samples])[0])
+
+    def window_scores(self, windows: list[np.ndarray]) -> np.ndarray:
+        """All windows of a batch in one simulation."""
+        if not windows:
+            return np.zeros(0)
+        x = np.array([(self.features or default_features)(w) for w in windows], float)
         low, high = np.array(self.scale.lower), np.array(self.scale.upper)
-        angles = (np.clip(x, low, high) - low) / (high - low) * self.scale.span
-        return float(score_array(self.model, angles[None])[0])
+        return score_array(self.model, (np.clip(x, low, high) - low) / (high - low) * self.scale.span)
+
+
+@dataclass(frozen=True)
+class StreamingDetector:
+    """A model, its scaler and threshold, and the geometry and conditioning of the windows that it scores."""
+
+    model: models.Classifier
+    scale: scaler.FeatureScaler | None
+    threshold: float
+    size: int
+    step: int
+    rate: float
+    context: int = 2
+    knots: tuple[tuple[float, float], ...] | None = None
+    cutoff: float = 0.0
+    order: int = 8
+    features: object = field(default=None)
+
+    def __post_init__(self):
+        if not 1 <= self.step <= self.size:
+            raise ValueError(f"step {self.step} outside 1 to the window size {self.size}")
+        scaler.require_scaler(self.scale)
+
+    def detect(self, record: DataFrame, covered: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
+        """record(row, value), covered(start, end) and windows(window) -> window, probability, decision; each window is
+        conditioned in the covered stretch around it, windows that aren't wholly covered have no row."""
+        clips = conditioning.contiguous_clips(windows, covered, self.size, self.step, self.context, rows)
+        x = conditioning.condition_windows(record, clips, self.size, self.step, self.rate, list(self.knots) if self.knots else None, self.cutoff, self.order)
+        out = x.select("window", _scored(ClassifierScorer(self.model, self.scale, self.features))("x").alias("probability"))
+        return out.withColumn("decision", models.decide(F.col("probability"), self.threshold))
 
 
 def default_features(samples: np.ndarray) -> list[float]:
@@ -70,12 +105,19 @@ def score_windows(samples: DataFrame, scorer: WindowScorer) -> DataFrame:
     if getattr(scorer, "stateful", False):
         raise ValueError("a stateful scorer takes windows in order; use score_in_order")
 
+    return spectral.window_arrays(samples).select("window", _scored(scorer)("x").alias("probability"))
+
+
+def _scored(scorer: WindowScorer):
+    """Pandas UDF of a scorer over arrays of samples; a scorer with window_scores takes a batch at once."""
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([scorer.window_score(np.asarray(x, float)) for x in batch], dtype=float)
+            arrays = [np.asarray(x, float) for x in batch]
+            yield pd.Series(scorer.window_scores(arrays) if hasattr(scorer, "window_scores") else [scorer.window_score(x) for x in arrays], dtype=float)
 
-    return spectral.window_arrays(samples).select("window", score("x").alias("probability"))
+    return score
 
 
 def score_in_order(samples: DataFrame, scorer: WindowScorer, series: str = "series") -> DataFrame:
@@ -118,9 +160,12 @@ def trailing_welch(record: DataFrame, segment: int, rate: float, trailing_rows:
 
 def epoch_in_force(windows: DataFrame, estimates: DataFrame, refresh_rows: int) -> DataFrame:
     """windows(window, row_start) with psd_row: the latest refresh at or before the stretch that has an estimate, or null."""
-    known = F.broadcast(estimates.select("psd_row").distinct().agg(F.array_sort(F.collect_set("psd_row")).alias("known")))  # a row per refresh
-    at = F.floor(F.col("row_start") / refresh_rows) * refresh_rows
-    return windows.join(known).withColumn("psd_row", F.array_max(F.filter("known", lambda k: k <= at))).drop("known")
+    at = (F.floor(F.col("row_start") / refresh_rows) * refresh_rows).cast("long")
+    asked = windows.select(at.alias("at")).distinct()  # a row per refresh, as the estimates'
+    both = asked.select("at", F.lit(None).cast("long").alias("psd_row")).unionByName(estimates.select(F.col("psd_row").cast("long").alias("at"), F.col("psd_row").cast("long").alias("psd_row")).distinct())
+    last = F.max("psd_row").over(Window.orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    known = both.withColumn("epoch", last).where("psd_row IS NULL").select("at", F.col("epoch").alias("psd_row")).distinct()
+    return windows.withColumn("at", at).join(known, "at").drop("at")
 
 
 def export_payload(record: DataFrame, per_batch: int, rows: int, events: DataFrame) -> DataFrame:

@@ -125,15 +125,17 @@ def _above(values: DataFrame, thresholds: list[float], columns: list[str]) -> Da
 
 def threshold_sweep(df: DataFrame, thresholds: list[float], step: int, rate: float) -> DataFrame:
     """A row per candidate: events found, window recall and false-positive rate, episodes and their rate."""
-    near = _neighbour(df)
-    both_noise = (F.col("label") == 0) & (F.col("_l") == 0)
-    rows = near.select(F.col("probability").alias("v"), (F.col("label") == 1).cast("int").alias("tp"), (F.col("label") == 0).cast("int").alias("fp"))
-    joined = near.where(both_noise).select(F.least("probability", "_p").alias("v"), F.lit(1).alias("joined"))
-    peaks = events(df, 0.0).select(F.col("best").alias("v"), F.lit(1).alias("found"))
-    total = df.agg(F.sum((F.col("label") == 1).cast("long")).alias("all_pos"), F.sum((F.col("label") == 0).cast("long")).alias("all_neg"), F.count("*").alias("n"))
-    n_events = peaks.agg(F.count("*").alias("n_events"))
-    out = _above(rows, thresholds, ["tp", "fp"]).join(_above(joined, thresholds, ["joined"]), "threshold").join(_above(peaks, thresholds, ["found"]), "threshold")
-    out = out.join(F.broadcast(total)).join(F.broadcast(n_events))
+    counts = ["tp", "fp", "joined", "found", "n"]
+    one, none = F.lit(1), F.lit(0)
+    pos, neg = (F.coalesce((F.col("label") == k).cast("int"), none) for k in (1, 0))
+    own = F.struct(F.coalesce(F.col("probability"), F.lit(-1.0)).alias("v"), pos.alias("tp"), neg.alias("fp"), none.alias("joined"), none.alias("found"), one.alias("n"))
+    pair = F.struct(F.least("probability", "_p").alias("v"), none.alias("tp"), none.alias("fp"), one.alias("joined"), none.alias("found"), none.alias("n"))
+    both = (F.col("label") == 0) & (F.col("_l") == 0) & F.col("probability").isNotNull() & F.col("_p").isNotNull()
+    rows = _neighbour(df).select(F.inline(F.when(both, F.array(own, pair)).otherwise(F.array(own))))
+    peaks = events(df, 0.0).select(F.coalesce("best", F.lit(-1.0)).alias("v"), none.alias("tp"), none.alias("fp"), none.alias("joined"), one.alias("found"), none.alias("n"))
+    sums = _above(rows.unionByName(peaks), [-2.0, *thresholds], counts)  # below every score: the totals
+    total = sums.where("threshold = -2").select(F.col("tp").alias("all_pos"), F.col("fp").alias("all_neg"), F.col("found").alias("n_events"), F.col("n").alias("all"))
+    out = sums.where("threshold > -2").drop("n").join(F.broadcast(total.withColumnRenamed("all", "n")))  # one row
     return out.select(
         "threshold", F.col("n_events").cast("long").alias("n_events"), F.try_divide(F.col("found").cast("double"), "n_events").alias("event_recall"), F.try_divide(F.col("tp").cast("double"), "all_pos").alias("window_recall"),
         F.try_divide(F.col("fp").cast("double"), "all_neg").alias("window_fpr"), (F.col("fp") - F.col("joined")).cast("long").alias("episodes"), ((F.col("fp") - F.col("joined")) / observation_days(F.col("n"), step, rate) * 30.0).alias("false_alarms_per_30d"),
@@ -206,5 +208,8 @@ def loss_survival(p: Column, stretch_batches: Column | int) -> Column:
 
 def gap_summary(missions: DataFrame, reference: str) -> DataFrame:
     """missions(mission, windows, events, n_events, far): windows as a fraction of the reference mission's."""
+    odd = missions.where("windows < 0 OR events > n_events").limit(1).count()
+    if odd:
+        raise ValueError("a mission with fewer than no windows, or more events found than there are")
     ref = missions.where(F.col("mission") == reference).select(F.col("windows").alias("_w"))
     return missions.join(F.broadcast(ref)).select("mission", (F.col("windows") / F.col("_w")).alias("fraction"), "events", "n_events", F.when(F.col("windows") > 0, F.col("far")).otherwise(F.lit(None)).alias("far"))

@@ -39,7 +39,7 @@ def signal_onsets(strength: DataFrame, spans: DataFrame, threshold: float, size:
     order = Window.orderBy("event")  # a row per event
     bounds = spans.withColumn("past", F.coalesce(F.lag("end").over(order), F.lit(0)))
     row = (F.col("window") - 1) * step + 1
-    met = strength.join(F.broadcast(bounds), "event").where((F.col("snr") >= threshold) & (row + size - 1 >= F.col("start")) & (row <= F.col("end")) & (row > F.col("past")))
+    met = strength.join(bounds, "event").where((F.col("snr") >= threshold) & (row + size - 1 >= F.col("start")) & (row <= F.col("end")) & (row > F.col("past")))
     return met.groupBy("event").agg(F.min(row).alias("onset"))
 
 
@@ -48,7 +48,7 @@ def network(a: Column, e: Column) -> Column:
     return F.sqrt(a * a + e * e)
 
 
-def snr_peaks(strength: DataFrame, threshold: float, separation: int, ratio: float) -> DataFrame:
+def snr_peaks(strength: DataFrame, threshold: float, separation: int, ratio: float, block: int = 1_000_000) -> DataFrame:
     """strength(window, snr) -> peaks: local maxima at or above the threshold; of two closer than `separation` the greater
     stays; an earlier peak below `ratio` of the next within it merges into the later. Only maxima reach the greedy pass."""
     before, after = (strength.select((F.col("window") + k).alias("window"), F.col("snr").alias(n)) for k, n in ((1, "b"), (-1, "a")))
@@ -64,8 +64,13 @@ def snr_peaks(strength: DataFrame, threshold: float, separation: int, ratio: flo
             out.append((w, s))
         return pd.DataFrame(out, columns=["window", "snr"])
 
-    # Groups of maxima closer than the separation are independent, so each is a group of its own.
-    order = Window.partitionBy(F.floor(F.col("window") / 1_000_000)).orderBy("window")
-    group = F.sum(F.coalesce((F.col("window") - F.lag("window").over(order) >= separation).cast("int"), F.lit(1))).over(order)
-    grouped = top.select("window", "snr", F.floor(F.col("window") / 1_000_000).alias("block"), group.alias("g"))
-    return grouped.groupBy("block", "g").applyInPandas(lambda rows: keep(rows), "window long, snr double")
+    # Groups of maxima closer than the separation are independent, so each is a group of its own. Blocks of windows
+    # number their groups alone and pass on their last maximum and their number of groups, a row for each block.
+    dealt = top.select("window", "snr", F.floor(F.col("window") / block).alias("block"))
+    inside, across = Window.partitionBy("block").orderBy("window"), Window.orderBy("block")
+    near = dealt.withColumn("new", (F.col("window") - F.lag("window").over(inside) >= separation).cast("int"))
+    ends = near.groupBy("block").agg(F.min("window").alias("low"), F.max("window").alias("high"), F.coalesce(F.sum("new"), F.lit(0)).alias("more"))
+    first = F.coalesce((F.col("low") - F.lag("high").over(across) >= separation).cast("int"), F.lit(1))
+    ends = ends.withColumn("first", first).select("block", "first", (F.sum(F.col("first") + F.col("more")).over(across) - F.col("more")).alias("base"))
+    grouped = near.join(ends, "block").withColumn("g", F.col("base") + F.coalesce(F.sum("new").over(inside), F.lit(0))).select("window", "snr", "g")
+    return grouped.groupBy("g").applyInPandas(keep, "window long, snr double")

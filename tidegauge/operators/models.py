@@ -8,6 +8,7 @@ is (1 - mean Z expectation) / 2. Batches of rows advance together as one array o
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -200,6 +201,16 @@ def decide(p: Column, threshold: float) -> Column:
     return (p >= F.lit(threshold)).cast("int")
 
 
+def check_memory(kind: str, qubits: int, layers: int, batch: int, most_gib: float = 16.0, warn_gib: float = 8.0, method: str = "adjoint") -> float:
+    """The estimate; a warning above warn_gib, a refusal above most_gib."""
+    need = memory_estimate_gib(kind, qubits, layers, batch, method)
+    if need > most_gib:
+        raise MemoryError(f"a batch gradient needs about {need:.1f} GiB; the limit is {most_gib}")
+    if need > warn_gib:
+        warnings.warn(f"a batch gradient needs about {need:.1f} GiB", stacklevel=2)
+    return need
+
+
 def memory_estimate_gib(kind: str, qubits: int, layers: int, batch: int, method: str = "adjoint") -> float:
     """Registers of a batch gradient: two for each chunk of four rows, or a tape of every gate."""
     cells = 2 * math.ceil(batch / 4) if method == "adjoint" else 2 * batch * layers * 5 * qubits

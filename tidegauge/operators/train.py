@@ -45,10 +45,21 @@ def circuit_gradient(df: DataFrame, columns: list[str], model: Classifier, weigh
         return pd.DataFrame({"chunk": [key[0]], "rows": [len(rows)], "g": [circuit.gradient(x, params, slope).reshape(-1).tolist()]})
 
     dealt = df.select(F.floor(F.col("row_id") / chunk).cast("long").alias("chunk"), "row_id", "label", *columns)
-    parts = dealt.groupBy("chunk").applyInPandas(run, "chunk long, rows long, g array<double>").orderBy("chunk").collect()  # a row per chunk of a batch
+    parts = dealt.groupBy("chunk").applyInPandas(run, "chunk long, rows long, g array<double>")
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        return pd.DataFrame({"chunk": [key[0]], "rows": [rows["rows"].sum()], "g": [sum(map(np.array, rows["g"])).tolist()]})
+
+    parts = parts.groupBy(F.floor(F.col("chunk") / 4096).alias("part")).applyInPandas(add, "chunk long, rows long, g array<double>").orderBy("chunk").collect()  # a row for a million rows
     return sum((np.array(r["g"]) for r in parts), np.zeros(len(model.params))) / sum(r["rows"] for r in parts)
 
 
+def gradient_tasks(rows: int, chunk: int = 256) -> int:
+    """Independent tasks of an adjoint gradient over a batch."""
+    return -(-rows // chunk)
+
+
 def gradient_arrays(model: Classifier, x: np.ndarray, y: np.ndarray, weight: float) -> tuple[float, np.ndarray]:
     """Loss and mean gradient of a batch in memory, for every kind."""
     n, span = model.features, model.span
@@ -98,12 +109,12 @@ def train(
 ) -> tuple[Classifier, list[dict]]:
     """The model of the least validation loss and the history of epochs.
 
-    Mini-batch steps follow one another, so training rows come to the driver once, up to most_rows of them; more are
+    Mini-batch steps follow one another, so training and validation rows come to the driver once, up to most_rows of each; more are
     refused, not sampled. A permutation per epoch; the last batch may be short; the epoch's loss is the mean over batches.
     """
-    n = train_rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} training rows; the limit is {most_rows}")
+    for name, rows in (("training", train_rows), ("validation", validation)):
+        if (n := rows.count()) > most_rows:
+            raise ValueError(f"{n} {name} rows; the limit is {most_rows}")
     load = lambda df: (lambda t: (t[columns].to_numpy(float), t["label"].to_numpy(float)))(df.select(*columns, "label").toPandas())
     x, y = load(train_rows.orderBy("window"))
     vx, vy = load(validation)

@@ -6,12 +6,14 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, replace
+from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators import alerts, delivery, evaluate, models, scaler, train, windows
+from tidegauge.operators import alerts, conditioning, delivery, evaluate, labels, models, scaler, train, windows
+from tidegauge.operators.intervals import touching
 from tidegauge.plans.config import Settings
 from tidegauge.sources import records
 
@@ -42,6 +44,7 @@ def train_classifier(data: DataFrame, columns: list[str], s: Settings, out: str,
         raise ValueError("training takes consecutive windows without gaps")
     if s.kind == "circuit" and len(columns) != s.qubits:
         raise ValueError(f"{len(columns)} features for {s.qubits} qubits")
+    models.check_memory(s.kind, s.qubits, s.layers, s.batch, s.most_memory_gib, s.warn_memory_gib)
     data = data.withColumn("window", F.col("window") - (bounds["a"] - 1))
     n = min(bounds["n"], s.test_mode_samples) if s.test_mode_samples else bounds["n"]
     blocks = _blocks(n, s)
@@ -49,13 +52,15 @@ def train_classifier(data: DataFrame, columns: list[str], s: Settings, out: str,
     scale = scaler.fit_scaler(own["train"], columns, s.low_quantile, s.high_quantile, s.span)
     coded = {k: scaler.encode_features(v, columns, scale) for k, v in own.items()}
     weight = evaluate.class_counts(own["train"]).first()["class_weight"] if s.class_weight == "auto" else 1.0
-    model = models.build_classifier(s.kind, len(columns), s.layers if s.kind == "circuit" else s.hidden, s.span, s.seed)
+    model = models.build_classifier(s.kind, len(columns), s.units, s.span, s.seed)
     model, history = train.train(model, coded["train"], coded["validation"], columns, epochs=s.epochs, batch=s.batch, rate=s.rate, decay=s.decay, patience=s.patience, weight=weight, seed=s.seed, on_epoch=on_epoch)
     held = windows.threshold_rows(blocks, s.threshold_block)
     fitted = fit_threshold(models.predict_all(scaler.encode_features(data.where(held.holds(F.col("window"))), columns, scale), columns, model), s)
     test = models.predict_all(coded["test"], columns, model)
     metrics = evaluate.window_metrics(test, fitted["value"]).first().asDict() | evaluate.event_metrics(test, fitted["value"], s.step_size, s.sample_rate).first().asDict()
-    records.save_model(str(folder / "model.json"), model, scale, {"columns": columns})
+    fitted |= {"block": s.threshold_block, "fitted_on": "training record", "fitted_at": _now()}
+    records.save_model(str(folder / "model.json"), model, scale, {"columns": columns, "channels": s.channels})
+    _tables(data.sparkSession, str(folder), sweep=fitted["sweep"], history=history)
     for name, value in {"config": asdict(s), "split": {k: [r.first, r.last] for k, r in blocks.items()}, "history": {"epochs": history}, "threshold": fitted, "metrics": metrics}.items():
         records.write_json(str(folder / f"{name}.json"), value)
     return {"run": str(folder), "model": model, "scaler": scale, "threshold": fitted["value"], "history": history, "metrics": metrics}
@@ -67,15 +72,36 @@ def load_run(folder: str) -> tuple[models.Classifier, scaler.FeatureScaler, list
     return model, scaler.require_scaler(scale), metadata["columns"], threshold["value"], json.loads(Path(folder, "split.json").read_text())
 
 
-def evaluate_classifier(data: DataFrame, folder: str, s: Settings, block: str = "all") -> dict:
-    """Scores a table under a run's model; metrics where there are labels."""
+def inference_table(scored: DataFrame, threshold: float) -> DataFrame:
+    """Window, Probability, Detection and, where scored has them, Label and SNR."""
+    more = [F.col(a).alias(b) for a, b in (("label", "Label"), ("snr", "SNR")) if a in scored.columns]
+    return scored.select(F.col("window").alias("Window"), F.col("probability").alias("Probability"), models.decide(F.col("probability"), threshold).alias("Detection"), *more)
+
+
+def outside(out: str, run: str) -> None:
+    """Outputs never go into the run that they were made from."""
+    a, b = Path(out).resolve(), Path(run).resolve()
+    if a == b or b in a.parents:
+        raise ValueError(f"{out} lies inside the run {run}")
+
+
+def evaluate_classifier(data: DataFrame, folder: str, s: Settings, block: str = "all", out: str | None = None, first_window: int = 1, metadata: dict | None = None) -> dict:
+    """Scores a table under a run's model; metrics where there are labels; tables and a snapshot below out."""
     model, scale, columns, threshold, split = load_run(folder)
+    if metadata is not None:
+        records.check_channels(records.load_model(f"{folder}/model.json")[2], metadata)
     own = windows.restrict(data, {k: windows.Range(*v) for k, v in split.items()}, block)
     scored = models.predict_all(scaler.encode_features(own, columns, scale), columns, model)
-    scored = scored.withColumns({"decision": models.decide(F.col("probability"), threshold), "day": (F.col("window") - 1) * (s.step_size / s.sample_rate / evaluate.DAY)})
-    if "label" not in data.columns:
-        return {"scored": scored, "threshold": threshold}
-    return {"scored": scored, "threshold": threshold, "auc": evaluate.roc_auc(scored).first()["auc"], **evaluate.window_metrics(scored, threshold).first().asDict(), **evaluate.event_metrics(scored, threshold, s.step_size, s.sample_rate).first().asDict()}
+    scored = scored.withColumns({"decision": models.decide(F.col("probability"), threshold), "day": delivery.mission_day(F.col("window"), s.step_size, s.sample_rate, first_window)})
+    found = {"scored": scored, "threshold": threshold}
+    if "label" in data.columns:
+        found |= {"auc": evaluate.roc_auc(scored).first()["auc"], **evaluate.window_metrics(scored, threshold).first().asDict(), **evaluate.event_metrics(scored, threshold, s.step_size, s.sample_rate).first().asDict()}
+    if out:
+        records.write_csv(inference_table(scored, threshold), f"{out}/inference_probabilities")
+        if "label" in data.columns:
+            records.write_csv(evaluate.threshold_sweep(scored, evaluate.candidates(scored), s.step_size, s.sample_rate).orderBy("threshold"), f"{out}/threshold_sweep")
+        records.write_json(f"{out}/snapshot.json", {"model": folder, "block": block, "settings": asdict(s), "metrics": {k: v for k, v in found.items() if k != "scored"}})
+    return found
 
 
 def calibrate_classifier(data: DataFrame, reference: DataFrame, folder: str, s: Settings, out: str) -> dict:
@@ -93,22 +119,72 @@ def calibrate_classifier(data: DataFrame, reference: DataFrame, folder: str, s:
     if not quiet.limit(1).count():
         raise ValueError("no noise windows to calibrate on")
     scored = models.predict_all(scaler.encode_features(quiet, columns, scale), columns, model).withColumn("label", F.lit(0))
-    fitted = fit_threshold(scored, replace(s, criterion="far" if s.criterion == "youden" else s.criterion), tail=12) | {"parent_threshold": parent, "parent_model": folder, "fitted_on": "calibration"}
+    fitted = fit_threshold(scored, replace(s, criterion="far" if s.criterion == "youden" else s.criterion), tail=s.tail_candidates) | {"block": "calibration", "fitted_at": _now(), "parent_threshold": parent, "parent_model": folder, "fitted_on": "calibration"}
     records.save_model(f"{out}/model.json", model, scale, {"columns": columns})
     records.write_json(f"{out}/threshold.json", fitted)
     records.write_json(f"{out}/split.json", {k: [r.first, r.last] for k, r in blocks.items()})
+    records.write_json(f"{out}/config.json", asdict(s))
+    records.write_json(f"{out}/scaler.json", {"rule": s.scaler_rule, "lower": scale.lower, "upper": scale.upper, "span": scale.span})
+    _tables(data.sparkSession, out, sweep=fitted["sweep"])
+    evaluation = windows.restrict(data, blocks, "evaluation")
+    after = models.predict_all(scaler.encode_features(evaluation, columns, scale), columns, model)
+    records.write_csv(inference_table(after, fitted["value"]), f"{out}/inference_probabilities")
     return {"run": out, "threshold": fitted["value"], "scaler": scale, "blocks": blocks, "noise_windows": fitted["fit_windows"]}
 
 
-def replay_classifier(scored: DataFrame, arrivals: DataFrame, events: DataFrame, holes: DataFrame | None, s: Settings, rows: int, per_batch: int, epoch) -> dict:
-    """Scored windows as a delivery completes them, with alerts: windows, latency table and false alarms of the stream."""
+def replay_classifier(scored: DataFrame, arrivals: DataFrame, events: DataFrame, holes: DataFrame | None, s: Settings, rows: int, per_batch: int, epoch, out: str | None = None, run: str | None = None, ingested_rows: int | None = None) -> dict:
+    """Scored windows as a delivery completes them, with alerts: windows, latency table and false alarms of the stream; tables and a
+    snapshot below out, which must lie outside the run."""
+    if out and run:
+        outside(out, run)
+    if ingested_rows is not None:
+        scored = conditioning.within_payload(scored, s.window_size, s.step_size, ingested_rows)
     stretches = delivery.stretch_batches(scored.select("window"), s.window_size, s.step_size, s.context_windows, rows, per_batch)
     done = delivery.completion(stretches, arrivals) if s.min_coverage == 1 else delivery.completion_partial(stretches, arrivals, s.min_coverage)
     if holes is not None:
         done = delivery.kept_windows(done, holes, s.window_size, s.step_size, s.context_windows, rows)
     live = scored.join(done, "window").withColumn("scored_at", F.col("complete_at"))
     spans = alerts.credited_spans(events, s.crediting)
-    return {
+    found = {
         "windows": live, "gaps": delivery.gap_events(scored, live), "latency": alerts.alert_latency(alerts.alert_runs(live, s.persistence), spans, s.window_size, s.step_size, epoch),
         "confirmations": alerts.confirmations(live, s.persistence, s.confirmation, s.window_size, s.step_size), "false_alarms": alerts.streamed_false_alarms(live, spans, s.window_size, s.step_size, s.sample_rate, s.persistence),
     }
+    if out:
+        records.write_csv(live, f"{out}/telemetry_windows")
+        records.write_csv(found["latency"], f"{out}/alert_latency")
+        records.write_json(f"{out}/snapshot.json", {"run": run, "settings": asdict(s), "rows": rows, "per_batch": per_batch, "false_alarms": found["false_alarms"].first().asDict()})
+    return found
+
+
+def label_truth_stream(strength: DataFrame, catalogue: DataFrame | None, s: Settings, rows: int, out: str, span: str = "fixed", before_s: float = 345_600.0, after_s: float = 1620.0, threshold: float = 3.0, merger: float = 8.0, separation_s: float = 86_400.0, ratio: float = 0.1, step: int = 10) -> dict:
+    """Labels of a signal-only record: strength(window, snr) of windows at `step`, catalogue(event, merger_time_s) or, without one,
+    mergers from peaks. Writes label runs, events and spans."""
+    if catalogue is None:
+        peaks = labels.snr_peaks(strength, merger, round(separation_s * s.sample_rate / step), ratio)
+        order = F.row_number().over(Window.orderBy("window")).cast("int")  # a row per merger
+        catalogue = peaks.select(order.alias("event"), (((F.col("window") - 1) * step + s.window_size / 2) / s.sample_rate).alias("merger_time_s"))
+    spans = labels.fixed_spans(catalogue, before_s, after_s, s.sample_rate, rows)
+    rows_of = windows.window_table(strength, s.window_size, step)
+    owned = touching(rows_of, spans).select("event", "window", "snr")
+    if span == "detectable":
+        spans = labels.detectable_spans(owned, threshold, s.window_size, step)
+    events = catalogue.join(spans.withColumnsRenamed({"start": "label_start_index", "end": "label_end_index"}), "event")
+    events = events.join(labels.signal_onsets(owned, spans, threshold, s.window_size, step).withColumnRenamed("onset", "signal_start_index"), "event", "left")
+    runs = labels.span_labels(spans)
+    paths = {k: f"{out}/{k}" for k in ("labels", "events", "spans")}
+    for name, table in (("labels", runs), ("events", events), ("spans", spans)):
+        records.write_csv(table, paths[name])
+    n = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("rows")).first()
+    return {"events": events, "n_label_runs": n["n"], "positive_fraction": n["rows"] / rows, "label_path": paths["labels"], "events_path": paths["events"], "spans_path": paths["spans"]}
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def _tables(spark: SparkSession, folder: str, **tables: list[dict]) -> None:
+    for name, rows in tables.items():
+        if rows:
+            whole = [k for k in rows[0] if all(isinstance(r[k], int) for r in rows)]
+            kinds = ", ".join(f"{k} {'long' if k in whole else 'double'}" for k in rows[0])
+            records.write_csv(spark.createDataFrame([tuple(r[k] if k in whole or r[k] is None else float(r[k]) for k in rows[0]) for r in rows], kinds), f"{folder}/{name}")

@@ -7,6 +7,7 @@ its mean, in steps of 1e-4 so that both engines meet the same thresholds.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -336,7 +337,61 @@ def score_circuit_1layer(spark, sf_dir):
     return _score(spark, sf_dir, CIRCUIT)
 
 
-@query()
+def state_sql(source: str, m, keep: str = "vec_id") -> tuple[str, str]:
+    """CTEs of the state vector of a circuit over source(x1, ...), one per gate, and the probability over the last one, z."""
+    n, size = m.features, 1 << m.features
+    params, ctes, last = models.circuit_params(m), [], source
+    order, step = list(range(size)), 0
+    re_, im = ["1.0::DOUBLE"] + ["0.0::DOUBLE"] * (size - 1), ["0.0::DOUBLE"] * size
+
+    def emit(re_new: list[str], im_new: list[str]) -> tuple[list[str], list[str]]:
+        nonlocal last, step
+        name = f"z{step}"
+        xs = ", ".join(f"x{k + 1}" for k in range(n))
+        ctes.append(f"{name} AS (SELECT {keep}, {xs}, " + ", ".join(f"{a} AS r{i}, {b} AS i{i}" for i, (a, b) in enumerate(zip(re_new, im_new, strict=True))) + f" FROM {last})")
+        last, step = name, step + 1
+        return [f"r{i}" for i in range(size)], [f"i{i}" for i in range(size)]
+
+    def turned(q: int, gate) -> None:
+        nonlocal re_, im
+        a, b = list(re_), list(im)
+        for i in range(size):
+            if not i >> q & 1:
+                j = i | 1 << q
+                (a[i], b[i]), (a[j], b[j]) = gate((re_[i], im[i]), (re_[j], im[j]))
+        re_, im = emit(a, b)
+
+    def phase(z: tuple[str, str], angle: str, sign: str) -> tuple[str, str]:
+        c, s = f"cos(({angle}) / 2)", f"({sign}sin(({angle}) / 2))"
+        return f"({z[0]}) * {c} - ({z[1]}) * {s}", f"({z[0]}) * {s} + ({z[1]}) * {c}"
+
+    for layer in range(m.size):
+        for q in range(n):
+            def spread(z0, z1, angle=f"x{q + 1}"):
+                plus, minus = tuple(f"({a} + {b}) * sqrt(0.5)" for a, b in zip(z0, z1, strict=True)), tuple(f"({a} - {b}) * sqrt(0.5)" for a, b in zip(z0, z1, strict=True))
+                return phase(plus, angle, "-"), phase(minus, angle, "")
+
+            turned(q, spread)
+        for q in range(n):
+            c, s, angle = _num(math.cos(params[layer, 0, q] / 2)), _num(math.sin(params[layer, 0, q] / 2)), _num(params[layer, 1, q])
+
+            def turn(z0, z1, c=c, s=s, angle=angle):
+                low, high = tuple(f"{c} * {a} - {s} * {b}" for a, b in zip(z0, z1, strict=True)), tuple(f"{s} * {a} + {c} * {b}" for a, b in zip(z0, z1, strict=True))
+                return phase(low, angle, "-"), phase(high, angle, "")
+
+            turned(q, turn)
+        order = list(range(size))
+        for q in range(n):
+            order = [order[i ^ (1 << (q + 1) % n) if i >> q & 1 else i] for i in range(size)]
+        re_, im = [re_[i] for i in order], [im[i] for i in order]
+    weight = [(n - 2 * bin(i).count("1")) / n for i in range(size)]
+    return ", ".join(ctes) + f", z AS (SELECT * FROM {last})", "(1 - (" + " + ".join(f"{_num(w)} * (pow({a}, 2) + pow({b}, 2))" for w, a, b in zip(weight, re_, im, strict=True)) + ")) / 2"
+
+
+DEEP_CTES, DEEP_P = state_sql("c", DEEP)
+
+
+@query(f"WITH {ENC}, {DEEP_CTES} SELECT vec_id, round({DEEP_P}, 6) AS probability FROM z")
 def score_circuit_deep(spark, sf_dir):
     return _score(spark, sf_dir, DEEP)
 
@@ -692,7 +747,10 @@ def signal_onsets(spark, sf_dir):
     return labels.signal_onsets(strength, spans, 1.5, SIZE, STEP)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, top AS (SELECT window AS w, snr AS s, row_number() OVER (ORDER BY window) AS k FROM (SELECT window, snr, lag(snr) OVER (ORDER BY window) AS b, lead(snr) OVER (ORDER BY window) AS a FROM scored)
+WHERE snr >= 2.0 AND snr > coalesce(b, -1e300) AND snr >= coalesce(a, -1e300)), st AS (SELECT k, w, s, 1 AS g FROM top WHERE k = 1 UNION ALL
+SELECT t.k, CASE WHEN t.w - st.w >= 12 OR st.s < t.s OR st.s < 0.5 * t.s THEN t.w ELSE st.w END, CASE WHEN t.w - st.w >= 12 OR st.s < t.s OR st.s < 0.5 * t.s THEN t.s ELSE st.s END, st.g + (t.w - st.w >= 12)::INT FROM st JOIN top t ON t.k = st.k + 1)
+SELECT arg_max(w, k) AS window, arg_max(s, k) AS snr FROM st GROUP BY g""")
 def snr_peaks(spark, sf_dir):
     return labels.snr_peaks(scored(spark, sf_dir).select("window", "snr"), 2.0, 12, 0.5)
 
@@ -790,20 +848,37 @@ def interpolated_psd(spark, sf_dir):
     return rounded(rounded(spectral.interpolated_psd(_welch(spark, sf_dir), at), "f"), "s", digits=3)
 
 
-@query()
+TRAILING = EV + """, smp AS (SELECT (row - 1) // 1000 AS run, row, value FROM ev WHERE row % 1000 <> 0), ends AS (SELECT run, min(row) AS a, max(row) AS b FROM smp GROUP BY 1),
+inn AS (SELECT run, row, value FROM smp JOIN ends USING (run) WHERE row >= a + 5 AND row <= b - 5), ks AS (SELECT k FROM range(1, 100000) t(k) WHERE k <= (SELECT max(row) FROM smp) // 200),
+del AS (SELECT k, run, row, value FROM ks JOIN inn ON row BETWEEN k * 200 - 600 AND k * 200 - 1), bnd AS (SELECT k, run, min(row) AS r0, count(*) AS n FROM del GROUP BY 1, 2),
+seg AS (SELECT k, run, r0, s FROM bnd, range(0, 100) t(s) WHERE s <= floor((n - 40) / 20.0)), tap AS (SELECT g.k, g.run, g.s, row - r0 - 20 * s AS j, value * (0.5 - 0.5 * cos(2 * pi() * (row - r0 - 20 * s) / 40)) AS x FROM seg g JOIN del d ON d.k = g.k AND d.run = g.run AND row - r0 BETWEEN 20 * s AND 20 * s + 39),
+dft AS (SELECT k, run, s, b.bin::INT AS bin, (pow(sum(x * cos(2 * pi() * b.bin * j / 40)), 2) + pow(sum(x * sin(2 * pi() * b.bin * j / 40)), 2)) / (40 * 0.375) AS p FROM tap, range(0, 21) b(bin) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {TRAILING} SELECT k * 200 AS psd_row, bin, round(bin / 40.0::DOUBLE, 6) AS f, round(quantile_cont(p, 0.5) * 2 / ln(2), 3) AS psd FROM dft GROUP BY k, bin")
 def trailing_welch(spark, sf_dir):
     rec = record(spark, sf_dir).where("row % 1000 <> 0").select(F.floor((F.col("row") - 1) / 1000).alias("run"), "row", "value")
-    return rounded(detector.trailing_welch(rec, 40, RATE, 600, 200, 5), "psd")
+    return rounded(rounded(detector.trailing_welch(rec, 40, RATE, 600, 200, 5), "psd", digits=3), "f")
 
 
-@query()
+SAMPLE_FEATURES = DFT + """, t AS (SELECT window, sum(p) AS t, count(*) AS n FROM dft GROUP BY 1), fe AS (SELECT window, -sum(CASE WHEN p > 0 THEN p / t * ln(p / t) ELSE 0 END) / ln(any_value(n)) AS x1, log10(any_value(t) / any_value(n)) AS x2, log10(stddev_samp(p)) AS x3, log10(max(p)) AS x4 FROM dft JOIN t USING (window) GROUP BY window),
+an AS (SELECT window, least(greatest(x1, 0), 1) * pi() AS x1, least(greatest(x2, 0), 6) / 6 * pi() AS x2, least(greatest(x3, 0), 6) / 6 * pi() AS x3, least(greatest(x4, 0), 6) / 6 * pi() AS x4 FROM fe)"""
+SAMPLE_CTES, SAMPLE_P = state_sql("an", DEEP, "window")
+
+
+@query(f"WITH {SAMPLE_FEATURES}, {SAMPLE_CTES} SELECT window, round({SAMPLE_P}, 6) AS probability FROM z")
 def score_samples(spark, sf_dir):
     rec = record(spark, sf_dir).select("row", "value")
     scale = scaler.FeatureScaler((0.0, 0.0, 0.0, 0.0), (1.0, 6.0, 6.0, 6.0))
     return rounded(detector.score_windows(windows.sliding(rec, SIZE, STEP, n_rows(rec)), detector.ClassifierScorer(DEEP, scale)), "probability")
 
 
-@query()
+WHITEN = EV + """, smp AS (SELECT (row - 1) // 1000 AS stretch, row, row - min(row) OVER (PARTITION BY (row - 1) // 1000) AS j, count(*) OVER (PARTITION BY (row - 1) // 1000) AS n, value FROM ev WHERE row % 1000 <> 0),
+fr AS (SELECT stretch, any_value(n) AS n, k, sum(value * cos(2 * pi() * k * j / n)) AS a, -sum(value * sin(2 * pi() * k * j / n)) AS b FROM smp, range(0, 501) t(k) WHERE k <= n // 2 GROUP BY stretch, k),
+gn AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE 1 / sqrt(1 + pow(0.01 / (k / n::DOUBLE), 8)) * sqrt(2 / (50 + 40 * k / n::DOUBLE)) * CASE WHEN 2 * k = n THEN 1 ELSE 2 END / n END AS g FROM fr)"""
+
+
+@query(f"WITH {WHITEN} SELECT s.stretch, s.row, round(sum(g * (a * cos(2 * pi() * k * j / s.n) - b * sin(2 * pi() * k * j / s.n))), 6) AS value FROM smp s JOIN gn ON gn.stretch = s.stretch GROUP BY s.stretch, s.row")
 def whiten_stretch(spark, sf_dir):
     rec = record(spark, sf_dir).where("row % 1000 <> 0").select(F.floor((F.col("row") - 1) / 1000).alias("stretch"), "row", "value")
     knots = [(k / 40, 50.0 + k) for k in range(21)]
@@ -811,8 +886,11 @@ def whiten_stretch(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from tidegauge import mission_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)

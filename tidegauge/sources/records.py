@@ -73,6 +73,19 @@ def served_columns(carried: set[str], mode: str, from_record: bool) -> set[str]
     return wanted
 
 
+def run_columns(payload: DataFrame) -> list[str]:
+    """Payload columns that a run carries, in order; batch, row and time are its keys."""
+    return [c for c in payload.columns if c not in ("batch", "row", "t", "sim_time")]
+
+
+def check_channels(model_metadata: dict, table_metadata: dict) -> str:
+    """The channel mode of a model, which the features it scores must share; what records none is of mode A."""
+    trained, scored = model_metadata.get("channels", "A"), table_metadata.get("channels", "A")
+    if trained != scored:
+        raise ValueError(f"the model was trained on channels {trained}; the table holds those of {scored}")
+    return trained
+
+
 def load_data(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features and labels joined on the window index; snr is 0 where the labels have none."""
     labels = labels if "snr" in labels.columns else labels.withColumn("snr", F.lit(0.0))

@@ -2,14 +2,14 @@
 
 Windows are keyed by groups of neighbours, so state spreads over the cluster; a group keeps the arrival of
 each batch its stretches need and emits a window once, at the arrival that completes it. There is no
-watermark: windows that are never delivered stay open, as in the batch plan, unless order_horizon closes them.
+watermark: windows that are never delivered stay open, as in the batch plan.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,16 +25,10 @@ def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int
         first, last = max(1, (w - 1) * step + 1 - context * size), min(rows, (w - 1) * step + size + context * size)
         return (first - 1) // per_batch + 1, (last - 1) // per_batch + 1
 
-    def groups(first: pd.Series) -> pd.Series:
-        out = []
-        for b in first:
-            low_row, high_row = (b - 1) * per_batch + 1, b * per_batch
-            low = max(1, -(-(low_row - size - context * size) // step) + 1)
-            high = min(count, (high_row + context * size - 1) // step + 1)
-            out.append(list(range((low - 1) // group, (high - 1) // group + 1)) if low <= high else [])
-        return pd.Series(out)
-
-    dealt = arrivals.withColumn("g", F.explode(F.pandas_udf(groups, "array<long>")("batch")))
+    low = F.greatest(F.ceil(((F.col("batch") - 1) * per_batch + 1 - size - context * size) / F.lit(step)) + 1, F.lit(1))
+    high = F.least(F.floor((F.col("batch") * per_batch + context * size - 1) / F.lit(step)) + 1, F.lit(count))
+    cell = lambda c: F.floor((c - 1) / F.lit(group)).cast("long")
+    dealt = arrivals.withColumn("g", F.explode(F.when(low <= high, F.sequence(cell(low), cell(high))).otherwise(F.array().cast("array<bigint>"))))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, done = ({}, set()) if not state.exists else (dict(zip(state.get[0], state.get[1], strict=True)), set(state.get[2]))
@@ -56,10 +50,27 @@ def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int
 
 def folder_for(spark) -> str:
     """A folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def each_window(scored: DataFrame, callback: Callable[[DataFrame, dict], None], checkpoint: str, every: int = 100, log: Callable[[str], None] = print):
+    """Starts a stream of scored(window, decision, ...) that hands every micro-batch to callback with the counts so far, and
+    logs them each `every` windows."""
+    counts = {"windows": 0, "alarms": 0}
+
+    def take(batch: DataFrame, _: int) -> None:
+        got = batch.agg(F.count("*").alias("n"), F.coalesce(F.sum("decision"), F.lit(0)).alias("a")).first()
+        before = counts["windows"]
+        counts["windows"] += got["n"]
+        counts["alarms"] += got["a"]
+        callback(batch, dict(counts))
+        if counts["windows"] // every > before // every:
+            log(f"{counts['windows']} windows scored, {counts['alarms']} alarms")
+
+    return scored.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def follow_once(arrivals: DataFrame, **geometry) -> DataFrame:
     """Streams a finished feed through follow() and returns what it emitted, as a table."""
     spark = arrivals.sparkSession
