@@ -104,9 +104,38 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT k, md5(CASE WHEN len(w) >= 4 THEN array_to_string(w[i:i + 3], ' ') ELSE array_to_string(w, ' ') END) AS g
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM w)
+), n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+met AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM met JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT k AS a, k AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.k = w.k JOIN (SELECT r.a, min(d.doc_id) AS c FROM r JOIN w d ON d.k = r.b GROUP BY r.a) c ON c.a = w.k
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+piece AS (SELECT k, a, substr(x, 2 * a + 1, 2 * 1223) AS p, length(x) // 2 AS n FROM (SELECT k, x, unnest(range(0, length(x) // 2, 1024)) AS a FROM d)),
+place AS (SELECT k, a + i AS s, md5(substr(p, 2 * i + 1, 400)) AS h FROM (SELECT k, a, p, unnest(range(0, greatest(least(1024, n - 199 - a), 0))) AS i FROM piece)),
+hit AS (SELECT k, s FROM place WHERE h IN (SELECT h FROM place GROUP BY h HAVING count(*) > 1)),
+new AS (SELECT k, s, (s > lag(s) OVER w + 200)::INT AS new FROM hit WINDOW w AS (PARTITION BY k ORDER BY s)),
+run AS (SELECT k, g, min(s) AS s, max(s) + 200 AS e FROM (SELECT k, s, sum(coalesce(new, 0)) OVER (PARTITION BY k ORDER BY s) AS g FROM new) GROUP BY 1, 2),
+gap AS (SELECT d.k, string_agg(substr(d.x, 2 * r.f + 1, 2 * (r.t - r.f)), '' ORDER BY r.f) AS kept FROM d JOIN (
+  SELECT k, coalesce(lag(e) OVER w, 0) AS f, s AS t FROM run WINDOW w AS (PARTITION BY k ORDER BY s) UNION ALL SELECT run.k, max(e), length(any_value(d.x)) // 2 FROM run JOIN d USING (k) GROUP BY run.k
+) r ON r.k = d.k GROUP BY d.k)
+SELECT d.doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(gap.kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN gap ON gap.k = d.k LEFT JOIN (SELECT k, sum(e - s) AS removed, count(*) AS spans FROM run GROUP BY k) t ON t.k = d.k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hyperplane_near_dedup": OP1_SQL, "op9_va_file_topk": OP9_SQL, "op7_prefix_target_chat": OP7_SQL}
+    return {"op1_hyperplane_near_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_suffix_array_dedup": OP10_SQL, "op9_va_file_topk": OP9_SQL, "op7_prefix_target_chat": OP7_SQL}
