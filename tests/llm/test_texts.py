@@ -276,7 +276,7 @@ def test_repeats(spark, length, gram, hot):
     docs = [(k, "".join(rng.choice(base) for _ in range(rng.randrange(0, 8)))) for k in range(40)]
     docs += [(100, None), (101, ""), (102, "a" * 500), (103, "a" * 490), (None, docs[3][1]), (5, docs[5][1]), (5, "zz" + docs[5][1]), (104, "ab" * 300)]
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, runs int").repartition(3)
-    got = suffix.removed(suffix.repeats(df, length, gram, hot)).collect()
+    got = suffix.removed(df, length=length, gram=gram, hot=hot).collect()
     assert sorted((-1 if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in got) == brute_repeats(docs, length)
 
 
@@ -291,7 +291,7 @@ def test_same_anchors_in_any_batch():
 
 def test_repeats_empty_and_carried(spark):
     df = spark.createDataFrame([(1, "x" * 300, 5, "k"), (2, None, 6, "k")], "doc_id long, text string, n_chars long, v string")
-    assert suffix.removed(suffix.repeats(df.limit(0))).count() == 0
+    assert suffix.removed(df.limit(0)).count() == 0 and suffix.repeats(df).columns == ["doc_id", "text", "runs"]
     assert sorted(map(tuple, suffix.without_repeats(df).collect())) == [(1, "", 0, "k"), (2, "", 0, "k")]
 
 

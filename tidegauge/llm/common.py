@@ -64,7 +64,9 @@ def free_shuffles(spark: SparkSession) -> None:
 
 #: What this process keeps from one task to the next: the tables of one operator at most.
 _KEPT: dict[Hashable, Any] = {}
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_TRIM, _OPTION = (getattr(ctypes.CDLL(None), name, None) for name in ("malloc_trim", "mallopt"))
+if _OPTION:
+    _OPTION(-3, 4 << 20)  # arrays above 4 MB are mapped by themselves, so that the system has them back when they are freed
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:

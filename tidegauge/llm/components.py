@@ -10,7 +10,7 @@ Cases: null ends are dropped, self-links and repeated links are harmless, no lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +50,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size > 2_000_000:  # bounded memory: a longer partition leaves more than one star
             u, v = star()
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
             held, size = [], 0
     if held:
         u, v = star()
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links(a long, b long) -> node, component (the least node reachable), for nodes with a link to another."""
+def starred(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives the stars of the links that run gives, in the same Python worker."""
+    return lambda batches: _stars(run(batches))
+
+
+def components(links: DataFrame, rounds: int = 60, stars: bool = True) -> DataFrame:
+    """links(a long, b long) -> node, component (the least node reachable), for nodes with a link to another. stars: whether
+    links are yet to be replaced by those of spanning stars; otherwise starred() did so."""
     clean = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = written(clean.mapInArrow(lean(_stars), "u long, v long").distinct(), "stars")
+    now = written((clean.mapInArrow(lean(_stars), "a long, b long").toDF("u", "v") if stars else clean).distinct(), "stars")
     before, rounds = None, rounds if now.limit(1).count() else 0
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import dropped, lean, slices, written
-from tidegauge.llm.components import components
+from tidegauge.llm.components import components, starred
 
 _RANDOM = np.random.default_rng(20250310)
 _BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -333,7 +333,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
         if out:
             yield _pairs(out)
 
-    clusters = written(components(dealt.mapInArrow(lean(candidates), "a long, b long")), "clusters")
+    clusters = written(components(dealt.mapInArrow(lean(starred(candidates)), "a long, b long"), stars=False), "clusters")
     dropped(kept, live)
     members = clusters.withColumnRenamed("node", "mark").join(sets.select("mark", F.col("doc_id").alias("_id"), "n"), "mark")
     sizes = written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sizes")
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             if out:
                 yield _pairs(out)
 
-    found = written(components(shipped.mapInArrow(lean(verify), "a long, b long")), "classes")
+    found = written(components(shipped.mapInArrow(lean(starred(verify)), "a long, b long"), stars=False), "classes")
     dropped(clusters, sizes)
     labelled = sets.select("mark", "doc_id").join(found, F.col("mark") == F.col("node"), "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("label"))
     named = written(labelled.groupBy("label").agg(F.min("doc_id").alias("least")), "named")  # tables by themselves: a hot label or set can then be split

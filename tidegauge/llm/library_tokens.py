@@ -12,6 +12,8 @@ from tidegauge.llm.common import kept
 
 #: The splitting pattern that word_bpe_49k.json states.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks that a worker keeps; a full cache takes some 400 MB.
+ENTRIES = 1_200_000
 _PLAIN = regex.compile(r"[\x00-ɏ]*")
 _ENDS = frozenset(".,!?;:")
 
@@ -34,7 +36,7 @@ class LibraryEncoder:
     holds one is cut there, and what lies between is encoded as texts of their own.
     """
 
-    def __init__(self, path: str, kind: str, pattern: str, entries: int = 1_200_000):
+    def __init__(self, path: str, kind: str, pattern: str, entries: int = ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,9 +94,9 @@ class LibraryEncoder:
         return out
 
 
-def encoder(path: str, kind: str, pattern: str) -> LibraryEncoder:
+def encoder(path: str, kind: str, pattern: str, entries: int = ENTRIES) -> LibraryEncoder:
     """One for each worker process, as long as tasks with this vocabulary follow one another."""
-    return kept(encoder_key(path), lambda: LibraryEncoder(path, kind, pattern))
+    return kept(encoder_key(path), lambda: LibraryEncoder(path, kind, pattern, entries))
 
 
 def encoder_key(path: str) -> tuple[str, str]:

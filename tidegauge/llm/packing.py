@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import lean, slices, written
-from tidegauge.llm.library_tokens import encoder, encoder_key
+from tidegauge.llm.library_tokens import ENTRIES, encoder, encoder_key
 
 
-def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's pieces; only the first may be short of a cut document."""
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024, entries: int = ENTRIES) -> DataFrame:
+    """entries bounds the encoder's cache in a worker, not the result. doc_id, piece, start, length, ids_crc32 of each document's pieces; only the first may be short of a cut document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, "byte", pattern).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer, "byte", pattern, entries).encode, end_id.to_bytes(4, "little")
         for batch in slices(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -166,6 +166,6 @@ def pack(table: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2, capacity: int = 1024, entries: int = ENTRIES) -> DataFrame:
     """Pieces of every document with their sequence and place."""
-    return pack(written(pieces(docs, tokenizer, pattern, end_id, capacity), "pieces"), capacity)
+    return pack(written(pieces(docs, tokenizer, pattern, end_id, capacity, entries), "pieces"), capacity)

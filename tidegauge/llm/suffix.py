@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,9 +240,13 @@ def reaches(lefts: list[bytes], rights: list[bytes], length: int, gram: int) ->
     return best
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
+Finish = Callable[[list[str], list[list[dict]]], dict[str, pa.Array]]
+
+
+def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_000, carry: tuple[str, ...] = (), finish: tuple[str, Finish] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, runs array<struct<start, end>> (maximal repeated runs in bytes of the UTF-8
-    text) and the columns in carry."""
+    text) and the columns in carry. finish, a schema and a function of texts and runs, gives other columns in the place
+    of text and runs, in the same pass: a second one would take another Python worker for each task."""
     others = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     all_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
     texts = all_texts.select("doc_id", "text")
@@ -309,8 +313,8 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches, "text"):
-            out = []
-            for text, items in zip(batch.column("text").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            out, texts = [], batch.column("text").to_pylist()
+            for text, items in zip(texts, batch.column("r").to_pylist(), strict=True):
                 merged: list[dict] = []
                 size = len(text.encode()) if items else 0
                 for x in items or ():
@@ -319,13 +323,15 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 50_00
                     else:
                         merged.append({"start": x["start"], "end": min(x["end"], size)})
                 out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(batch.column(f"_{i}") for i in range(len(carry))), pa.array(out, kind)], [*names, "runs"])
+            made = make(texts, out) if finish else {"text": batch.column("text"), "runs": pa.array(out, kind)}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"_{i}") for i in range(len(carry))), *made.values()], ["doc_id", *(f"_{i}" for i in range(len(carry))), *made])
 
-    names = ["doc_id", "text", *(f"_{i}" for i in range(len(carry)))]
-    joined = _join(all_texts.withColumn("v", version), runs, "left").select(*names, "r")
-    runs_kind = T.StructField("runs", T._parse_datatype_string("array<struct<start:int,end:int>>"))
-    merged = joined.mapInArrow(lean(merge), T.StructType([*all_texts.schema.fields, runs_kind]))
-    return merged.select("doc_id", "text", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "runs")
+    schema, make = finish or ("text string, runs array<struct<start:int,end:int>>", None)
+    names = ["doc_id", *(f"_{i}" for i in range(len(carry)))]
+    joined = _join(all_texts.withColumn("v", version), runs, "left").select(*names, "text", "r")
+    made = T._parse_datatype_string(schema)
+    merged = joined.mapInArrow(lean(merge), T.StructType([*all_texts.select(*names).schema.fields, *made.fields]))
+    return merged.select("doc_id", *(f.name for f in made.fields), *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def _join(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -372,17 +378,14 @@ def _split(rows: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated strings cut out of text; a character that loses a byte goes as a whole. n_chars, if there, follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cuts = repeats(docs, carry=others, **options)
-    names = cuts.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = [_kept(t.encode(), r).decode("utf-8", "ignore") if r else t for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+    def finish(texts: list[str], runs: list[list[dict]]) -> dict[str, pa.Array]:
+        return {"_text": pa.array([_kept(t.encode(), r).decode("utf-8", "ignore") if r else t for t, r in zip(texts, runs, strict=True)], pa.string())}
 
-    out = cuts.mapInArrow(lean(run), T.StructType(cuts.schema.fields[:-1])).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cuts = repeats(docs, carry=tuple(names), finish=("_text string", finish), **options)
+    cuts = cuts.toDF("doc_id", "text", *names).select(*docs.columns)
+    return cuts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cuts
 
 
 def _kept(data: bytes, runs: list[dict]) -> bytes:
@@ -390,19 +393,12 @@ def _kept(data: bytes, runs: list[dict]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def removed(found: DataFrame) -> DataFrame:
-    """repeats() -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def removed(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sizes, gone, spans, kept = [], [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                data = text.encode()
-                sizes.append(len(data))
-                spans.append(len(runs))
-                gone.append(sum(r["end"] - r["start"] for r in runs))
-                kept.append(_kept(data, runs))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    key = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(lean(run), f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept binary")
+    def finish(texts: list[str], runs: list[list[dict]]) -> dict[str, pa.Array]:
+        data = [t.encode() for t in texts]
+        counts = {"n_bytes": map(len, data), "n_removed": (sum(x["end"] - x["start"] for x in r) for r in runs), "n_spans": map(len, runs)}
+        return {k: pa.array(list(v), pa.int64()) for k, v in counts.items()} | {"kept": pa.array([_kept(d, r) for d, r in zip(data, runs, strict=True)], pa.binary())}
+
+    return repeats(docs, finish=("n_bytes long, n_removed long, n_spans long, kept binary", finish), **options)
