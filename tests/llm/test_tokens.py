@@ -39,6 +39,15 @@ def test_library_encoder(texts, file, kind):
     assert [own.encode([t])[0] for t in plain[:60]] == wanted[:60]
 
 
+def test_word_ids_of_mixed_signs():
+    """Letters, signs and white space in any order, as the library's plain call gives them."""
+    parts, draw = ["a", "B", "É", "İ", "Σ", "œ", "ß", "ª", "日", "e\u0301", "1", "²", "_", '"', "\x1c", "\x85", "\xa0", " ", "\n", "\n\n", "\r\n", "\t", ".", ". ", ", ", "! ", "?! ", "...  ", ": ", "'s", "'S ", "<|endoftext|>"], random.Random(5)
+    mixed = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(20_000)]
+    path = P.path("word_bpe_49k.json")
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(mixed, add_special_tokens=False)]
+    assert LibraryEncoder(path, "word", "").encode(mixed) == want
+
+
 def test_rank_queue(texts):
     own = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})

@@ -16,6 +16,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENTRIES = 1_200_000
 _PLAIN = regex.compile(r"[\x00-ɏ]*")
 _ENDS = frozenset(".,!?;:")
+_LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+#: Letters that stay letters in lower case; that of U+0130 ends with a mark, which runs on into a sign behind it.
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
 
 
 def _visible() -> dict[int, str]:
@@ -25,6 +28,25 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _simpler(text: str) -> str:
+    """A text with the same ids under the word vocabulary, which lower-cases and drops white space, but with fewer distinct
+    chunks: Latin-1 text in lower case, lines parted by spaces, and a sign between a letter and a space set apart."""
+    try:
+        text = text.encode("latin-1").translate(_LOWER).decode("latin-1")
+    except UnicodeEncodeError:
+        pass  # the chunks of other texts are lower-cased one by one
+    if "\n" in text:
+        text = text.replace("\n\n", " ").replace("\n", " ")
+    for sign in _ENDS:
+        if len(parts := text.split(sign + " ")) > 1:
+            apart = f" {sign} "
+            if all([p[-1:] in _LETTERS for p in parts[:-1]]):
+                text = apart.join(parts)
+            else:
+                text = "".join([p + (apart if p[-1:] in _LETTERS else sign + " ") for p in parts[:-1]]) + parts[-1]
+    return text
+
+
 class LibraryEncoder:
     """encode(texts) -> per text the little-endian unsigned 32-bit ids as bytes, as the library's
     encode(text, add_special_tokens=False) gives them.
@@ -79,17 +101,20 @@ class LibraryEncoder:
     def _many(self, chunks: list[str]) -> list[bytes]:
         return list(map(self._chunk, chunks))
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(v) for v in self.cache.encode(list(map(_simpler, texts)) if self.lower else texts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         marked = [k for k, t in enumerate(texts) if any(c in t for c in self.added)]
         if not marked:
-            return [b"".join(v) for v in self.cache.encode(texts)]
+            return self._plain(texts)
         plain = list(texts)
         for k in marked:
             plain[k] = ""
-        out = [b"".join(v) for v in self.cache.encode(plain)]
+        out = self._plain(plain)
         for k in marked:
             parts, found = self.cuts.split(texts[k]), self.cuts.findall(texts[k])
-            ids = [b"".join(v) for v in self.cache.encode(parts)]
+            ids = self._plain(parts)
             out[k] = b"".join(x for a, m in zip(ids, [*found, ""], strict=True) for x in (a, self.added.get(m, b"")))
         return out
 
