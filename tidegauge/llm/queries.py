@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, html, jaccard, langid, nearvec, packing, suffix, token_files, topk
+from tidegauge.llm import bpe, chat, fim, html, jaccard, langid, nearvec, packing, suffix, token_files, topk, vector_codes
 from tidegauge.llm.common import table
 
 
@@ -133,9 +133,65 @@ FROM d LEFT JOIN gap ON gap.k = d.k LEFT JOIN (SELECT k, sum(e - s) AS removed,
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(table(spark, sf_dir, "documents"), seed=42)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors, parts=8, entries=16, rounds=6, factor=4096)
+    coded = vector_codes.with_label_errors(vector_codes.encode(vectors, books, factor=4096))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One pair of expressions a round: parts with their nearest entries, then the entries' new means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rn, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d
+  FROM (SELECT p.rn, p.part, c.entry, (list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y))::HUGEINT AS d FROM p JOIN c{r} c USING (part)) GROUP BY rn, part
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT part, entry, list(m ORDER BY i) AS y FROM (
+    SELECT part, entry, i, floor(sum(x[i])::DOUBLE / count(*)) AS m FROM a{r} JOIN p USING (rn, part), range(1, len(x) + 1) t(i) GROUP BY part, entry, i
+  ) GROUP BY part, entry
+), c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT rn, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) t(part)),
+c0 AS (SELECT part, rn - 1 AS entry, x AS y FROM p WHERE rn <= {entries}), {", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda z: z::BIGINT), ','), ',' ORDER BY part, entry)) AS h FROM c{rounds}),
+r AS (SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN r USING (rn), h
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hyperplane_near_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_suffix_array_dedup": OP10_SQL, "op9_va_file_topk": OP9_SQL, "op7_prefix_target_chat": OP7_SQL}
+    return {"op1_hyperplane_near_dedup": OP1_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op10_suffix_array_dedup": OP10_SQL, "op9_va_file_topk": OP9_SQL, "op7_prefix_target_chat": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_annular_vector_codes": _op13_sql()}
