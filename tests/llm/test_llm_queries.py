@@ -13,10 +13,9 @@ from tidegauge.llm import queries
 TABLES = ("documents", "embeddings", "pages", "conversations")
 
 
-def rows(frame):
-    names = sorted(frame.columns)
-    plain = frame[names].astype(object).where(frame[names].notna(), None)
-    return names, sorted(tuple(map(str, r)) for r in plain.itertuples(index=False))
+def rows(names, found):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(names), sorted(tuple(str(r[k]) for k in order) for r in found)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -24,7 +23,8 @@ def test_against_sql(name, spark, data):
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    assert rows(queries.queries()[name](spark, data).toPandas()) == rows(c.execute(queries.oracle_sql()[name]).df())
+    got, wanted = queries.queries()[name](spark, data), c.execute(queries.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows([x[0] for x in wanted.description], wanted.fetchall())
 
 
 def test_token_queries(spark, data):

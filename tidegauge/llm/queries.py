@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import bpe, chat, fim, html, jaccard, langid, nearvec, packing, suffix, token_files, topk, vector_codes
+from tidegauge.llm import bpe, chat, fim, html, jaccard, langid, nearvec, packing, quality, suffix, token_files, topk, vector_codes
 from tidegauge.llm.common import table
 
 
@@ -156,6 +156,11 @@ FROM p
 """
 
 
+def op12_isolation_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bucket")
+
+
 def op13_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     books = vector_codes.fit(vectors, parts=8, entries=16, rounds=6, factor=4096)

@@ -129,7 +129,7 @@ def parts_of(found: Vectors, books: list[Codebook], cuts: list[int]) -> Iterator
         x, wide = found.small[:, a:b], [v[a:b] for v in found.wide]
         if not book.small:
             wide, x = x.tolist() + wide, x[:0]
-        entry, square = book.assign(x)
+        entry, square = book.assign(x) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         others = [book.nearest(v) for v in wide]
         yield x, wide, entry.tolist() + [k for _, k in others], square.tolist() + [s for s, _ in others]
 
