@@ -886,7 +886,7 @@ def whiten_stretch(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from tidegauge import mission_queries  # noqa: F401  registers its own
+    from tidegauge import mission_queries, replay_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
