@@ -36,23 +36,28 @@ def contiguous_clips(windows: DataFrame, covered: DataFrame, size: int, step: in
 
 
 def condition_windows(record: DataFrame, clips: DataFrame, size: int, step: int, rate: float, knots: list[tuple[float, float]] | None, cutoff: float = 0.0, order: int = 8, bin_rows: int = 1000) -> DataFrame:
-    """record(row, value) or (row, channel, value), clips(window, first, last) -> window[, channel], x: the stretch is
-    conditioned as a whole and the window cut from it. A window is the unit: its stretch holds a few window lengths."""
-    key = ["window", "channel"] if "channel" in record.columns else ["window"]
+    """record(row, value) or (row, channel, value), clips(window, first, last[, f, s]) -> window[, channel], x: the stretch is
+    conditioned as a whole and the window cut from it, by the knots given or by a window's own (arrays f and s, null for
+    the given). A window is the unit: its stretch holds a few window lengths."""
+    own_density = "f" in clips.columns
+    key = ["window", *(["channel"] if "channel" in record.columns else [])]
     cell = lambda c: F.floor((F.col(c) - 1) / F.lit(bin_rows)).cast("long")
-    dealt = clips.withColumn("_bin", F.explode(F.sequence(cell("first"), cell("last"))))
+    dealt = clips.select("window", "first", "last").withColumn("_bin", F.explode(F.sequence(cell("first"), cell("last"))))
     rows = record.withColumn("_bin", cell("row")).join(dealt, "_bin").where("row BETWEEN first AND last")
     whole = rows.groupBy(*key, "first").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("r"))
+    if own_density:
+        whole = whole.join(clips.select("window", "f", "s"), "window")
     f, s = (np.array(x) for x in zip(*knots, strict=True)) if knots else (None, None)
 
     @F.pandas_udf("array<double>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, at in batches:
-            done = (spectral.condition(np.asarray(x, float), rate, s, f, cutoff, order) for x in xs)
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for xs, at, *own in batches:
+            each = zip(*own, strict=True) if own else ((None, None) for _ in xs)
+            done = (spectral.condition(np.asarray(x, float), rate, *((s, f) if of is None else (np.asarray(os, float), np.asarray(of, float))), cutoff, order) for x, (of, os) in zip(xs, each, strict=True))
             yield pd.Series([x[a : a + size] for x, a in zip(done, at, strict=True)], dtype=object)
 
     at = (F.col("window") - 1) * step + 1 - F.col("first")
-    return whole.select(*key, cut(F.transform("r", lambda x: x["value"]), at.cast("long")).alias("x"))
+    return whole.select(*key, cut(F.transform("r", lambda x: x["value"]), at.cast("long"), *(["f", "s"] if own_density else [])).alias("x"))
 
 
 def window_strength(record: DataFrame, size: int, step: int, rows: int) -> DataFrame:

@@ -44,6 +44,32 @@ def batch_parts(holes: DataFrame, batches: DataFrame, per_batch: int) -> DataFra
     return spans.select("batch", "lo", "hi", over.alias("h")).select("batch", "lo", "hi", F.col("h.declared_at").alias("gone_at"), F.col("h.cause").alias("cause"))
 
 
+def deliveries(windows: DataFrame, arrivals: DataFrame, holes: DataFrame, size: int, step: int, context: int, rows: int, per_batch: int) -> DataFrame:
+    """The parts of each window's stretch: window, batch, lo, hi, arrived_at, gone_at, cause, w and o (rows of the stretch and of the
+    window itself in the part), all (rows of the stretch)."""
+    stretches = stretch_batches(windows, size, step, context, rows, per_batch).select("window", "batch")
+    came = arrivals.groupBy("batch").agg(F.min("arrived_at").alias("arrived_at"))
+    parts = batch_parts(holes, stretches, per_batch)
+    own_first, own_last = (F.col("window") - 1) * step + 1, (F.col("window") - 1) * step + size
+    first, last = F.greatest(own_first - context * size, F.lit(1)), F.least(own_last + context * size, F.lit(rows))
+    within = lambda a, b: F.greatest(F.least("hi", b) - F.greatest("lo", a) + 1, F.lit(0))
+    met = stretches.join(parts, "batch").join(came, "batch", "left")
+    return met.select("window", "batch", F.greatest("lo", first).alias("lo"), F.least("hi", last).alias("hi"), "arrived_at", "gone_at", "cause", within(first, last).alias("w"), within(own_first, own_last).alias("o"), (last - first + 1).alias("all")).where("w > 0")
+
+
+def clips(settled: DataFrame, parts: DataFrame, size: int, step: int) -> DataFrame:
+    """settle()'s complete windows and their deliveries() -> window, first, last: the contiguous rows around the window that were
+    there at its completion; they condition it."""
+    done = settled.where("complete_at IS NOT NULL").select("window", "complete_at", "completing_batch")
+    there = (F.col("arrived_at") < F.col("complete_at")) | ((F.col("arrived_at") == F.col("complete_at")) & (F.col("batch") <= F.col("completing_batch")))
+    held = parts.join(done, "window").where(there & (F.col("gone_at").isNull() | (F.col("gone_at") > F.col("complete_at"))))
+    order = Window.partitionBy("window").orderBy("lo")  # the parts of one stretch
+    marked = held.select("window", "lo", "hi", F.coalesce((F.col("lo") > F.lag("hi").over(order) + 1).cast("int"), F.lit(0)).alias("new"))
+    runs = marked.withColumn("k", F.sum("new").over(order)).groupBy("window", "k").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    own = (F.col("first") <= (F.col("window") - 1) * step + 1) & (F.col("last") >= (F.col("window") - 1) * step + size)
+    return runs.where(own).select("window", "first", "last")
+
+
 def settle(windows: DataFrame, arrivals: DataFrame, holes: DataFrame, size: int, step: int, context: int, rows: int, per_batch: int, min_coverage: float = 1.0) -> DataFrame:
     """windows(window), arrivals(batch, arrived_at), holes as in batch_parts() -> window, complete_at, completing_batch, coverage
     (of the stretch, at that instant), dead_at, cause.
@@ -51,14 +77,7 @@ def settle(windows: DataFrame, arrivals: DataFrame, holes: DataFrame, size: int,
     complete_at is the first arrival after which the window's own rows are all there and ceil(min_coverage * rows) of its
     stretch, dead_at the declaration after which that can't come about any more, with the cause of its hole. A window
     has one of them or, if it still waits, neither."""
-    stretches = stretch_batches(windows, size, step, context, rows, per_batch).select("window", "batch")
-    came = arrivals.groupBy("batch").agg(F.min("arrived_at").alias("arrived_at"))
-    parts = batch_parts(holes, stretches, per_batch)
-    own_first, own_last = (F.col("window") - 1) * step + 1, (F.col("window") - 1) * step + size
-    first, last = F.greatest(own_first - context * size, F.lit(1)), F.least(own_last + context * size, F.lit(rows))
-    within = lambda a, b: F.greatest(F.least("hi", b) - F.greatest("lo", a) + 1, F.lit(0))
-    met = stretches.join(parts, "batch").join(came, "batch", "left").select("window", "batch", "arrived_at", "gone_at", "cause", within(first, last).alias("w"), within(own_first, own_last).alias("o"), (last - first + 1).alias("all"))
-    met = met.where("w > 0")
+    met = deliveries(windows, arrivals, holes, size, step, context, rows, per_batch)
     lives = F.col("arrived_at").isNotNull() & (F.col("gone_at").isNull() | (F.col("arrived_at") < F.col("gone_at")))
     up = F.when(lives, F.struct(F.col("arrived_at").alias("at"), F.lit(1).alias("kind"), F.col("batch").alias("b"), F.col("w").alias("w"), F.col("o").alias("o"), F.lit(0).cast("long").alias("ew"), F.lit(0).cast("long").alias("eo"), F.lit(None).cast("string").alias("cause")))
     lost = lambda c: F.when(lives, -F.col(c)).otherwise(F.lit(0).cast("long"))

@@ -51,16 +51,26 @@ class Settings:
     tail_candidates: int = 200
     most_memory_gib: float = 16.0
     warn_memory_gib: float = 8.0
+    gap_dilation_s: float = 0.0
+    processing_hours: float = 0.0
+    psd_mode: str = "sidecar"
+    psd_trailing_days: float = 30.0
+    psd_refresh_days: float = 1.0
+    psd_segment: int = 65_536
+    psd_edge_periods: float = 3.0
+    order_horizon_s: float = math.inf
+    late_policy: str = "skip"
 
     def __post_init__(self):
         one_of = {
             "kind": ("circuit", "logistic", "perceptron", "harmonic"), "class_weight": ("auto", "none"), "criterion": ("far", "fpr", "youden"), "threshold_block": ("validation", "held_out"),
-            "scaler_rule": ("match", "refit", "keep"), "crediting": ("signal", "label"), "channels": ("A", "AE"),
+            "scaler_rule": ("match", "refit", "keep"), "crediting": ("signal", "label"), "channels": ("A", "AE"), "psd_mode": ("sidecar", "trailing"), "late_policy": ("skip", "refuse"),
         }
         within = {
             "qubits": (2, 24), "layers": (1, 64), "hidden": (0, 4096), "epochs": (1, 10**6), "batch": (1, 10**6), "patience": (1, 10**6), "train_fraction": (1e-9, 1 - 1e-9),
             "validation_fraction": (1e-9, 1 - 1e-9), "window_size": (2, 10**9), "step_size": (1, self.window_size), "sample_rate": (1e-12, 1e12), "span": (1e-9, 2 * math.pi),
             "calibration_fraction": (1e-9, 1 - 1e-9), "min_coverage": (1e-9, 1.0), "context_windows": (0, 10**6), "persistence": (1, 10**6), "target_far_per_30d": (0, 1e9), "target_fpr": (0, 1),
+            "gap_dilation_s": (0, 1e12), "processing_hours": (0, 1e6), "psd_trailing_days": (1e-9, 1e9), "psd_refresh_days": (1e-9, 1e9), "psd_segment": (2, 10**9), "psd_edge_periods": (0, 1e9), "order_horizon_s": (0, math.inf),
         }
         for name, allowed in one_of.items():
             if getattr(self, name) not in allowed:
@@ -92,7 +102,11 @@ KEYS = {
     "calibration": {"block_fraction": "calibration_fraction", "scaler": "scaler_rule", "tail_candidates": "tail_candidates"},
     "tdi": {"channels": "channels"},
     "resources": {"max_memory_gib": "most_memory_gib", "warn_memory_gib": "warn_memory_gib"},
-    "telemetry": {"min_coverage": "min_coverage", "context_windows": "context_windows", "alert_persistence": "persistence", "alert_confirmation": "confirmation", "alert_crediting": "crediting"},
+    "telemetry": {
+        "min_coverage": "min_coverage", "context_windows": "context_windows", "alert_persistence": "persistence", "alert_confirmation": "confirmation", "alert_confirmation_persistence": "confirmation", "alert_crediting": "crediting",
+        "tdi_gap_dilation_sec": "gap_dilation_s", "processing_latency_hours": "processing_hours", "psd_mode": "psd_mode", "psd_trailing_days": "psd_trailing_days", "psd_refresh_days": "psd_refresh_days",
+        "psd_segment_length": "psd_segment", "psd_edge_periods": "psd_edge_periods", "order_horizon_sec": "order_horizon_s", "late_policy": "late_policy",
+    },
 }
 
 

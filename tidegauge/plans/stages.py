@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, replace
@@ -12,7 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators import alerts, conditioning, delivery, evaluate, labels, models, scaler, train, windows
+from tidegauge.operators import alerts, conditioning, delivery, evaluate, labels, models, replay, scaler, train, windows
+from tidegauge.operators import holes as hole_rules
 from tidegauge.operators.intervals import touching
 from tidegauge.plans.config import Settings
 from tidegauge.sources import records
@@ -36,8 +38,8 @@ def fit_threshold(scored: DataFrame, s: Settings, tail: int = 0) -> dict:
     }
 
 
-def train_classifier(data: DataFrame, columns: list[str], s: Settings, out: str, run_id: str | None = None, on_epoch: Callable[[dict], None] | None = None) -> dict:
-    """data(window, features, label), windows 1 to n in time order without gaps."""
+def train_classifier(data: DataFrame, columns: list[str], s: Settings, out: str, run_id: str | None = None, on_epoch: Callable[[dict], None] | None = None, sidecar: dict | None = None) -> dict:
+    """data(window, features, label), windows 1 to n in time order without gaps; sidecar: what the feature table was made with."""
     folder = Path(out) / (run_id or uuid.uuid4().hex[:12])
     bounds = data.agg(F.min("window").alias("a"), F.max("window").alias("b"), F.count("*").alias("n")).first()
     if not bounds["n"] or bounds["b"] - bounds["a"] + 1 != bounds["n"]:
@@ -61,6 +63,8 @@ def train_classifier(data: DataFrame, columns: list[str], s: Settings, out: str,
     fitted |= {"block": s.threshold_block, "fitted_on": "training record", "fitted_at": _now()}
     records.save_model(str(folder / "model.json"), model, scale, {"columns": columns, "channels": s.channels})
     _tables(data.sparkSession, str(folder), sweep=fitted["sweep"], history=history)
+    if sidecar is not None:
+        records.write_json(str(folder / "features.json"), sidecar)
     for name, value in {"config": asdict(s), "split": {k: [r.first, r.last] for k, r in blocks.items()}, "history": {"epochs": history}, "threshold": fitted, "metrics": metrics}.items():
         records.write_json(str(folder / f"{name}.json"), value)
     return {"run": str(folder), "model": model, "scaler": scale, "threshold": fitted["value"], "history": history, "metrics": metrics}
@@ -132,30 +136,85 @@ def calibrate_classifier(data: DataFrame, reference: DataFrame, folder: str, s:
     return {"run": out, "threshold": fitted["value"], "scaler": scale, "blocks": blocks, "noise_windows": fitted["fit_windows"]}
 
 
-def replay_classifier(scored: DataFrame, arrivals: DataFrame, events: DataFrame, holes: DataFrame | None, s: Settings, rows: int, per_batch: int, epoch, out: str | None = None, run: str | None = None, ingested_rows: int | None = None) -> dict:
+def replay_classifier(scored: DataFrame, arrivals: DataFrame, events: DataFrame, holes: DataFrame | None, s: Settings, rows: int, per_batch: int, epoch, out: str | None = None, run: str | None = None, ingested_rows: int | None = None, ordered: bool = False, end_at=None) -> dict:
     """Scored windows as a delivery completes them, with alerts: windows, latency table and false alarms of the stream; tables and a
-    snapshot below out, which must lie outside the run."""
+    snapshot below out, which must lie outside the run. holes(row_start, row_end, declared_at[, cause]) are widened here."""
     if out and run:
         outside(out, run)
     if ingested_rows is not None:
         scored = conditioning.within_payload(scored, s.window_size, s.step_size, ingested_rows)
-    stretches = delivery.stretch_batches(scored.select("window"), s.window_size, s.step_size, s.context_windows, rows, per_batch)
-    done = delivery.completion(stretches, arrivals) if s.min_coverage == 1 else delivery.completion_partial(stretches, arrivals, s.min_coverage)
-    if holes is not None:
-        done = delivery.kept_windows(done, holes, s.window_size, s.step_size, s.context_windows, rows)
-    live = scored.join(done, "window").withColumn("scored_at", F.col("complete_at"))
-    spans = alerts.credited_spans(events, s.crediting)
+    settled = hole_rules.settle(scored.select("window"), arrivals, widened(holes, scored, s, rows), s.window_size, s.step_size, s.context_windows, rows, per_batch, s.min_coverage)
+    return _replayed(settled.join(scored, "window"), arrivals, events, s, rows, per_batch, epoch, out, run, ordered, end_at)
+
+
+def widened(holes: DataFrame | None, like: DataFrame, s: Settings, rows: int) -> DataFrame:
+    """Holes with the dilation margin, cut to the record; an empty table for none."""
+    if holes is None:
+        return like.sparkSession.createDataFrame([], "row_start long, row_end long, declared_at timestamp, cause string")
+    return delivery.eroded(holes, delivery.dilation_rows(s.gap_dilation_s, s.sample_rate)).withColumn("row_end", F.least("row_end", F.lit(rows)))
+
+
+def replay_record(record: DataFrame, arrivals: DataFrame, events: DataFrame, holes: DataFrame | None, detector: replay.RunDetector, s: Settings, rows: int, per_batch: int, epoch, out: str | None = None, run: str | None = None, ingested_rows: int | None = None, ordered: bool = False, end_at=None) -> dict:
+    """The same from samples, record(row[, channel], value): windows are conditioned by what was there at their completion, under the
+    detector's density or, in trailing mode, the causal estimate in force, and scored by the detector."""
+    if out and run:
+        outside(out, run)
+    if (detector.channels == "AE") != ("channel" in record.columns):
+        raise ValueError(f"the model was trained on channels {detector.channels}; the record doesn't carry them as it should")
+    n = windows.window_count(rows, detector.size, detector.step)
+    ids = record.sparkSession.range(1, n + 1).withColumnRenamed("id", "window")
+    if ingested_rows is not None:
+        ids = conditioning.within_payload(ids, detector.size, detector.step, ingested_rows)
+    trailing = None
+    if s.psd_mode == "trailing":
+        day = 86_400 * detector.rate
+        trailing = (s.psd_segment, max(1, round(s.psd_trailing_days * day)), max(1, round(s.psd_refresh_days * day)), conditioning.edge_rows(s.psd_edge_periods, detector.rate, detector.cutoff))
+    found = replay.replay(record, arrivals, widened(holes, record, s, rows), ids, detector, rows, per_batch, s.min_coverage, trailing)
+    s = replace(s, window_size=detector.size, step_size=detector.step, sample_rate=detector.rate, context_windows=detector.context, channels=detector.channels)
+    return _replayed(found, arrivals, events, s, rows, per_batch, epoch, out, run, ordered, end_at)
+
+
+def _replayed(settled: DataFrame, arrivals: DataFrame, events: DataFrame, s: Settings, rows: int, per_batch: int, epoch, out: str | None, run: str | None, ordered: bool, end_at) -> dict:
+    """What a replay gives, from every window with settle()'s columns and its score: a stateful scorer's windows are released in
+    order and alarm then, a stateless one's at their completion."""
+    if end_at is None:
+        end_at = F.lit(settled.agg(F.max(F.greatest("complete_at", "dead_at"))).first()[0]).cast("timestamp")
+    horizon = None if math.isinf(s.order_horizon_s) else s.order_horizon_s
+    committed = hole_rules.ordered_commit(settled, end_at, horizon if ordered else None, s.late_policy)
+    more = [c for c in settled.columns if c not in committed.columns]
+    whole = committed.join(settled.select("window", *more), "window").persist()  # every output reads it
+    if not ordered:
+        whole = whole.withColumn("release_at", F.lit(None).cast("timestamp"))
+    start, end = (F.col("window") - 1) * s.step_size + 1, (F.col("window") - 1) * s.step_size + s.window_size
+    live = whole.where("state = 'scored'").drop("state", "settled_at", "dead_at", "cause").withColumns({
+        "row_start": start, "row_end": end, "content_start": delivery.row_time(start, epoch, s.sample_rate), "content_end": delivery.row_time(end, epoch, s.sample_rate), "scored_at": delivery.scored_at(),
+    })
+    spans = alerts.credited_spans(alerts.mode_events(events, s.channels), s.crediting)
     found = {
-        "windows": live, "gaps": delivery.gap_events(scored, live), "latency": alerts.alert_latency(alerts.alert_runs(live, s.persistence), spans, s.window_size, s.step_size, epoch),
+        "windows": live, "gaps": hole_rules.gap_table(whole), "latency": alerts.alert_latency(alerts.alert_runs(live, s.persistence), spans, s.window_size, s.step_size, epoch, s.processing_hours),
         "confirmations": alerts.confirmations(live, s.persistence, s.confirmation, s.window_size, s.step_size), "false_alarms": alerts.streamed_false_alarms(live, spans, s.window_size, s.step_size, s.sample_rate, s.persistence),
+        "spans": alerts.credited_span_times(spans, epoch, s.sample_rate),
     }
     if out:
-        records.write_csv(live, f"{out}/telemetry_windows")
-        records.write_csv(found["latency"], f"{out}/alert_latency")
-        records.write_json(f"{out}/snapshot.json", {"run": run, "settings": asdict(s), "rows": rows, "per_batch": per_batch, "false_alarms": found["false_alarms"].first().asDict()})
+        records.write_csv(live.orderBy("window"), f"{out}/telemetry_windows")
+        records.write_csv(found["gaps"].orderBy("start", "cause"), f"{out}/telemetry_gaps")
+        records.write_csv(found["latency"].orderBy("event"), f"{out}/alert_latency")
+        records.write_json(f"{out}/snapshot.json", {"run": run, "settings": asdict(s), "rows": rows, "per_batch": per_batch, "ordered": ordered, "false_alarms": found["false_alarms"].first().asDict()})
     return found
 
 
+def detector_from_run(spark: SparkSession, folder: str, psd_sidecar: str | None = None, context: int = 4) -> replay.RunDetector:
+    """The detector of a training run: model, scaler and threshold, and the sidecar of its feature table (features.json)."""
+    model, scale, columns, threshold, _ = load_run(folder)
+    side = Path(folder, "features.json")
+    if not side.is_file():
+        raise ValueError(f"the run {folder} has no sidecar of its features")
+    if psd_sidecar is not None and not Path(psd_sidecar).is_file():
+        raise ValueError(f"no whitening sidecar at {psd_sidecar}")
+    read = lambda path: json.loads(Path(path).read_text())
+    return replay.detector_of(spark, model, scale, columns, threshold, read(side), psd_sidecar and read(psd_sidecar), context)
+
+
 def label_truth_stream(strength: DataFrame, catalogue: DataFrame | None, s: Settings, rows: int, out: str, span: str = "fixed", before_s: float = 345_600.0, after_s: float = 1620.0, threshold: float = 3.0, merger: float = 8.0, separation_s: float = 86_400.0, ratio: float = 0.1, step: int = 10) -> dict:
     """Labels of a signal-only record: strength(window, snr) of windows at `step`, catalogue(event, merger_time_s) or, without one,
     mergers from peaks. Writes label runs, events and spans."""

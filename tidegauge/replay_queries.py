@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import delivery, holes
+from tidegauge.operators import delivery, holes, models, replay, scaler
 from tidegauge.queries import ARR, CONTEXT, PER_BATCH, RATE, SIZE, STEP, _window_ids, arrivals, n_rows, query, record
 from tidegauge.streaming import holes as live
 
@@ -144,3 +144,49 @@ def ordered_commit_live(spark, sf_dir):
     """The same, released while the feed streams."""
     done = live.commit_once(live_feed(spark, sf_dir), datetime.fromisoformat(END), 2, HORIZON, min_coverage=0.6, **_geometry(spark, sf_dir)).only()
     return done.select("window", "state", F.unix_micros("settled_at").alias("settled_us"), "cause", F.coalesce(F.unix_micros("release_at"), F.lit(-1)).alias("release_us"))
+
+
+# --- replay from samples ---------------------------------------------------------------------------------------
+
+#: Fixed values of the replayed detector: a logistic control on two bands, entropy and spread of windows whitened by knots.
+SIDECAR = {
+    "sample_rate": RATE, "window_size": SIZE, "step_size": STEP, "highpass_cutoff_hz": 0.05, "highpass_order": 4, "low_band_hz": [0.05, 0.2], "high_band_hz": [0.2, 0.5], "band_edges_hz": [0.05, 0.2, 0.5],
+    "feature_set": "whitened", "channels": "A", "psd": "welch", "frequencies": [k / 40 for k in range(21)], "values": [50.0 + k for k in range(21)],
+}
+WEIGHTS = (0.9, 0.6, -0.8, 0.7, -0.4)
+LOWER, UPPER = (0.0, 0.0, 0.0, -1.0), (300.0, 300.0, 1.0, 3.0)
+
+
+def replayed_detector(spark):
+    model = models.Classifier("logistic", 4, WEIGHTS)
+    return replay.detector_of(spark, model, scaler.FeatureScaler(LOWER, UPPER), ["p_low", "p_high", "spectral_entropy", "log_power_std"], 0.5, SIDECAR, context=CONTEXT)
+
+
+def _part(asked: float) -> str:
+    """Windows complete at a coverage, the contiguous rows around them then, their conditioned samples and features."""
+    edges = [k / 20 for k in range(11)]
+    low, high = (", ".join(f"{k}" for k, f in enumerate(edges) if a <= f <= b and (first or f > a)) for a, b, first in ((0.05, 0.2, True), (0.2, 0.5, False)))
+    coded = [f"(least(greatest(x{k}, {a!r}), {b!r}) - {a!r}) / {b - a!r}" for k, (a, b) in enumerate(zip(LOWER, UPPER))]
+    return f"""WITH {FEED}{_settled(asked, "part")}, there AS (
+  SELECT sr.window, sr.row FROM sr JOIN part p ON p.window = sr.window WHERE (sr.a < complete OR (sr.a = complete AND sr.batch <= p.batch)) AND (gt IS NULL OR gt > complete)
+), isl AS (SELECT window, min(row) AS first, max(row) AS last FROM (SELECT window, row, row - row_number() OVER (PARTITION BY window ORDER BY row) AS k FROM there) GROUP BY window, k),
+clip AS (SELECT window, first, last FROM isl WHERE first <= (window - 1) * 5 + 1 AND last >= (window - 1) * 5 + 20),
+st AS (SELECT window, first, row - first AS j, last - first + 1 AS m, value FROM clip JOIN ev ON row BETWEEN first AND last),
+fq AS (SELECT window, any_value(m) AS m, k, sum(value * cos(2 * pi() * k * j / m)) AS a, -sum(value * sin(2 * pi() * k * j / m)) AS b FROM st, range(1, 51) t(k) WHERE k <= m // 2 GROUP BY window, k),
+gn AS (SELECT *, 1 / sqrt(1 + pow(0.05 / (k / m::DOUBLE), 8)) * sqrt(2 / (50 + 40 * k / m::DOUBLE)) * CASE WHEN 2 * k = m THEN 1 ELSE 2 END / m AS g FROM fq),
+cw AS MATERIALIZED (SELECT s.window, (first + j - (s.window - 1) * 5 - 1)::INT AS i, sum(g * (a * cos(2 * pi() * k * j / s.m) - b * sin(2 * pi() * k * j / s.m))) AS value FROM st s JOIN gn ON gn.window = s.window WHERE first + j BETWEEN (s.window - 1) * 5 + 1 AND (s.window - 1) * 5 + 20 GROUP BY s.window, first, j),
+tp AS (SELECT window, i, value * (0.5 - 0.5 * cos(2 * pi() * i / 20)) AS v FROM cw),
+pg AS MATERIALIZED (SELECT window, k, (pow(sum(v * cos(2 * pi() * k * i / 20)), 2) + pow(sum(v * sin(2 * pi() * k * i / 20)), 2)) / (20 * 0.375) AS p FROM tp, range(0, 11) t(k) GROUP BY window, k),
+tot AS (SELECT window, sum(p) AS total, count(*) AS n, stddev_samp(p) AS spread FROM pg WHERE k BETWEEN 1 AND 10 GROUP BY window),
+ft AS (SELECT window, avg(p) FILTER (k IN ({low})) AS x0, avg(p) FILTER (k IN ({high})) AS x1, any_value(-e) AS x2, any_value(log10(spread)) AS x3 FROM pg JOIN tot USING (window) JOIN (
+  SELECT window, sum(p / total * ln(p / total)) / ln(any_value(n)) AS e FROM pg JOIN tot USING (window) WHERE k BETWEEN 1 AND 10 AND p > 0 GROUP BY window) USING (window) GROUP BY window),
+live AS (SELECT window, 1 / (1 + exp(-({" + ".join(f"{w!r} * ({c})" for w, c in zip(WEIGHTS, coded))} + {WEIGHTS[4]!r}))) AS probability FROM ft)"""
+
+
+@query(_part(0.6) + ' SELECT window, first, "last", round(probability, 6) AS probability, complete AS complete_us FROM live JOIN clip USING (window) JOIN part USING (window)')
+def replay_from_samples(spark, sf_dir):
+    """Windows of a partly delivered record with holes, conditioned by what was there at their completion, and scored."""
+    det, rec = replayed_detector(spark), record(spark, sf_dir).select("row", "value")
+    ids, _ = _window_ids(spark, sf_dir)
+    found = replay.replay(rec, feed(spark, sf_dir), declared_holes(spark, sf_dir), ids, det, n_rows(rec), PER_BATCH, 0.6).where("complete_at IS NOT NULL")
+    return found.select("window", F.col("stretch_first").alias("first"), F.col("stretch_last").alias("last"), F.round("probability", 6).alias("probability"), F.unix_micros("complete_at").alias("complete_us"))
