@@ -99,7 +99,7 @@ def test_live_in_any_order(spark):
     feed = feed_of(arrivals, gaps)
     for seed in range(3):
         mixed = [feed[k] for k in np.random.default_rng(seed).permutation(len(feed))]
-        got = live.follow_holes_once(spark.createDataFrame(mixed, live.FEED), 2, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="200 days", group=16).collect()
+        got = live.follow_holes_once(spark.createDataFrame(mixed, live.FEED), 2, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="30 days", group=16).collect()
         assert {r[0]: tuple(r)[1:] for r in got} == wanted and len(got) == len(wanted)
 
 
@@ -113,7 +113,7 @@ def commit_in_steps(spark, folder, feed, policy="skip", horizon=180.0):
             k = cut.index(rows)
             spark.createDataFrame(rows, live.FEED).coalesce(1).write.parquet(f"{folder}/in/f{k:03d}")
         stream = spark.readStream.schema(live.FEED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-        made = live.follow_holes(stream, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="0 seconds", group=16)
+        made = live.follow_holes(stream, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="30 seconds", group=16)
         live._run(spark, made.writeStream.foreachBatch(commit.take), f"{folder}/state")
     commit.finish(at(90_000))
     return commit

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
 from tidegauge.operators import conditioning, delivery, holes, models, scaler
+from tidegauge.sources.records import written
 
 #: What the sidecar of a feature table must record for a detector to condition windows alike.
 CONDITIONING_KEYS = ("sample_rate", "window_size", "step_size", "highpass_cutoff_hz", "highpass_order")
@@ -149,16 +150,16 @@ def replay(record: DataFrame, arrivals: DataFrame, gone: DataFrame, windows: Dat
     """record(row[, channel], value), arrivals(batch, arrived_at), gone(row_start, row_end, declared_at[, cause]), widened ->
     every window with what holes.settle() says and, where it is complete, probability, decision, psd_row, stretch_first and
     stretch_last. trailing: segment, trailing, refresh and edge rows of a causal density; that of channel A serves both channels,
-    which have the same noise by their construction. The settled windows are persisted, as several steps read them."""
+    which have the same noise by their construction. Settled windows, stretches and scores are written tables, as several steps read them."""
     geometry = (det.size, det.step, det.context, rows, per_batch)
     parts = holes.deliveries(windows, arrivals, gone, *geometry)
-    settled = holes.settle(windows, arrivals, gone, *geometry, min_coverage).persist()
-    clips = holes.clips(settled, parts, det.size, det.step)
+    settled = written(holes.settle(windows, arrivals, gone, *geometry, min_coverage))
+    clips = written(holes.clips(settled, parts, det.size, det.step))
     if trailing:
         one = record.where(F.col("channel") == "A").drop("channel") if "channel" in record.columns else record
         segment, span, refresh, edge = trailing
-        clips = causal_densities(one, clips, settled, arrivals, holes.batch_parts(gone, arrivals, per_batch), per_batch, segment, det.rate, span, refresh, edge)
+        clips = written(causal_densities(one, clips, settled, arrivals, holes.batch_parts(gone, arrivals, per_batch), per_batch, segment, det.rate, span, refresh, edge))
     else:
         clips = clips.withColumn("psd_row", F.lit(0).cast("long"))
-    scored = det.score(record, clips).join(clips.select("window", "psd_row", F.col("first").alias("stretch_first"), F.col("last").alias("stretch_last")), "window")
+    scored = written(det.score(record, clips)).join(clips.select("window", "psd_row", F.col("first").alias("stretch_first"), F.col("last").alias("stretch_last")), "window")
     return settled.join(scored, "window", "left")

@@ -7,8 +7,6 @@ watermark: windows that are never delivered stay open, as in the batch plan.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegauge.sources.records import folder_for
+
 
 def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int, per_batch: int, group: int = 64) -> DataFrame:
     """arrivals(batch long, arrived_at double), streaming -> window, complete_at."""
@@ -48,12 +48,6 @@ def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int
     return dealt.groupBy("g").applyInPandasWithState(update, "window long, complete_at double", "batches array<long>, times array<double>, done array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def folder_for(spark) -> str:
-    """A folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def each_window(scored: DataFrame, callback: Callable[[DataFrame, dict], None], checkpoint: str, every: int = 100, log: Callable[[str], None] = print):
     """Starts a stream of scored(window, decision, ...) that hands every micro-batch to callback with the counts so far, and
     logs them each `every` windows."""
