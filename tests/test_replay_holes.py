@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
@@ -147,8 +146,12 @@ def test_ordered_commit(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "skip" / "commit" / "border")).count() > 4  # versions: the border was handed on
     live_rows = {r["window"]: r for r in commit.only().collect()}
     assert {w: (r["state"], r["settled_at"], r["cause"], r["release_at"]) for w, r in live_rows.items()} == {w: (r["state"], r["settled_at"], r["cause"], r["release_at"]) for w, r in got.items()}
-    with pytest.raises((ValueError, PySparkException), match="beyond the horizon"):
-        commit_in_steps(spark, str(tmp_path / "refuse"), feed_of(arrivals, gaps), "refuse")
+    strict = live.Commit(spark, str(tmp_path / "refuse"), 4, horizon, "refuse")
+    done = lambda w, m: spark.createDataFrame([(w, at(m), 1, 1.0, None, None)], live.SETTLED)
+    strict.take(done(2, 0).unionByName(done(3, 9)), 0)  # window 1 is given up at minute 3
+    strict.take(done(4, 10), 1)
+    with pytest.raises(ValueError, match="window 1 completes beyond the horizon"):
+        strict.take(done(1, 11), 2)
 
 
 SIDECAR = {
