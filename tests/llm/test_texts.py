@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -31,6 +33,15 @@ def test_language_id(spark, data):
     assert langid.accepted(spark.createDataFrame(odd, "doc_id long, text string, score string"), model).columns == ["doc_id", "text", "score"]
 
 
+@pytest.mark.parametrize("languages", [3, 1000])
+def test_training_rows_are_bounded(spark, languages):
+    docs = spark.range(languages * 30).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab c "), 500).alias("text"), F.concat(F.lit("l"), F.col("id") % languages).alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id = 1").select(F.lit(1).cast("long").alias("doc_id"), "text", F.explode(F.array_repeat("lang", 2000)).alias("lang")))  # one id, one language
+    got = langid.training_rows(docs, per_language=10, most_chars=300_000).select("lang", F.length("text").alias("n")).groupBy("lang").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    assert len(got) == languages and sum(r["n"] for r in got) <= 300_000 and max(r["k"] for r in got) <= 10
+    assert min(r["k"] for r in got) >= (5 if languages == 3 else 1)
+
+
 def test_every_language_and_letter(spark):
     rng = random.Random(6)
     own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(63)]
@@ -142,6 +153,15 @@ def test_groups_whose_hash_sums_agree(spark):
     assert sorted(tuple(r)[:3] for r in jaccard.classes(df, 1, 50).collect()) == brute_jaccard(docs, 1, 50)
 
 
+def test_many_texts_under_one_id(spark):
+    draw = np.random.default_rng(6)
+    base = [" ".join(f"w{draw.integers(10**6)}" for _ in range(12)) for _ in range(8000)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base[:500]] + [(7, t + " most") for t in base[:300]]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), n=4, percent=75)
+    sizes = Counter(r["n"] for r in got.groupBy("label").agg(F.count("*").alias("n")).collect())
+    assert sizes == {3: 300, 2: 200, 1: 7500}
+
+
 def test_each_pair_verified_once(spark):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, (6, 90), dtype=np.uint64)
@@ -246,8 +266,26 @@ def test_main_text_of_foreign_layouts(spark):
     assert html.extract(empty, field).count() == 0
 
 
+BROKEN = {
+    "unclosed": "<a " * 330_000, "names": "<a<a" * 250_000, "nested": "<div>ab" * 140_000, "own names": "".join(f"<x{k}>y" for k in range(100_000)), "ends of nothing": "<div>" * 100_000 + "</p>x" * 100_000,
+    "raw text": "<svg>x" * 160_000, "open quotes": "<a '>' x" * 120_000 + '"', "behind a barrier": "<p><section>" + "<b>" * 100_000 + "<hr>x" * 100_000, "comments": "<!-- " * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_broken_pages_take_linear_time(name):
+    def seconds(page):
+        began = time.process_time()
+        html.leaf_blocks(page)
+        return time.process_time() - began
+
+    whole = BROKEN[name]
+    assert len(whole) > 700_000 and seconds(whole) < 5
+    assert "".join(b.text for b in html.leaf_blocks("<p>one</p>" + whole[:3000])).startswith("one")
+
+
 def test_digits_of_whole_block():
-    rows = html.features([html.Block(t, 0, ("p",), ()) for t in ("12 " * 70 + "words " * 500, "word " * 50 + "1234 " * 200, "1 2")])
+    rows = html.features([html.Block(t, 0, "p", ("p",), ()) for t in ("12 " * 70 + "words " * 500, "word " * 50 + "1234 " * 200, "1 2")])
     assert ["digits" in r for r in rows] == [False, True, True]
 
 

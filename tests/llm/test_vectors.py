@@ -62,6 +62,20 @@ def test_topk(spark, rows):
     assert topk.search(df.limit(0), df, 5).count() == 0
 
 
+def test_repeated_queries_have_a_list_each(spark):
+    draw = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in draw.integers(-9, 9, 4)]) for i in (50, 50, 50, 100, 1, 2, 3, 3, 4, 5)]
+    rows[2] = rows[1]  # one of them twice
+    df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), factor=1)
+    wanted = []
+    for i, q in rows:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:5]
+            wanted += [(i, k + 1, j, int(-s)) for k, (s, j) in enumerate(best)]
+    for q, b in ((512, 8192), (1, 2)):
+        assert sorted(map(tuple, topk.search(df.where("vec_id % 50 = 0"), df, 5, q, b).collect())) == sorted(wanted)
+
+
 def test_vector_file_reads_few_vectors():
     import io
 

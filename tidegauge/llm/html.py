@@ -10,7 +10,7 @@ training set. Hand-written layouts of other make, which training never sees, mea
 
 Cases: null html counts as empty; pages without text, or whose every block is furniture, give an empty
 text; unclosed, stray and broken tags never fail; scripts, styles and comments are skipped as raw text;
-a page of any length is processed whole; repeated rows give repeated results; an empty table gives no rows;
+a page of any length, nesting or number of broken tags is processed whole, in time in proportion to its length; repeated rows give repeated results; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -49,22 +49,70 @@ HINTS = {
     "main": "content article post entry story main body text maincontent articlebody richtext prose",
 }
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>?", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTED_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Tags that features know: any other name is an ancestor without a feature.
+KNOWN = FLOW | frozenset("article body button caption center dd details dt figcaption html label legend li menu option section summary tbody td tfoot th thead tr".split())
+#: Open tags beyond which none is ended by another of its kind.
+BARRIERS = frozenset("ul ol dl table div section article".split())
+
+
 class Block:
-    __slots__ = ("text", "linked", "tags", "hints", "near")
+    """A run of text: its innermost block tag, the distinct block tags and hints around it, and hints by distance."""
+
+    __slots__ = ("text", "linked", "tag", "tags", "hints", "near")
+
+    def __init__(self, text: str, linked: int, tag: str, tags: tuple[str, ...], hints: tuple[str, ...], near: tuple[str, ...] = ()):
+        self.text, self.linked, self.tag, self.tags, self.hints, self.near = text, linked, tag, tags, hints, near
+
+
+class Open:
+    """Open tags. Each knows what features ask of all tags around it, so that a block costs the same at any depth, and where
+    the last barrier stands; the places of each name are kept, so that a tag which ends nothing costs no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, str, tuple[str, ...], tuple[str, ...], tuple[tuple[str, ...], ...]]] = []
+        self.places: dict[str, list[int]] = {}
 
-    def __init__(self, text: str, linked: int, tags: tuple[str, ...], hints: tuple[str, ...], near: tuple[str, ...] = ()):
-        self.text, self.linked, self.tags, self.hints, self.near = text, linked, tags, hints, near
+    def top(self) -> tuple:
+        return self.stack[-1] if self.stack else ("", -1, "", (), (), ())
+
+    def push(self, name: str, hints: tuple[str, ...]) -> None:
+        _, barrier, tag, tags, known, recent = self.top()
+        if hints and not set(hints) <= set(known):
+            known = tuple(dict.fromkeys(known + hints))
+        if name not in INLINE:
+            tag, recent = name, (hints, *recent[:3])
+            if name in KNOWN and name not in tags:
+                tags = (*tags, name)
+        at = len(self.stack)
+        self.stack.append((name, at if name in BARRIERS else barrier, tag, tags, known, recent))
+        self.places.setdefault(name, []).append(at)
+
+    def last(self, names: tuple[str, ...], above: int = -1) -> int | None:
+        found = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        return found if found > above else None
+
+    def cut(self, at: int) -> list[str]:
+        """Ends the tags from a place on; their names."""
+        gone = [e[0] for e in self.stack[at:]]
+        for name in gone:
+            self.places[name].pop()
+        del self.stack[at:]
+        return gone
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, white space collapsed and character references decoded."""
+    """Blocks of text in page order, white space collapsed and character references decoded.
+
+    Every character is passed a fixed number of times. A tag ends at the first > outside quotes; once a quote stays open to
+    the page's end, quotes count no more from there on."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    tags = Open()
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -73,9 +121,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                outer = [(t, x) for t, x in stack if t not in INLINE]
-                near = tuple(f"{d} {h}" for d, (_, x) in enumerate(outer[:-5:-1]) for h in x)  # by distance: names further out often speak of the whole site
-                out.append(Block(text, linked, tuple(t for t, _ in outer), tuple(dict.fromkeys(h for _, x in stack for h in x)), near))
+                _, _, tag, around, hints, recent = tags.top()
+                near = tuple(f"{d} {h}" for d, x in enumerate(recent) for h in x)  # by distance: names further out often speak of the whole site
+                out.append(Block(text, linked, tag, around, hints, near))
             parts.clear()
         linked = 0
 
@@ -86,34 +134,51 @@ def leaf_blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    at, size = 0, len(page)
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    endless: set[str] = set()
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or start == size - 1:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        sign = page[start + 1]
+        if sign in "!?" or sign == "/" and (start > last or not _NAME.match(page, start + 2)):
+            add(page[at:start])
+            mark, shift = ("-->", 4) if page.startswith("<!--", start) else (">", 2)
+            end = page.find(mark, start + shift) if start <= last else -1
+            at = size if end < 0 else end + len(mark)
             continue
-        name = name.lower()
+        close = sign == "/"
+        m = _NAME.match(page, start + 1 + close) if start <= last else None
+        if m is None:
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        add(page[at:start])
+        whole = _QUOTED_END.match(page, m.end()) if quotes else None
+        quotes = quotes and whole is not None
+        at = whole.end() if whole else page.find(">", m.end()) + 1
+        if not at:  # the last > stands inside the quotes before
+            add(page[start:])
+            break
+        name, attributes = m[0].lower(), page[m.end() : at - 1]
         if close:
             if name not in INLINE:
                 flush()
             elif name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(t == "a" for t, _ in stack[k + 1 :]):
-                        links = 0
-                    del stack[k:]
-                    break
+            k = tags.last((name,))
+            if k is not None and "a" in tags.cut(k)[1:]:
+                links = 0
             continue
         if name in RAW:
             if name != "title":
                 flush()
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at) if not attributes.endswith("/") or name in ("script", "style", "textarea") else None
+            end = None
+            if name not in endless and (not attributes.endswith("/") or name in ("script", "style", "textarea")):
+                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
             at = end.end() if end else (size if name in ("script", "style", "textarea", "title") else at)
             continue
         if name in ("br", "wbr"):
@@ -121,19 +186,13 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-            ended = AGAIN.get(name, ()) + (("p",) if name in FLOW else ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended:
-                    if any(t == "a" for t, _ in stack[k:]):
-                        links = 0
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article"):
-                    break
+            k = tags.last(AGAIN.get(name, ()) + (("p",) if name in FLOW else ()), tags.top()[1])
+            if k is not None and "a" in tags.cut(k):
+                links = 0
         if name in VOID:
             continue
         hints = tuple(dict.fromkeys(h for v in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(v) if (h := _HINT.get(w.lower())))) if attributes else ()
-        stack.append((name, hints))
+        tags.push(name, hints)
         links += name == "a"
     flush()
     return out
@@ -147,7 +206,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         share = b.linked / max(1, len(b.text))
         link = "0" if share < 0.05 else "1" if share < 0.4 else "2" if share < 0.9 else "3"
         row = [f"in {t}" for t in dict.fromkeys(b.tags)] + [f"hint {h}" for h in b.hints] + [f"near {h}" for h in b.near]
-        row += [f"tag {b.tags[-1] if b.tags else '-'}", f"last hint {b.hints[-1] if b.hints else '-'}", f"size {size}", f"link {link}", f"size link {size} {link}", "bias"]
+        row += [f"tag {b.tag or '-'}", f"last hint {b.hints[-1] if b.hints else '-'}", f"size {size}", f"link {link}", f"size link {size} {link}", "bias"]
         row += [f"hints {a} {c}" for a, c in zip(b.hints, b.hints[1:], strict=False)]
         row += [name for name, yes in (("stop", b.text[-1] in ".!?…\"”»"), ("comma", "," in b.text), ("sign", any(c in b.text for c in "©|·»›®™")), ("digits", sum(map(str.isdigit, b.text)) > len(b.text) / 5)) if yes]
         main = "main" in b.hints or "article" in b.tags or "main" in b.tags

@@ -296,7 +296,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     profiles = written(hashed.mapInArrow(lean(profile), f"doc_id {key}, h long, n long, mark long, hist binary, grams array<long>"), "profiles")
-    sets = written(profiles.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id")), "sets")
+    sets = written(profiles.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("grams").alias("grams"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("own")), "sets")
     rows = sets.select("mark", "n", F.posexplode("grams").alias("at", "gram"))
     groups = rows.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.sum(F.pmod(F.xxhash64("mark"), F.lit(2**40))).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "mark")).alias("also")).where("m > 1")
     kept = written(groups.groupBy("m", "who", "also").agg(F.min("gram").alias("gram")).select("gram", "m"), "groups")
@@ -335,10 +335,10 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
 
     clusters = written(components(dealt.mapInArrow(lean(starred(candidates)), "a long, b long"), stars=False), "clusters")
     dropped(kept, live)
-    members = clusters.withColumnRenamed("node", "mark").join(sets.select("mark", F.col("doc_id").alias("_id"), "n"), "mark")
+    members = clusters.withColumnRenamed("node", "mark").join(sets.select("mark", F.col("own.doc_id").alias("_id"), F.col("own.h").alias("_h"), "n"), "mark")
     sizes = written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "sizes")
     wanted = blocks(members.join(sizes, "component"), F.greatest(F.ceil(F.col("m") / F.lit(float(block))), F.ceil(F.col("total") / F.lit(250.0 * block))), "mark")
-    wanted = wanted.groupBy("_id").agg(F.collect_list(F.struct("component", "i", "j", "o", "own", "mark")).alias("x"))  # the blocks of one set
+    wanted = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("component", "i", "j", "o", "own", "mark")).alias("x"))  # the blocks of one set
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PART):
@@ -349,7 +349,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, block: int = 4000) -
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["c", "i", "j", "o", "own", "mark", "s"])
 
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("text", "x")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "x")  # ids repeat, null ones above all
     shipped = texts.mapInArrow(lean(ship), "c long, i int, j int, o int, own boolean, mark long, s binary").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "mark")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,19 +230,28 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0 if isinstance(doc_id, str) else doc_id
 
 
-def train(docs: DataFrame, per_language: int = 400, most_chars: int = 40_000_000) -> Model:
-    """Learns from docs(doc_id, text, lang) that aren't held out and have a language."""
+def training_rows(docs: DataFrame, per_language: int = 400, most_chars: int = 40_000_000) -> DataFrame:
+    """lang, h, text of docs(doc_id, text, lang) that aren't held out and have a language: at most most_chars characters in all and
+    per_language texts of each language, those with the least hash of their id. With very many languages there are fewer
+    texts of each first, then shorter ones."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("doc_id"), F.lit(False))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # ids; a row for each language
     if not counts:
-        return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n + 20 / n))])
-    near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    each = max(1000, int(most_chars / (1.5 * per_language + 20) / len(counts)))
+        return rows.limit(0)
+    per = max(1, min(per_language, int((most_chars / 1000 / len(counts) - 20) / 1.5)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per / n + 20 / n))])
+    each = int(most_chars / (1.5 * per + 20) / len(counts))
+    near = rows.select("lang", "h", F.substring("text", 1, each).alias("text")).where((F.col("h") / F.lit(2.0**64) + 0.5) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # rows of some 1.5 per + 20 ids of each language, and each task sends the first ones only
+    return near.withColumn("place", place).where(F.col("place") <= per).select("lang", "h", "text")
+
+
+def train(docs: DataFrame, per_language: int = 400, most_chars: int = 40_000_000) -> Model:
+    """Learns from training_rows(). The model has a table for each language."""
     texts: dict[str, list] = {}
-    for r in near.select("lang", "h", F.substring("text", 1, each).alias("text")).collect():  # about 1.5 per_language documents of each language
+    for r in training_rows(docs, per_language, most_chars).collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return Model({k: [x for _, x in sorted(v)[:per_language]] for k, v in texts.items()})
+    return Model({k: [x for _, x in sorted(v)] for k, v in texts.items()})
 
 
 def label(docs: DataFrame, model: Model, penalty: float = 14.0, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ search asks for.
 
 Cases: vectors that are null or empty, or hold null or non-finite components, take no part; vectors of
 other lengths than the query's don't match it; ties go to the smaller id; a query never finds rows of its
-own id; repeated ids are separate candidates; fewer than k candidates give them all; an empty table gives
+own id; repeated ids are separate candidates, and separate queries with a list each (their place in a file of queries tells them apart); fewer than k candidates give them all; an empty table gives
 no rows; other columns are ignored. Scores are exact integers: pairs with a vector that has a component beyond
 2**24 are scored one by one in Python's integers. Ranks are exact for every finite component of type float; a
 score beyond 64 bits, which its column can't hold, shows as null.
@@ -154,7 +154,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int
     n_asked, n_files, parts = asked.count(), files.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = max(1, min(16, n_asked * n_files // parts))  # files to a task
     runs = files.withColumn("run", F.pmod(F.xxhash64("file"), F.lit(max(1, n_files // run)))).groupBy("d", "run").agg(F.collect_list(F.struct("file", "n")).alias("files"))
-    tasks = asked.join(runs, "d").select("file", "n", "d", "files")  # a row for each block of queries and run of files
+    # A row for each block of queries and run of files. All vectors may have one length, so runs are dealt by their number, too.
+    dealt = runs.withColumn("part", F.pmod("run", F.lit(parts)))
+    tasks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["d", "part"]).select("file", "n", "d", "files")
     tasks = tasks.repartition(max(1, min(10_000, max(parts, n_asked * n_files // run))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +169,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, query_block: int
                 for f in task["files"]:
                     with _open(f["file"]) as source:
                         _merge(q, wanted, VectorFile(source, f["n"], task["d"]), best, k)
-                found = [(int(i), j, s) for i, x in zip(q.ids, best, strict=True) for s, j in x]
+                found = [(int(i), row, j, s) for row, (i, x) in enumerate(zip(q.ids, best, strict=True)) for s, j in x]
                 if found:
-                    a, b, s = zip(*found, strict=True)
+                    a, row, b, s = zip(*found, strict=True)
+                    block = [task["file"].rpartition("/")[2]] * len(a)
                     keys, scores = [(TOP + x).to_bytes(WIDTH, "big") for x in s], [-x if -(2**63) <= -x < 2**63 else None for x in s]
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "key", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(row, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(scores, pa.int64())], ["block", "row", "query_id", "vec_id", "key", "score"])
 
-    partial = tasks.mapInArrow(lean(scan), "query_id long, vec_id long, key binary, score long")
-    best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each run of files
+    partial = tasks.mapInArrow(lean(scan), "block string, row int, query_id long, vec_id long, key binary, score long")
+    best = partial.groupBy("block", "row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "vec_id", "score"))), 1, k).alias("x"))  # k rows for each run of files
     return best.select("query_id", F.posexplode("x").alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
 
 
