@@ -104,7 +104,7 @@ def test_islands(spark, block):
 
 def test_running_sums(spark):
     df = spark.createDataFrame([(k / 50, k) for k in range(51)], "p double, n long")
-    got = {round(r["p"] * 50): r["s"] for r in running_sums(df, "p", {"s": "n"}, buckets=7).collect()}
+    got = {round(r["p"] * 50): r["s"] for r in running_sums(df, "p", {"s": "n"}, parts=7).collect()}
     assert got == {k: sum(range(k, 51)) for k in range(51)}
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators.order import quantiles
+
 
 def hann(n: int) -> np.ndarray:
     """Periodic Hann taper."""
@@ -126,7 +128,7 @@ def welch_psd(samples: DataFrame, segment: int, rate: float) -> DataFrame:
     arrays = cut.groupBy("run", "s").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("r")).select(F.transform("r", lambda x: x["value"]).alias("x"))
     each = arrays.select(F.posexplode(periodogram("x")).alias("bin", "p"))
     scale = 2 / rate / math.log(2)
-    return each.groupBy("bin").agg(F.percentile("p", F.lit(0.5)).alias("m")).select("bin", (F.col("bin") * (rate / segment)).alias("f"), (F.col("m") * scale).alias("psd"))
+    return quantiles(each, ["bin"], "p", [0.5]).select("bin", (F.col("bin") * (rate / segment)).alias("f"), (F.col("q") * scale).alias("psd"))
 
 
 def smooth_psd(psd: DataFrame, sigma_dex: float, per_decade: int = 20) -> DataFrame:

@@ -13,6 +13,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators import order
 from tidegauge.operators.intervals import islands, running_sums
 
 DAY = 86_400.0
@@ -110,8 +111,7 @@ def candidates(df: DataFrame, count: int = 401, tail: int = 0) -> list[float]:
     if tail and n > 1:
         ranks = {max(1, round(n ** (k / tail))) for k in range(tail)}
         at += [1 - (r - 1) / (n - 1) for r in sorted(ranks)]
-    got = df.agg(F.percentile("probability", F.array(*(F.lit(float(x)) for x in at))).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    return sorted({r["q"] for r in order.quantiles(df, [], "probability", at).collect()})
 
 
 def _above(values: DataFrame, thresholds: list[float], columns: list[str]) -> DataFrame:

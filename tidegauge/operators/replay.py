@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
 from tidegauge.operators import conditioning, delivery, holes, models, scaler
-from tidegauge.sources.records import written
+from tidegauge.tables import written
 
 #: What the sidecar of a feature table must record for a detector to condition windows alike.
 CONDITIONING_KEYS = ("sample_rate", "window_size", "step_size", "highpass_cutoff_hz", "highpass_order")

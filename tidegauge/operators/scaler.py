@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators import order
+
 
 @dataclass(frozen=True)
 class FeatureScaler:
@@ -25,15 +27,16 @@ class FeatureScaler:
 
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> list[list[float]]:
-    """Exact interpolated quantiles, one row of numbers for each column."""
-    row = df.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in at))).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    return [list(x) for x in row]
+    """Exact interpolated quantiles, one row of numbers for each column; nulls where a column has no value."""
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))))
+    got = {(r["column"], r["i"]): r["q"] for r in order.quantiles(long, ["column"], "v", list(at)).collect()}  # columns x at
+    return [[got.get((k, i)) for i in range(len(at))] for k in range(len(columns))]
 
 
 def fit_scaler(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995, span: float = math.pi) -> FeatureScaler:
     got = quantiles(df, columns, (low, high))
-    if any(x is None for x in got) or any(not a < b for a, b in got):
-        raise ValueError("a feature is constant")
+    if any(a is None or not a < b for a, b in got):
+        raise ValueError("a feature is constant or has no value")
     return FeatureScaler(tuple(a for a, _ in got), tuple(b for _, b in got), span)
 
 
@@ -51,6 +54,8 @@ def match_scaler(reference: FeatureScaler, reference_noise: DataFrame, new_noise
     """Bounds under which the new noise's two quantiles get the unclamped angles that the reference's have."""
     lower, upper = [], []
     for (a, b), (c, d), low, high in zip(quantiles(reference_noise, columns, at), quantiles(new_noise, columns, at), reference.lower, reference.upper, strict=True):
+        if a is None or c is None:
+            raise ValueError("a feature has no value")
         p, q = (a - low) / (high - low), (b - low) / (high - low)
         if not q > p or not d > c:
             raise ValueError("a feature's noise quantiles coincide")

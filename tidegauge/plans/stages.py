@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegauge import tables
 from tidegauge.operators import alerts, conditioning, delivery, evaluate, labels, models, replay, scaler, train, windows
 from tidegauge.operators import holes as hole_rules
 from tidegauge.operators.intervals import touching
@@ -182,7 +183,7 @@ def _replayed(settled: DataFrame, arrivals: DataFrame, events: DataFrame, s: Set
     horizon = None if math.isinf(s.order_horizon_s) else s.order_horizon_s
     committed = hole_rules.ordered_commit(settled, end_at, horizon if ordered else None, s.late_policy)
     more = [c for c in settled.columns if c not in committed.columns]
-    whole = records.written(committed.join(settled.select("window", *more), "window"))  # every output reads it
+    whole = tables.written(committed.join(settled.select("window", *more), "window"))  # every output reads it
     if not ordered:
         whole = whole.withColumn("release_at", F.lit(None).cast("timestamp"))
     start, end = (F.col("window") - 1) * s.step_size + 1, (F.col("window") - 1) * s.step_size + s.window_size

@@ -6,8 +6,6 @@ import hashlib
 import json
 import os
 import re
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,16 +149,3 @@ def load_model(path: str) -> tuple[Classifier, FeatureScaler | None, dict]:
         raise ValueError("a control needs the span it was trained on")
     scaler = x.get("scaler") and FeatureScaler(tuple(x["scaler"]["lower"]), tuple(x["scaler"]["upper"]), x["scaler"]["span"])
     return Classifier(kind, x["features"], tuple(x["params"]), x.get("size", 0), x.get("span", 3.141592653589793)), scaler, x.get("metadata", {})
-
-
-def folder_for(spark: SparkSession) -> str:
-    """A folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in such a folder: several steps read it, none makes it again, and plans behind it stay small."""
-    path = folder_for(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.operators import holes
 from tidegauge.operators.holes import CAUSES
-from tidegauge.sources.records import folder_for
+from tidegauge.tables import folder_for
 
 FEED = "kind string, at timestamp, batch long, row_start long, row_end long, cause string"
 SETTLED = "window long, complete_at timestamp, completing_batch long, coverage double, dead_at timestamp, cause string"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegauge.sources.records import folder_for
+from tidegauge.tables import folder_for
 
 
 def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int, per_batch: int, group: int = 64) -> DataFrame:
