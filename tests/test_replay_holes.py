@@ -113,7 +113,7 @@ def commit_in_steps(spark, folder, feed, policy="skip", horizon=180.0):
             spark.createDataFrame(rows, live.FEED).coalesce(1).write.parquet(f"{folder}/in/f{k:03d}")
         stream = spark.readStream.schema(live.FEED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         made = live.follow_holes(stream, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="30 seconds", group=16)
-        live._run(spark, made.writeStream.foreachBatch(commit.take), f"{folder}/state")
+        live.run_available(spark, made.writeStream.foreachBatch(commit.take), f"{folder}/state")
     commit.finish(at(90_000))
     return commit
 

@@ -29,8 +29,9 @@ def double_of(bits: Column) -> Column:
 
 def _round(rows: DataFrame, wanted: DataFrame, keys: list[str], known: int, shift: int) -> DataFrame:
     """wanted(keys, prefix, rank, asked, n) with longer prefixes: the bits from `shift` up, of which those from `known` up were found."""
-    prefix = F.lit(0).cast("long") if known == 64 else F.shiftright("o", known)
-    below = rows.withColumn("prefix", prefix).join(wanted.select(*keys, "prefix").distinct(), [*keys, "prefix"], "left_semi")
+    below = rows.withColumn("prefix", F.lit(0).cast("long") if known == 64 else F.shiftright("o", known))
+    if known < 64:
+        below = below.join(wanted.select(*keys, "prefix").distinct(), [*keys, "prefix"], "left_semi")
     counts = below.groupBy(*keys, "prefix", F.shiftright("o", shift).alias("next")).agg(F.count("*").alias("n"))
     inside = Window.partitionBy(*keys, "prefix")  # 65,536 digits, or the few values left
     place = counts.withColumn("rank", F.sum("n").over(inside.orderBy("next").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))

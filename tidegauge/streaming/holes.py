@@ -233,7 +233,7 @@ class Commit:
         return rows.select("window", F.when(F.col("n") > 1, "late").otherwise(F.col("last")).alias("state"), *self.COLUMNS[2:])
 
 
-def _run(spark: SparkSession, sink, checkpoint: str) -> None:
+def run_available(spark: SparkSession, sink, checkpoint: str) -> None:
     name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -251,7 +251,7 @@ def follow_holes_once(feed: DataFrame, batches: int = 1, **geometry) -> DataFram
     """Streams a finished feed, in `batches` files, through follow_holes() and returns what it emitted, as a table."""
     spark, folder = feed.sparkSession, folder_for(feed.sparkSession)
     live = follow_holes(_stream(feed, batches, folder), **geometry)
-    _run(spark, live.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/state")
+    run_available(spark, live.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/state")
     return spark.read.schema(SETTLED).parquet(f"{folder}/out")
 
 
@@ -260,6 +260,6 @@ def commit_once(feed: DataFrame, end_at: datetime, batches: int = 1, horizon_sec
     spark, folder = feed.sparkSession, folder_for(feed.sparkSession)
     commit = Commit(spark, f"{folder}/commit", max(0, (geometry["rows"] - geometry["size"]) // geometry["step"] + 1), horizon_seconds, late_policy)
     live = follow_holes(_stream(feed, batches, folder), **geometry)
-    _run(spark, live.writeStream.foreachBatch(commit.take), f"{folder}/state")
+    run_available(spark, live.writeStream.foreachBatch(commit.take), f"{folder}/state")
     commit.finish(end_at)
     return commit
