@@ -1,9 +1,9 @@
-"""Estimators whose state goes from block to block of a series."""
+"""Estimators whose state goes from block to block of a series, and counts that outlive a restart."""
 
 import numpy as np
 import pytest
 
-from tidegauge.streaming import estimator
+from tidegauge.streaming import estimator, replay
 from tidegauge.tables import folder_for
 
 MEAN = estimator.ExponentialMean(0.2, bridge=1)
@@ -47,3 +47,25 @@ def test_blocks_in_any_order_and_again_after_a_restart(spark):
 
 def test_no_rows(spark):
     assert not estimator.series_blocks(spark.createDataFrame([], "series long, idx long, value double"), 10).count()
+
+
+def test_counts_outlive_a_restart_and_a_failed_micro_batch(spark):
+    folder, seen, said, fails = folder_for(spark), [], [], [True]
+
+    def callback(batch, counts):
+        if len(seen) == 1 and fails:
+            fails.clear()
+            raise RuntimeError("lost")
+        seen.append((counts["windows"], counts["alarms"]))
+
+    def run(first, last):
+        spark.range(first, last).selectExpr("id AS window", "int(id % 4 = 0) AS decision").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("window long, decision int").parquet(f"{folder}/in")
+        replay.each_window(stream, callback, f"{folder}/state", 10, said.append).awaitTermination()
+
+    run(0, 8)
+    with pytest.raises(Exception, match="lost"):
+        run(8, 20)
+    run(20, 21)
+    assert seen == [(8, 2), (20, 5), (21, 6)]
+    assert said == ["20 windows scored, 5 alarms"]

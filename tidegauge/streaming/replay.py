@@ -50,16 +50,17 @@ def follow(arrivals: DataFrame, *, size: int, step: int, context: int, rows: int
 
 def each_window(scored: DataFrame, callback: Callable[[DataFrame, dict], None], checkpoint: str, every: int = 100, log: Callable[[str], None] = print):
     """Starts a stream of scored(window, decision, ...) that hands every micro-batch to callback with the counts so far, and
-    logs them each `every` windows."""
-    counts = {"windows": 0, "alarms": 0}
+    logs them each `every` windows. The counts behind a micro-batch are a table of its number below the checkpoint, so a query
+    started again goes on from them, and a micro-batch that runs again counts once; its callback is called again."""
+    spark, place = scored.sparkSession, lambda version: f"{checkpoint.rstrip('/')}/counts/v={version}"
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, version: int) -> None:
         got = batch.agg(F.count("*").alias("n"), F.coalesce(F.sum("decision"), F.lit(0)).alias("a")).first()
-        before = counts["windows"]
-        counts["windows"] += got["n"]
-        counts["alarms"] += got["a"]
+        before = spark.read.schema("windows long, alarms long").parquet(place(version - 1)).first() if version else {"windows": 0, "alarms": 0}
+        counts = {"windows": before["windows"] + got["n"], "alarms": before["alarms"] + got["a"]}
         callback(batch, dict(counts))
-        if counts["windows"] // every > before // every:
+        spark.createDataFrame([tuple(counts.values())], "windows long, alarms long").coalesce(1).write.mode("overwrite").parquet(place(version))
+        if counts["windows"] // every > before["windows"] // every:
             log(f"{counts['windows']} windows scored, {counts['alarms']} alarms")
 
     return scored.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
