@@ -3,9 +3,11 @@
 import json
 import math
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidegauge.functions import spectral
@@ -102,6 +104,61 @@ def test_live_in_any_order(spark):
         assert {r[0]: tuple(r)[1:] for r in got} == wanted and len(got) == len(wanted)
 
 
+def test_live_events_behind_the_final_word(spark, tmp_path):
+    """The final word in the first file and all else in the second: each group still emits its windows, in that micro-batch."""
+    arrivals, gaps = random_feed(3)
+    *feed, final = feed_of(arrivals, gaps)
+    for k, rows in enumerate(([final], feed)):
+        spark.createDataFrame(rows, live.FEED).coalesce(1).write.parquet(f"{tmp_path}/in/f{k}")
+    stream = spark.readStream.schema(live.FEED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    made = live.follow_holes(stream, size=SIZE, step=STEP, context=CONTEXT, rows=300, per_batch=PER, min_coverage=0.6, delay="30 days", group=16)
+    live.run_available(spark, made.writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/state")
+    got = spark.read.schema(live.SETTLED).parquet(f"{tmp_path}/out").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == simulated(arrivals, gaps, 300, 0.6) and len(got) > 0
+
+
+class Looks:
+    """A handle that counts what goes between a processor and Spark, an element of a list state as one."""
+
+    def __init__(self):
+        self.n, self.value = 0, None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.n += 1
+
+
+def test_a_group_looks_at_its_state_once(spark):
+    """However many events a group has, a micro-batch costs it one look, one update and its timer, and an event tries only the windows it meets."""
+    rows, events = 5000, [(b, b) for b in range(1, 201)]
+    handle, tried = Looks(), []
+    made = live.HoleProcessor(SIZE, STEP, CONTEXT, rows, 1.0, 1000)
+    made.init(handle)
+    made.settled = lambda w, *rest: tried.append(w) or live.HoleProcessor.settled(made, w, *rest)
+    micros = lambda t: t * 60_000_000
+    fed = [Row(instant=micros(t), way=1, rank=b, a=(b - 1) * PER + 1, b=b * PER, cause=None) for b, t in events]
+    for part in (fed[100:], fed[:100]):
+        assert list(made.handleInputRows((0,), iter(part), None)) == []
+    assert handle.n == 3 + 4  # the second part has the earlier timer
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 1_000_000_000)
+    out = list(made.handleExpiredTimer((0,), clock, None))
+    assert handle.n == 9 and handle.value[0] == [] and handle.value[11] == []
+    assert {r["window"]: r["completing_batch"] for r in out} == {w: (min(rows, (w - 1) * STEP + SIZE * (1 + CONTEXT)) - 1) // PER + 1 for w in range(1, 998)}
+    assert len(tried) <= len(events) * 18
+
+
 def commit_in_steps(spark, folder, feed, policy="skip", horizon=180.0):
     """A feed in order of time, a file each few events, in two runs of the stream with one checkpoint."""
     feed = sorted(feed, key=lambda r: r[1])

@@ -18,7 +18,7 @@ from tidegauge.operators.delivery import batch_of_row, batch_rows, stretch_batch
 CAUSES = ("lost", "scheduled", "recorder", "stream", "not_generated", "undelivered", "horizon")
 
 
-def _rank(cause: Column) -> Column:
+def cause_rank(cause: Column) -> Column:
     out = F.lit(len(CAUSES))
     for k, name in enumerate(CAUSES):
         out = F.when(cause == name, k).otherwise(out)
@@ -31,7 +31,7 @@ def batch_parts(holes: DataFrame, batches: DataFrame, per_batch: int) -> DataFra
     cause = F.col("cause") if "cause" in holes.columns else F.lit("lost")
     each = holes.select("row_start", "row_end", "declared_at", cause.alias("cause")).withColumn("batch", F.explode(F.sequence(batch_of_row(F.greatest("row_start", F.lit(1)), per_batch), batch_of_row(F.col("row_end"), per_batch))))
     low, high = batch_rows(F.col("batch"), per_batch)
-    first = F.struct("declared_at", _rank(F.col("cause")).alias("rank"), "cause")
+    first = F.struct("declared_at", cause_rank(F.col("cause")).alias("rank"), "cause")
     # Equal pieces of a batch become one, so that a batch has no more of them than its rows allow.
     pieces = each.select("batch", F.greatest("row_start", low).alias("a"), F.least("row_end", high).alias("b"), first.alias("h")).groupBy("batch", "a", "b").agg(F.min("h").alias("h"))
     whole = batches.select("batch").distinct().join(pieces.groupBy("batch").agg(F.collect_list(F.struct("a", "b", "h")).alias("p")), "batch", "left")
@@ -81,7 +81,7 @@ def settle(windows: DataFrame, arrivals: DataFrame, holes: DataFrame, size: int,
     lives = F.col("arrived_at").isNotNull() & (F.col("gone_at").isNull() | (F.col("arrived_at") < F.col("gone_at")))
     up = F.when(lives, F.struct(F.col("arrived_at").alias("at"), F.lit(1).alias("kind"), F.col("batch").alias("b"), F.col("w").alias("w"), F.col("o").alias("o"), F.lit(0).cast("long").alias("ew"), F.lit(0).cast("long").alias("eo"), F.lit(None).cast("string").alias("cause")))
     lost = lambda c: F.when(lives, -F.col(c)).otherwise(F.lit(0).cast("long"))
-    down = F.when(F.col("gone_at").isNotNull(), F.struct(F.col("gone_at").alias("at"), F.lit(0).alias("kind"), _rank(F.col("cause")).cast("long").alias("b"), lost("w").alias("w"), lost("o").alias("o"), F.col("w").alias("ew"), F.col("o").alias("eo"), F.col("cause").alias("cause")))
+    down = F.when(F.col("gone_at").isNotNull(), F.struct(F.col("gone_at").alias("at"), F.lit(0).alias("kind"), cause_rank(F.col("cause")).cast("long").alias("b"), lost("w").alias("w"), lost("o").alias("o"), F.col("w").alias("ew"), F.col("o").alias("eo"), F.col("cause").alias("cause")))
     events = met.select("window", "all", F.explode(F.array_compact(F.array(up, down))).alias("e")).select("window", "all", "e.*")
     order = Window.partitionBy("window").orderBy("at", "kind", "b")  # the events of one stretch; peers count together
     sums = events.select("window", "all", "at", "kind", "b", "cause", *(F.sum(c).over(order).alias(c) for c in ("w", "o", "ew", "eo")))

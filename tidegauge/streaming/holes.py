@@ -17,28 +17,21 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegauge.operators import holes
-from tidegauge.operators.holes import CAUSES
+from tidegauge.operators.holes import cause_rank
 from tidegauge.tables import folder_for
 
 FEED = "kind string, at timestamp, batch long, row_start long, row_end long, cause string"
 SETTLED = "window long, complete_at timestamp, completing_batch long, coverage double, dead_at timestamp, cause string"
 EPOCH = datetime(1970, 1, 1)
-
-
-def micros(t: pd.Timestamp) -> int:
-    return t.value // 1000
-
-
-def instant(us: int | None) -> datetime | None:
-    return None if us is None else EPOCH + timedelta(microseconds=us)
+#: What a group emits, instants in microseconds.
+EMITTED = Row("window", "complete", "completing_batch", "coverage", "dead", "cause")
 
 
 class Rows:
@@ -63,82 +56,69 @@ class Rows:
         return sum(y - x + 1 for x, y in self.within(a, b))
 
 
-class Waiting:
-    """Events that wait in a state variable until the watermark has passed them, with one timer for the earliest."""
-
-    def __init__(self, handle: StatefulProcessorHandle, schema: str) -> None:
-        self.handle, self.state = handle, handle.getListState("waiting", schema)
-
-    def put(self, rows: list[tuple], watermark: int) -> None:
-        """rows begin with their instant in microseconds."""
-        if rows:
-            self.state.appendList(rows)
-            self.handle.registerTimer(max(-(-min(r[0] for r in rows) // 1000), watermark) + 1)
-
-    def ready(self, watermark: int) -> list[tuple]:
-        """Removes and returns, in order, the events before the watermark (milliseconds)."""
-        rows = [tuple(r) for r in self.state.get()]
-        due = sorted((r for r in rows if r[0] <= watermark * 1000), key=lambda r: tuple((v is None, v or 0) if not isinstance(v, str) else (False, v) for v in r))
-        rest = [r for r in rows if r[0] > watermark * 1000]
-        self.state.clear()
-        self.put(rest, watermark)
-        return due
-
-
 class HoleProcessor(StatefulProcessor):
-    """One group of windows."""
+    """One group of windows. Its state is one value, since each look at a state variable is a message between Spark and the worker:
+    the events that wait until the watermark has passed them, the instant of the timer for the earliest of them (milliseconds), the
+    live rows, those that holes took, and the open windows (null before the first event counts)."""
+
+    EVENT = ("instant", "way", "rank", "a", "b", "cause")
+    STATE = "instant array<long>, way array<int>, rank array<long>, a array<long>, b array<long>, cause array<string>, timer long, live_a array<long>, live_b array<long>, gone_a array<long>, gone_b array<long>, open array<long>"
 
-    def __init__(self, size: int, step: int, context: int, rows: int, per_batch: int, min_coverage: float, group: int) -> None:
-        self.size, self.step, self.context, self.rows, self.per_batch, self.min_coverage, self.group = size, step, context, rows, per_batch, min_coverage, group
+    def __init__(self, size: int, step: int, context: int, rows: int, min_coverage: float, group: int) -> None:
+        self.size, self.step, self.context, self.rows, self.min_coverage, self.group = size, step, context, rows, min_coverage, group
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = Waiting(handle, "at long, kind int, rank long, a long, b long, cause string")
-        self.live = handle.getValueState("live", "a array<long>, b array<long>")
-        self.gone = handle.getValueState("gone", "a array<long>, b array<long>")
-        self.open = handle.getValueState("open", "w array<long>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = []
-        for part in rows:
-            for kind, at, batch, a, b, cause in part[["kind", "at", "batch", "row_start", "row_end", "cause"]].itertuples(index=False):
-                if kind == "arrival":
-                    found.append((micros(at), 1, int(batch), (int(batch) - 1) * self.per_batch + 1, min(int(batch) * self.per_batch, self.rows), None))
-                elif kind == "hole":
-                    found.append((micros(at), 0, CAUSES.index(cause) if cause in CAUSES else len(CAUSES), int(a), int(b), cause))
-        self.waiting.put(found, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame([], columns=[c.split()[0] for c in SETTLED.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.waiting.ready(timerValues.getCurrentWatermarkInMs())
-        out = []
-        if due:
-            read = lambda s: Rows(list(zip(*map(list, s.get()), strict=True))) if s.exists() else Rows([])
-            live, gone = read(self.live), read(self.gone)
-            last = (self.rows - self.size) // self.step + 1
-            first = key[0] * self.group + 1
-            waits = list(self.open.get()[0]) if self.open.exists() else list(range(first, min(last, first + self.group - 1) + 1))
-            for at, kind, rank, a, b, cause in due:
-                if kind == 1:
-                    fresh = Rows([(a, b)])
-                    for x, y in gone.within(a, b):
-                        fresh.take(x, y)
-                    for x, y in fresh.pairs:
-                        live.add(x, y)
-                else:
-                    live.take(a, b)
-                    gone.add(a, b)
-                still = []
-                for w in waits:
-                    settled = self.settled(w, live, gone, kind, a, b)
-                    if settled is None:
-                        still.append(w)
-                    else:
-                        out.append((w, instant(at), rank, settled, None, None) if kind == 1 else (w, None, None, None, instant(at), cause))
-                waits = still
-            for state, held in ((self.live, live), (self.gone, gone)):
-                state.update(([x for x, _ in held.pairs], [y for _, y in held.pairs]))
-            self.open.update((waits,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SETTLED.split(", ")]).astype({"completing_batch": "Int64", "coverage": "float64", "complete_at": "datetime64[us]", "dead_at": "datetime64[us]"})
+        self.handle, self.held = handle, handle.getValueState("held", self.STATE)
+
+    def read(self) -> tuple[list[tuple], int | None, Rows, Rows, list[int] | None]:
+        found = self.held.get()
+        if found is None:
+            return [], None, Rows([]), Rows([]), None
+        pairs = lambda a, b: Rows(list(zip(a, b, strict=True)))
+        return list(zip(*found[:6], strict=True)), found[6], pairs(*found[7:9]), pairs(*found[9:11]), found[11]
+
+    def write(self, waiting: list[tuple], timer: int | None, live: Rows, gone: Rows, waits: list[int] | None) -> None:
+        """Timers fire, in the micro-batch itself, where the watermark has passed their instant."""
+        earliest = -(-min(e[0] for e in waiting) // 1000) if waiting else None
+        if earliest is not None and (timer is None or earliest < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(earliest)
+            timer = earliest
+        split = lambda r: ([x for x, _ in r.pairs], [y for _, y in r.pairs])
+        self.held.update((*([e[k] for e in waiting] for k in range(6)), timer, *split(live), *split(gone), waits))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [tuple(r[c] for c in self.EVENT) for r in rows if r["way"] is not None]
+        if fresh:
+            waiting, *rest = self.read()
+            self.write(waiting + fresh, *rest)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        waiting, _, live, gone, waits = self.read()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted((e for e in waiting if e[0] <= passed), key=lambda e: (*e[:5], e[5] is None, e[5] or ""))
+        first = key[0] * self.group + 1
+        last = min((self.rows - self.size) // self.step + 1, first + self.group - 1)
+        still, out = set(range(first, last + 1) if waits is None else waits), []
+        reach = self.context * self.size
+        for at, kind, rank, a, b, cause in due:
+            if kind == 1:
+                arrived = Rows([(a, b)])
+                for x, y in gone.within(a, b):
+                    arrived.take(x, y)
+                for x, y in arrived.pairs:
+                    live.add(x, y)
+            else:
+                live.take(a, b)
+                gone.add(a, b)
+            for w in range(max(first, -(-(a - reach - self.size) // self.step) + 1), min(last, (b + reach - 1) // self.step + 1) + 1):  # those whose stretch the event meets
+                if w in still and (settled := self.settled(w, live, gone, kind, a, b)) is not None:
+                    still.remove(w)
+                    out.append(EMITTED(w, at, rank, settled, None, None) if kind == 1 else EMITTED(w, None, None, None, at, cause))
+        self.write([e for e in waiting if e[0] > passed], None, live, gone, sorted(still))
+        return iter(out)
 
     def settled(self, w: int, live: Rows, gone: Rows, kind: int, a: int, b: int) -> float | None:
         """What an event on rows a to b makes of an open window: its coverage if it is complete, -1 if it is dead, None if it waits."""
@@ -161,9 +141,12 @@ def follow_holes(feed: DataFrame, *, size: int, step: int, context: int, rows: i
     last = F.least(F.floor((high + context * size - 1) / F.lit(step)) + 1, F.lit(count))
     cell = lambda c: F.floor((c - 1) / F.lit(group)).cast("long")
     cells = F.when(F.col("kind") == "final", F.array(F.lit(0).cast("long"))).when(first <= last, F.sequence(cell(first), cell(last))).otherwise(F.array().cast("array<bigint>"))
-    dealt = feed.withWatermark("at", delay).withColumn("g", F.explode(cells))
-    made = HoleProcessor(size, step, context, rows, per_batch, min_coverage, group)
-    return dealt.groupBy("g").transformWithStateInPandas(made, SETTLED, "append", "eventTime")
+    came, told = F.col("kind") == "arrival", F.col("kind") == "hole"
+    event = [F.unix_micros("at").alias("instant"), F.when(came, 1).when(told, 0).alias("way"), F.when(came, F.col("batch")).otherwise(cause_rank(F.col("cause"))).alias("rank"), low.alias("a"), F.when(came, F.least(high, F.lit(rows))).otherwise(high).alias("b"), "cause"]
+    dealt = feed.withWatermark("at", delay).select("at", *event, F.explode(cells).alias("g"))
+    made = HoleProcessor(size, step, context, rows, min_coverage, group)
+    settled = dealt.groupBy("g").transformWithState(made, "window long, complete long, completing_batch long, coverage double, dead long, cause string", "append", "eventTime")
+    return settled.select("window", F.timestamp_micros("complete").alias("complete_at"), "completing_batch", "coverage", F.timestamp_micros("dead").alias("dead_at"), "cause")
 
 
 class Commit:
