@@ -260,3 +260,18 @@ def test_replay_and_label_outputs(spark, tmp_path):
     strength = spark.createDataFrame([(w, 9.0 - abs(w - 30)) for w in range(1, 60)], "window long, snr double")
     made = stages.label_truth_stream(strength, None, s, 600, str(tmp_path / "labels"), before_s=50, after_s=20, separation_s=100)
     assert made["n_label_runs"] == 1 and made["events"].count() == 1 and 0 < made["positive_fraction"] < 0.2
+
+
+def test_waveform_grids_are_dealt_out(spark, data):
+    """A small file of sources is no single task, and columns of the source give the delays of the plain operator."""
+    from tidegauge import mission_queries
+
+    for query in (mission_queries.waveform_arrival, mission_queries.waveform_amplitude):
+        sizes = [r["count"] for r in query(spark, data).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 4 and max(sizes) * 2 < sum(sizes)
+    f, mass, eta = F.col("f"), F.col("mass"), F.col("eta")
+    rows = spark.createDataFrame([(k / 8, 10.0**m, e) for k in range(1, 10) for m in (5, 6, 7) for e in (0.25, 0.1)], "part double, mass double, eta double")
+    rows = rows.withColumns({"factors": simulate.delay_factors(eta), "ring": simulate.transitions(mass, eta)["ring"]}).withColumn("f", F.col("ring") * F.col("part")).withColumn("at_ring", simulate.group_delay(F.col("ring"), mass, eta))
+    pairs = [(simulate.group_delay(f, mass, eta), simulate.group_delay(f, mass, eta, F.col("factors"))), (simulate.arrival_delay(f, mass, eta), simulate.delay_before(f, mass, eta, F.col("ring"), F.col("at_ring"), F.col("factors")))]
+    got = rows.select(*(c.alias(f"c{i}{j}") for i, pair in enumerate(pairs) for j, c in enumerate(pair))).collect()
+    assert all(r[0] == r[1] != 0 and r[2] == r[3] for r in got)

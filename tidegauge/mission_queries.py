@@ -30,9 +30,12 @@ def _sources(spark, sf_dir):
     return rows.withColumn("eta", simulate.mass_ratio_eta(F.col("q")))
 
 
-def _grid(spark, sf_dir):
-    ring = simulate.transitions(F.col("mass"), F.col("eta"))["ring"]
-    return _sources(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("f", ring * (F.col("k") - 0.5) / 8.0)
+def _grid(spark, sf_dir, **of_source):
+    """Twelve frequencies for each source, beside columns of the source. A file of sources is small and read by few tasks, or by one, so sources are dealt out first."""
+    dealt = _sources(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "key").withColumn("ring", simulate.transitions(F.col("mass"), F.col("eta"))["ring"])
+    for name, c in of_source.items():
+        dealt = dealt.withColumn(name, c)
+    return dealt.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("f", F.col("ring") * (F.col("k") - 0.5) / 8.0)
 
 
 @query(f"WITH {SOURCES} SELECT key, round(fm, 9) AS merge, round(fr, 9) AS ring, round(fw, 9) AS width, round(fc, 9) AS cut FROM tr")
@@ -57,8 +60,10 @@ def _delay_sql(f: str) -> str:
 
 @query(f"WITH {GRID}, d AS (SELECT key, k, CASE WHEN f < fr THEN greatest({_delay_sql('fr')} - {_delay_sql('f')}, 0) ELSE 0 END AS s FROM grid) SELECT key, k, round(log10(1 + s), 6) AS log_delay FROM d")
 def waveform_arrival(spark, sf_dir):
-    s = simulate.arrival_delay(F.col("f"), F.col("mass"), F.col("eta"))
-    return _grid(spark, sf_dir).select("key", "k", F.round(F.log10(1 + s), 6).alias("log_delay"))
+    f, mass, eta, ring, factors = (F.col(c) for c in ("f", "mass", "eta", "ring", "factors"))
+    grid = _grid(spark, sf_dir, factors=simulate.delay_factors(eta), at_ring=simulate.group_delay(ring, mass, eta, factors))
+    s = simulate.delay_before(f, mass, eta, ring, F.col("at_ring"), factors)
+    return grid.select("key", "k", F.round(F.log10(1 + s), 6).alias("log_delay"))
 
 
 SKY = "sky AS (SELECT s_suppkey AS key, s_suppkey * 0.7 AS lon, asin((s_suppkey * 37 % 199) / 100.0 - 0.99) AS lat, s_suppkey * 1.3 AS psi, s_suppkey * 86400.0 AS t FROM supplier)"

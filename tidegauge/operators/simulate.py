@@ -53,20 +53,30 @@ def physical_amplitude(mass: Column, eta: Column, distance_seconds: Column) -> C
     return F.lit(math.sqrt(5 / 24) * math.pi ** (-2 / 3)) * F.pow(chirp, F.lit(5 / 6)) * F.pow(merge, F.lit(-7 / 6)) / distance_seconds
 
 
-def group_delay(f: Column, mass: Column, eta: Column) -> Column:
-    """Derivative of the phase over 2 pi, in seconds."""
+def delay_factors(eta: Column) -> Column:
+    """Array of what the terms of group_delay() take from the mass ratio alone; as a column of its own it is made once a source."""
+    return F.array(*(_quadratic(c, eta) / eta * F.lit((k - 5) / 3) for k, c in PHASE.items() if k != 5))
+
+
+def group_delay(f: Column, mass: Column, eta: Column, factors: Column | None = None) -> Column:
+    """Derivative of the phase over 2 pi, in seconds; factors: a column of delay_factors()."""
     m = F.lit(math.pi * SUN) * mass
     out = F.lit(0.0)
-    for k, c in PHASE.items():
-        if k != 5:
-            out = out + _quadratic(c, eta) / eta * F.lit((k - 5) / 3) * F.pow(m * f, F.lit((k - 5) / 3)) / f
+    for at, k in enumerate(k for k in PHASE if k != 5):
+        factor = _quadratic(PHASE[k], eta) / eta * F.lit((k - 5) / 3) if factors is None else F.get(factors, F.lit(at))
+        out = out + factor * F.pow(m * f, F.lit((k - 5) / 3)) / f
     return out / F.lit(2 * math.pi)
 
 
 def arrival_delay(f: Column, mass: Column, eta: Column) -> Column:
     """Seconds before the coalescence at which f is emitted; zero through merger and ringdown."""
     ring = transitions(mass, eta)["ring"]
-    return F.when(f < ring, F.greatest(group_delay(ring, mass, eta) - group_delay(f, mass, eta), F.lit(0.0))).otherwise(F.lit(0.0))
+    return delay_before(f, mass, eta, ring, group_delay(ring, mass, eta))
+
+
+def delay_before(f: Column, mass: Column, eta: Column, ring: Column, at_ring: Column, factors: Column | None = None) -> Column:
+    """arrival_delay() of many f of one source, with columns of its ring frequency, of the group delay there and of its factors."""
+    return F.when(f < ring, F.greatest(at_ring - group_delay(f, mass, eta, factors), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def roll_off(f: Column) -> Column:
