@@ -159,6 +159,14 @@ def test_a_group_looks_at_its_state_once(spark):
     assert len(tried) <= len(events) * 18
 
 
+def test_no_file_of_a_stream_holds_the_feed(spark, tmp_path):
+    rows = [("arrival", at(t), t, None, None, None) for t in range(400)]
+    stream, sizes = live._stream(spark.createDataFrame(rows, live.FEED), 2, str(tmp_path)), []
+    stream.writeStream.foreachBatch(lambda part, version: sizes.append(part.count())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    files = [r["count"] for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).count().collect()]
+    assert len(files) == 8 and max(files) <= 100 and len(sizes) == 2 and sum(sizes) == 400
+
+
 def commit_in_steps(spark, folder, feed, policy="skip", horizon=180.0):
     """A feed in order of time, a file each few events, in two runs of the stream with one checkpoint."""
     feed = sorted(feed, key=lambda r: r[1])

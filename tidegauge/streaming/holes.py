@@ -226,12 +226,14 @@ def run_available(spark: SparkSession, sink, checkpoint: str) -> None:
 
 
 def _stream(feed: DataFrame, batches: int, folder: str) -> DataFrame:
-    feed.repartition(batches).write.parquet(f"{folder}/in")
-    return feed.sparkSession.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """A finished feed as a stream of so many micro-batches, each in files for all tasks at once: no task writes or reads all of it."""
+    files = feed.sparkSession.sparkContext.defaultParallelism
+    feed.repartition(batches * files).write.parquet(f"{folder}/in")
+    return feed.sparkSession.readStream.schema(FEED).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
 
 
 def follow_holes_once(feed: DataFrame, batches: int = 1, **geometry) -> DataFrame:
-    """Streams a finished feed, in `batches` files, through follow_holes() and returns what it emitted, as a table."""
+    """Streams a finished feed, in `batches` micro-batches, through follow_holes() and returns what it emitted, as a table."""
     spark, folder = feed.sparkSession, folder_for(feed.sparkSession)
     live = follow_holes(_stream(feed, batches, folder), **geometry)
     run_available(spark, live.writeStream.format("parquet").option("path", f"{folder}/out"), f"{folder}/state")
